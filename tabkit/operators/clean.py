@@ -97,7 +97,9 @@ def top_rows(df: DataFrame, n: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def sample_rows(df: DataFrame, n: int, key: str | Column, seed: int = 42) -> DataFrame:
+def sample_rows(
+    df: DataFrame, n: int, key: str, seed: int = 42, order: Column | None = None
+) -> DataFrame:
     """Exactly min(n, rows) rows in the order of a seeded hash of the key, whatever the partitioning."""
-    key = F.col(key) if isinstance(key, str) else key
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    order = F.xxhash64(F.col(key), F.lit(seed)) if order is None else order
+    return df.orderBy(order, key).limit(n)
