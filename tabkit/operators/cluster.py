@@ -8,6 +8,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,34 +95,10 @@ def silhouette(
     return scored.agg(F.avg("s").alias("silhouette"), F.count("s").alias("n_sampled"))
 
 
-def squared_silhouette(df: DataFrame, columns: Sequence[str], label: str = "cluster") -> DataFrame:
-    """Silhouette with squared distances over all rows, from sums per cluster instead of row pairs.
-
-    The mean squared distance of a row x to a cluster is |x|^2 - 2 x.mean + mean of |y|^2.
-    """
-    norm = F.col(columns[0]) * F.col(columns[0])
-    for c in columns[1:]:
-        norm = norm + F.col(c) * F.col(c)
-    stats = df.groupBy(label).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(norm).alias("w"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)]
-    )
-    centres = stats.collect()
-    if len(centres) < 2:
-        raise ValueError("fewer than two clusters")
-
-    def distance(row) -> Column:
-        dot = F.col(columns[0]) * F.lit(row["m0"])
-        for i, c in enumerate(columns[1:], 1):
-            dot = dot + F.col(c) * F.lit(row[f"m{i}"])
-        return F.greatest(norm - 2 * dot + F.lit(row["w"]), F.lit(0.0))
-
-    own = F.coalesce(*[F.when(F.col(label) == F.lit(r[label]), distance(r) * (r["n"] / max(r["n"] - 1, 1))) for r in centres])
-    other = F.least(*[F.when(F.col(label) != F.lit(r[label]), distance(r)) for r in centres])
-    alone = F.col(label).isin([r[label] for r in centres if r["n"] < 2])
-    value = F.when(alone, 0.0).otherwise(
-        F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
-    )
-    return df.select(label, own.alias("a"), other.alias("b")).agg(F.avg(value).alias("silhouette"))
+def squared_silhouette(df: DataFrame, features: str = "features", label: str = "cluster") -> DataFrame:
+    """Silhouette with squared distances over all rows, from sums per cluster instead of row pairs."""
+    measure = ClusteringEvaluator(featuresCol=features, predictionCol=label, metricName="silhouette")
+    return df.sparkSession.createDataFrame([(measure.evaluate(df),)], "silhouette double")
 
 
 def adjusted_rand(df: DataFrame, labelings: Mapping[str, str]) -> DataFrame:

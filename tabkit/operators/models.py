@@ -68,46 +68,66 @@ class Features:
         return [*self.numeric, *self.categorical]
 
 
-def preprocessing(features: Features, scaled: bool, out: str = "features") -> list:
-    """Fill, optionally scale, group and encode, then assemble; other columns pass through untouched."""
+def _filling(features: Features) -> tuple[list, list[str]]:
     numeric = list(features.numeric)
     filled = [f"__fill{i}" for i in range(len(numeric))]
     stages: list = []
-    grouped = [c for c in numeric if c in features.group_fill]
-    for group in sorted({features.group_fill[c] for c in grouped}):
-        mine = [c for c in grouped if features.group_fill[c] == group]
+    for group in sorted(set(features.group_fill.values())):
+        mine = [c for c in numeric if features.group_fill.get(c) == group]
         stages.append(
             GroupMedianFill(inputCols=mine, outputCols=[filled[numeric.index(c)] for c in mine], groupCol=group)
         )
     plain = [c for c in numeric if c not in features.group_fill]
     if plain:
         stages.append(MedianFill(inputCols=plain, outputCols=[filled[numeric.index(c)] for c in plain]))
-    parts = list(filled)
-    if scaled and numeric:
-        parts = [f"__std{i}" for i in range(len(numeric))]
-        stages.append(PopulationScaler(inputCols=filled, outputCols=parts))
+    return stages, filled
+
+
+def _encoding(features: Features) -> tuple[list, list[str]]:
     categorical = list(features.categorical)
-    if categorical:
-        named = [f"__cat{i}" for i in range(len(categorical))]
-        if features.missing_category == "mode":
-            stages.append(ModeFill(inputCols=categorical, outputCols=named))
-            source = named
-        else:
-            source = categorical
-        if features.missing_category != "mode" or features.min_category_count:
-            stages.append(
-                RareGrouper(inputCols=source, outputCols=named, minCount=features.min_category_count or 1)
-            )
-        indexed = [f"__idx{i}" for i in range(len(categorical))]
-        coded = [f"__hot{i}" for i in range(len(categorical))]
-        stages += [
-            StringIndexer(
-                inputCols=named, outputCols=indexed, handleInvalid="keep", stringOrderType="alphabetAsc"
-            ),
-            OneHotEncoder(inputCols=indexed, outputCols=coded, dropLast=True),
-        ]
-        parts += coded
-    return [*stages, VectorAssembler(inputCols=parts, outputCol=out)]
+    if not categorical:
+        return [], []
+    named = [f"__cat{i}" for i in range(len(categorical))]
+    indexed = [f"__idx{i}" for i in range(len(categorical))]
+    coded = [f"__hot{i}" for i in range(len(categorical))]
+    stages: list = []
+    source = categorical
+    if features.missing_category == "mode":
+        stages.append(ModeFill(inputCols=categorical, outputCols=named))
+        source = named
+    if features.missing_category != "mode" or features.min_category_count:
+        least = features.min_category_count or 1
+        stages.append(RareGrouper(inputCols=source, outputCols=named, minCount=least))
+    stages += [
+        StringIndexer(inputCols=named, outputCols=indexed, handleInvalid="keep", stringOrderType="alphabetAsc"),
+        OneHotEncoder(inputCols=indexed, outputCols=coded, dropLast=True),
+    ]
+    return stages, coded
+
+
+def shared_preparation(features: Features) -> dict[bool, list]:
+    """Stages for unscaled (False) and scaled (True) models; both start with the same stage objects, so
+    `fit_shared` fits those once."""
+    fills, filled = _filling(features)
+    codes, coded = _encoding(features)
+    common = fills + codes
+    scaled = [f"__std{i}" for i in range(len(filled))]
+    scaler = [PopulationScaler(inputCols=filled, outputCols=scaled)] if filled else []
+    return {
+        False: [*common, VectorAssembler(inputCols=filled + coded, outputCol="features")],
+        True: [*common, *scaler, VectorAssembler(inputCols=scaled + coded, outputCol="features")],
+    }
+
+
+def preprocessing(features: Features, scaled: bool) -> list:
+    """Fill, group and encode, optionally scale, then assemble; other columns pass through untouched."""
+    return shared_preparation(features)[scaled]
+
+
+def least_squares(label: str) -> LinearRegression:
+    """Ordinary least squares. One-hot columns add up to the intercept column, so the solution is not
+    unique; a vanishing penalty picks the one with the smallest coefficients."""
+    return LinearRegression(labelCol=label, regParam=1e-9, elasticNetParam=0.0, standardization=False)
 
 
 def forest(label: str, seed: int = 42, **settings) -> RandomForestRegressor:
@@ -140,14 +160,45 @@ def candidate_models(
         models["category_mean"] = Pipeline(
             stages=[CategoryMeanRegressor(categoryCol=category_baseline, labelCol=label)]
         )
-    models["linear"] = recipe(features, LinearRegression(labelCol=label, regParam=0.0), scaled=True)
-    models["ridge"] = recipe(features, RidgeRegression(alpha=1.0, labelCol=label), scaled=True)
-    models["forest"] = recipe(features, forest(label, **(forest_settings or {})))
+    prepared = shared_preparation(features)
+    models["linear"] = Pipeline(stages=[*prepared[True], least_squares(label)])
+    models["ridge"] = Pipeline(stages=[*prepared[True], RidgeRegression(alpha=1.0, labelCol=label)])
+    models["forest"] = Pipeline(stages=[*prepared[False], forest(label, **(forest_settings or {}))])
     if boosted_settings is not None:
-        models["boosted"] = recipe(features, boosted(label, **boosted_settings))
+        models["boosted"] = Pipeline(stages=[*prepared[False], boosted(label, **boosted_settings)])
     return models
 
 
+def fit_shared(train: DataFrame, models: Mapping[str, Pipeline]) -> dict[str, PipelineModel]:
+    """Fit pipelines that start with the same stage objects; each common beginning is fitted once."""
+    train = train.persist()
+    begun: dict[tuple, tuple[DataFrame, list]] = {(): (train, [])}
+    fitted = {}
+    try:
+        for name, pipeline in models.items():
+            path: tuple = ()
+            for stage in pipeline.getStages():
+                rows, done = begun[path]
+                path = (*path, stage.uid)
+                if path not in begun:
+                    model = stage.fit(rows) if isinstance(stage, Estimator) else stage
+                    begun[path] = (model.transform(rows), [*done, model])
+            fitted[name] = PipelineModel(stages=begun[path][1])
+    finally:
+        train.unpersist()
+    return fitted
+
+
+def settled_metrics(scored: DataFrame, label: str, names: Sequence[str], with_range: bool = True) -> DataFrame:
+    """Metrics of the `pred_` columns as a small table; the rows are scored once for all aggregates."""
+    narrow = scored.select(label, *[f"pred_{n}" for n in names]).persist()
+    try:
+        found = model_metrics(narrow, label, {n: f"pred_{n}" for n in names}, with_range)
+        return scored.sparkSession.createDataFrame(found.collect(), found.schema).orderBy("rmse", "mae")
+    finally:
+        narrow.unpersist()
+
+
 def predict_all(
     df: DataFrame, models: Mapping[str, PipelineModel], clip_at_zero: bool = False
 ) -> DataFrame:
@@ -170,14 +221,9 @@ def compare_models(
     clip_at_zero: bool = False,
 ) -> tuple[DataFrame, dict[str, PipelineModel], DataFrame]:
     """Fit all, score the test rows once, rank by RMSE then MAE."""
-    train = train.persist()
-    try:
-        fitted = {name: recipe.fit(train) for name, recipe in models.items()}
-    finally:
-        train.unpersist()
+    fitted = fit_shared(train, models)
     scored = predict_all(test, fitted, clip_at_zero)
-    metrics = model_metrics(scored, label, {name: f"pred_{name}" for name in fitted})
-    return metrics.orderBy("rmse", "mae"), fitted, scored
+    return settled_metrics(scored, label, list(fitted)), fitted, scored
 
 
 def validation_search(
@@ -194,16 +240,13 @@ def validation_search(
     `smaller` overrides entries of every setting, for trial runs.
     """
     inner = train.withColumn("__val", hash_slot(key, 10_000, seed + 1) < 2000)
-    fit_rows, val_rows = inner.where(~F.col("__val")).persist(), inner.where("__val")
     settings = {name: {**params, **(smaller or {})} for name, params in settings.items()}
-    fitted = {name: recipe(features, forest(label, seed, **p)).fit(fit_rows) for name, p in settings.items()}
-    scored = predict_all(val_rows, fitted)
-    metrics = model_metrics(scored, label, {n: f"pred_{n}" for n in fitted}, with_range=False)
-    ranked = metrics.orderBy("rmse", "mae").collect()
-    fit_rows.unpersist()
-    best = ranked[0]["model"]
-    table = train.sparkSession.createDataFrame(ranked, metrics.schema)
-    return table, best, recipe(features, forest(label, seed, **settings[best])).fit(train)
+    prepared = preprocessing(features, False)
+    models = {name: Pipeline(stages=[*prepared, forest(label, seed, **p)]) for name, p in settings.items()}
+    fitted = fit_shared(inner.where(~F.col("__val")), models)
+    metrics = settled_metrics(predict_all(inner.where("__val"), fitted), label, list(fitted), with_range=False)
+    best = metrics.first()["model"]
+    return metrics, best, recipe(features, forest(label, seed, **settings[best])).fit(train)
 
 
 def random_search(

@@ -3,8 +3,11 @@
 from tabkit.plans.catalogue import (  # noqa: F401
     bands,
     cleaning,
+    clusters,
     errors,
     features,
+    fits,
     profiles,
+    sources,
     splits,
 )
