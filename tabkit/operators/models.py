@@ -169,23 +169,44 @@ def candidate_models(
     return models
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Persisted rows that keep all cores busy. Rows from few input splits are dealt out again; a table
+    of many splits is left as it is, without a shuffle."""
+    kept = rows.persist()
+    used = kept.select(F.spark_partition_id().alias("p")).distinct().count()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if used * 2 > cores:
+        return kept
+    dealt = kept.repartition(cores).persist()
+    dealt.count()
+    kept.unpersist()
+    return dealt
+
+
 def fit_shared(train: DataFrame, models: Mapping[str, Pipeline]) -> dict[str, PipelineModel]:
     """Fit pipelines that start with the same stage objects; each common beginning is fitted once."""
-    train = train.persist()
+    train = spread(train)
     begun: dict[tuple, tuple[DataFrame, list]] = {(): (train, [])}
+    ready: dict[tuple, DataFrame] = {}
     fitted = {}
     try:
         for name, pipeline in models.items():
+            *early, last = pipeline.getStages()
             path: tuple = ()
-            for stage in pipeline.getStages():
+            for stage in early:
                 rows, done = begun[path]
                 path = (*path, stage.uid)
                 if path not in begun:
                     model = stage.fit(rows) if isinstance(stage, Estimator) else stage
                     begun[path] = (model.transform(rows), [*done, model])
-            fitted[name] = PipelineModel(stages=begun[path][1])
+            rows, done = begun[path]
+            if path and path not in ready:
+                # The last stage reads its rows many times, but only these two columns.
+                ready[path] = rows.select("features", last.getLabelCol()).persist()
+            fitted[name] = PipelineModel(stages=[*done, last.fit(ready.get(path, rows))])
     finally:
-        train.unpersist()
+        for rows in (*ready.values(), train):
+            rows.unpersist()
     return fitted
 
 
@@ -246,7 +267,8 @@ def validation_search(
     fitted = fit_shared(inner.where(~F.col("__val")), models)
     metrics = settled_metrics(predict_all(inner.where("__val"), fitted), label, list(fitted), with_range=False)
     best = metrics.first()["model"]
-    return metrics, best, recipe(features, forest(label, seed, **settings[best])).fit(train)
+    final = fit_shared(train, {best: recipe(features, forest(label, seed, **settings[best]))})
+    return metrics, best, final[best]
 
 
 def random_search(
@@ -275,7 +297,7 @@ def random_search(
     model = forest(label, seed)
     grid = [{getattr(model, name): value for name, value in setting.items()} for setting in picked]
     # The pipeline is tuned as a whole: its fills and categories are refitted in every fold.
-    folded = train.withColumn("__fold", hash_slot(key, folds, seed + 2).cast("int")).persist()
+    folded = spread(train.withColumn("__fold", hash_slot(key, folds, seed + 2).cast("int")))
     search = CrossValidator(
         estimator=Pipeline(stages=[*preprocessing(features, False), model]),
         estimatorParamMaps=grid,

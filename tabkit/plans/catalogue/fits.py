@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tabkit.operators import explain as X
 from tabkit.operators import models as M
+from tabkit.operators.reshape import union_tables
 from tabkit.operators.stages import CategoryMeanRegressor, RidgeRegression
 from tabkit.plans import disclosure as D
 from tabkit.plans import regression as R
@@ -115,6 +116,10 @@ def _parts(spark, sf):
     return rows.where("not held"), rows.where("held")
 
 
+def _forest(train):
+    return M.fit_shared(train, {"forest": M.recipe(FEATURES, M.forest("target", **SMALL_FOREST))})["forest"]
+
+
 @query()
 def model_comparison(spark, sf):
     """Mean, category mean, least squares, ridge and forest on the same test rows."""
@@ -154,29 +159,22 @@ def random_search(spark, sf):
 def feature_effects(spark, sf):
     """Coefficients of the linear model and importances of the forest, by readable feature name."""
     train, test = _parts(spark, sf)
-    models = {
-        "linear": M.recipe(FEATURES, M.least_squares("target"), scaled=True),
-        "forest": M.recipe(FEATURES, M.forest("target", **SMALL_FOREST)),
-    }
-    out = None
-    for name, recipe in models.items():
-        fitted = recipe.fit(train)
-        found = X.feature_effects(fitted, fitted.transform(test), FEATURES, name)
-        out = found if out is None else out.unionByName(found)
-    return out
+    models = M.candidate_models(FEATURES, "target", forest_settings=SMALL_FOREST)
+    fitted = M.fit_shared(train, models)
+    return union_tables([X.feature_effects(m, m.transform(test), FEATURES, name) for name, m in fitted.items()])
 
 
 @query()
 def tree_statistics(spark, sf):
     train, _ = _parts(spark, sf)
-    return X.tree_statistics(M.recipe(FEATURES, M.forest("target", **SMALL_FOREST)).fit(train), spark)
+    return X.tree_statistics(_forest(train), spark)
 
 
 @query()
 def forest_permutation(spark, sf):
     """Permutation importance of a forest on a seeded sample of 1,500 test rows."""
     train, test = _parts(spark, sf)
-    fitted = M.recipe(FEATURES, M.forest("target", **SMALL_FOREST)).fit(train)
+    fitted = _forest(train)
     return X.permutation_importance(fitted.transform, test, FEATURES.columns, "target", "id", sample_size=1500, repeats=3)
 
 
@@ -202,7 +200,7 @@ def _engineered(spark, sf):
 
 def _evaluations(spark, sf, names, split):
     rows, sets = _engineered(spark, sf)
-    rows = rows.persist()
+    rows = M.spread(rows)
     return [
         R.run_split(
             rows, name, sets[name], "target", split, year="year", entity=D.BUILDING_ID, key="id",
