@@ -106,13 +106,16 @@ def artefact(model: PipelineModel, centres: DataFrame, k: int) -> dict:
 
 
 def assign(df: DataFrame, model: PipelineModel, names: Mapping[str, str], c: Columns) -> DataFrame:
-    """Nearest cluster and its name for new rows; "Unknown" for a cluster without a name."""
+    """Nearest cluster and its name for new rows; "Unknown" for a cluster without a name.
+
+    Rows without energy or water intensity stay, without a cluster.
+    """
     rows = df.withColumns(
         {"water_intensity": ratio(c.water, c.area), "energy_raw": F.col(c.energy).cast("double")}
     )
-    usable = rows.where(F.col("water_intensity").isNotNull() & F.col("energy_raw").isNotNull())
+    usable = F.col("water_intensity").isNotNull() & F.col("energy_raw").isNotNull()
     known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     name = F.coalesce(F.try_element_at(known, F.col("cluster").cast("string")), F.lit("Unknown"))
-    return model.transform(usable).withColumn("cluster_name", name).drop(
-        "features", "energy_z", "water_z", "water_wins"
-    )
+    kept = [*df.columns, "water_intensity", "cluster", "cluster_name"]
+    found = model.transform(rows.where(usable)).withColumn("cluster_name", name).select(*kept)
+    return found.unionByName(rows.where(~usable).select(*kept[:-2]), allowMissingColumns=True)
