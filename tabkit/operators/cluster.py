@@ -181,7 +181,7 @@ def cluster_profile(
     )
     middle = quantiles(df, {name: (c, 0.5) for name, c in medians.items()}, by=[label])
     out = sizes.join(middle, label, "left")
-    return out if centres is None else out.join(F.broadcast(centres), label, "left")
+    return out if centres is None else out.join(centres, label, "left")
 
 
 def name_clusters(centres: DataFrame, label: str, first: str, second: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tabkit.functions.bands import band_table
 from tabkit.functions.numbers import mae, r2, rmse
 from tabkit.operators.quantiles import quantiles
-from tabkit.session import attach, one_row
+from tabkit.session import one_row, settle
 
 
 def with_errors(df: DataFrame, actual: str = "actual", pred: str = "pred") -> DataFrame:
@@ -22,6 +22,7 @@ def with_errors(df: DataFrame, actual: str = "actual", pred: str = "pred") -> Da
 def model_metrics(df: DataFrame, actual: str, preds: Mapping[str, str], with_range: bool = True) -> DataFrame:
     """One row per model (name -> prediction column), all from one pass, plus one for the tail quantile."""
     wide = df.agg(
+        F.count(F.lit(1)).alias("rows"),
         *[
             F.struct(
                 F.lit(name).alias("model"),
@@ -33,10 +34,13 @@ def model_metrics(df: DataFrame, actual: str, preds: Mapping[str, str], with_ran
             for i, (name, p) in enumerate(preds.items())
         ]
     )
+    if with_range:
+        wide, _ = settle(wide)
     found = wide.select(F.inline(F.array(*[F.col(f"m{i}") for i in range(len(preds))])))
     if not with_range:
         return found
-    tails = one_row(quantiles(df, {p: (p, 0.995) for p in set(preds.values())}))
+    rows = wide.first()["rows"]
+    tails = one_row(quantiles(df, {p: (p, 0.995) for p in set(preds.values())}, known_rows=rows))
     lookup = F.create_map(
         *[x for name, p in preds.items() for x in (F.lit(name), F.lit(tails[p]).cast("double"))]
     )
@@ -126,11 +130,11 @@ def hardest_and_easiest(errors: DataFrame, category: str, k: int = 10) -> DataFr
 
 def range_diagnosis(df: DataFrame, actual: str, pred: str, pred_log: str | None = None) -> DataFrame:
     """Are predictions plausible against the range of the actual values?"""
-    top = df.agg(F.max(actual)).first()[0]
+    rows, top = df.agg(F.count(F.lit(1)), F.max(actual)).first()
     tails = {"actual_p99": (actual, 0.99), "pred_p99": (pred, 0.99), "pred_p995": (pred, 0.995)}
     if pred_log:
         tails["pred_log_p99"] = (pred_log, 0.99)
-    found = one_row(quantiles(df, tails))
+    found = one_row(quantiles(df, tails, known_rows=rows))
     measures = [
         F.min(actual).alias("actual_min"),
         F.max(actual).alias("actual_max"),

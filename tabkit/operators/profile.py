@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,7 +131,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     """
     hashed = df.withColumn("__h", F.xxhash64(*[_q(c) for c in df.columns]))
     repeated = hashed.groupBy("__h").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    suspects = attach(hashed, repeated, ["__h"], "inner", weight="__n").select(*[_q(c) for c in df.columns])
+    suspects = attach(hashed, repeated, ["__h"], "inner", max_rows=200_000, weight="__n").select(*[_q(c) for c in df.columns])
     same = suspects.groupBy(*[_q(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
     extra = same.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicate_rows"))
     return extra
@@ -139,7 +139,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, minimum, quartiles, maximum and missing cells of each column."""
-    basic = per_column(
+    wide = per_column(
         df.select(*[_q(c).cast("double").alias(c) for c in columns]),
         columns,
         {
@@ -152,8 +152,10 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             "missing_rate": lambda c: F.try_divide(F.count_if(c.isNull()), F.count(F.lit(1))),
         },
     )
+    basic, _ = settle(wide)
+    rows = sum(basic.select("n", "missing_count").first())
     wanted = {f"{i}|{p}": (f"`{c}`", p / 100) for i, c in enumerate(columns) for p in (25, 50, 75)}
-    found = one_row(quantiles(df, wanted))
+    found = one_row(quantiles(df, wanted, known_rows=rows))
     lookup = F.create_map(
         *[
             x
@@ -172,14 +174,18 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def target_profile(df: DataFrame, target: str) -> DataFrame:
     """Size, missingness, sign, skew and upper tail of a target."""
     x = _q(target).cast("double")
-    tail = one_row(quantiles(df, {"p99": (f"`{target}`", 0.99), "p999": (f"`{target}`", 0.999)}))
-    return df.agg(
+    wide = df.agg(
+        F.count(F.lit(1)).alias("rows"),
         F.count(x).alias("n"),
         F.try_divide(F.count_if(x.isNull()), F.count(F.lit(1))).alias("missing_rate"),
         F.count_if(x <= 0).alias("nonpositive_count"),
         skew(x).alias("skew"),
         F.max(x).alias("max"),
-    ).withColumns({k: F.lit(v).cast("double") for k, v in tail.items()})
+    )
+    basic, _ = settle(wide)
+    wanted = {"p99": (f"`{target}`", 0.99), "p999": (f"`{target}`", 0.999)}
+    tail = one_row(quantiles(df, wanted, known_rows=basic.first()["rows"]))
+    return basic.drop("rows").withColumns({k: F.lit(v).cast("double") for k, v in tail.items()})
 
 
 def category_counts(df: DataFrame, column: str) -> DataFrame:

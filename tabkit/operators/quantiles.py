@@ -24,8 +24,10 @@ ACCURACY = 10_000
 FINISH_VALUES = 4_000_000
 
 
-def is_small(df: DataFrame, limit: int | None = None) -> bool:
-    return df.count() <= (SMALL_ROWS if limit is None else limit)
+def is_small(df: DataFrame, limit: int | None = None, known_rows: int | None = None) -> bool:
+    """`known_rows` saves the count where the caller already has it, or a bound on it."""
+    rows = df.count() if known_rows is None else known_rows
+    return rows <= (SMALL_ROWS if limit is None else limit)
 
 
 def quantiles(
@@ -33,13 +35,19 @@ def quantiles(
     wanted: Mapping[str, tuple[str | Column, float]],
     by: Sequence[str] = (),
     small_rows: int | None = None,
+    known_rows: int | None = None,
 ) -> DataFrame:
-    """One row per group (one in all without `by`), one column per wanted (column, fraction)."""
+    """One row per group (one in all without `by`), one column per wanted (column, fraction).
+
+    Rows with a missing group are left out.
+    """
     by = list(by)
+    for c in by:
+        df = df.where(F.col(c).isNotNull())
     sources: dict[str, Column] = {}
     for column, _ in wanted.values():
         sources.setdefault(str(column), as_col(column).cast("double"))
-    if is_small(df, small_rows):
+    if is_small(df, small_rows, known_rows):
         return _direct(df, wanted, sources, by)
     result = None
     for name, column in sources.items():
@@ -148,9 +156,11 @@ def _bracket(rank: Column, size: Column) -> tuple[Column, Column]:
 
 def _near(rows: DataFrame, state: DataFrame, by: list[str]) -> DataFrame:
     """Each row once per rank it may decide: `v` is its value inside the bracket, NULL below it."""
-    spans = state.groupBy(*by).agg(F.collect_list(F.struct("t", "n", "r", "lo", "hi")).alias("__b"))
+    spans = state.groupBy(*by).agg(
+        F.collect_list(F.struct("t", "n", "r", "lo", "hi")).alias("__b"), F.max("n").alias("__n")
+    )
     if by:
-        tagged = attach(rows, spans, by, "inner")
+        tagged = attach(rows, spans, by, "inner", weight="__n")
     else:
         found = spans.first()["__b"]
         kind = rows.schema["x"].dataType

@@ -249,8 +249,8 @@ FROM customer
 def scale_population(spark, sf):
     customers = table(spark, sf, "customer").withColumn("five", F.lit(5.0))
     scaler = PopulationScaler(inputCols=["c_acctbal", "five"], outputCols=["z", "constant_z"]).fit(customers)
-    scaled = scaler.transform(customers)
-    back = scaler.inverse(scaled.select("c_custkey", "z", "constant_z")).withColumnRenamed("z", "back")
-    return scaled.select("c_custkey", rounded("z", 6).alias("z"), "constant_z").join(
-        back.select("c_custkey", rounded("back").alias("back")), "c_custkey"
+    scaled = scaler.transform(customers).withColumns({"z_kept": F.col("z"), "constant_kept": F.col("constant_z")})
+    back = scaler.inverse(scaled)
+    return back.select(
+        "c_custkey", rounded("z_kept", 6).alias("z"), F.col("constant_kept").alias("constant_z"), rounded("z").alias("back")
     )

@@ -6,7 +6,6 @@ Trees are kept few and shallow here; the library defaults are the full settings.
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabkit.operators import explain as X
@@ -15,7 +14,6 @@ from tabkit.operators.reshape import union_tables
 from tabkit.operators.stages import CategoryMeanRegressor, RidgeRegression
 from tabkit.plans import disclosure as D
 from tabkit.plans import regression as R
-from tabkit.plans.catalogue.errors import PRICED, predicted, priced
 from tabkit.plans.catalogue.features import LAYOUT, disclosed
 from tabkit.plans.registry import query, rounded, table
 
@@ -52,41 +50,43 @@ def ridge_single(spark, sf):
     return _one_feature(spark, sf, RidgeRegression(alpha=50.0 * n, labelCol="y"))
 
 
-@query(f"""WITH {PRICED},
-o AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, p_brand, p_size, actual, pred) AS id FROM e),
-f AS (SELECT id, p_type, p_brand, actual, pred FROM o),
+_PERMUTED = """
+WITH o AS (SELECT o_orderkey AS id, o_orderpriority AS p, o_orderstatus AS s, o_totalprice AS y FROM orders),
+m AS (SELECT p, avg(y) AS pred FROM o WHERE id % 5 <> 0 GROUP BY 1),
+f AS (SELECT o.*, m.pred FROM o JOIN m USING (p) WHERE id % 5 = 0 ORDER BY (id * 40503) % 1000003, id LIMIT 1500),
 runs AS (SELECT range AS r FROM range(3)),
 a AS (SELECT f.*, r, row_number() OVER (PARTITION BY r ORDER BY id) AS place FROM f, runs),
-b AS (SELECT p_type AS t, p_brand AS br, r, row_number() OVER (PARTITION BY r ORDER BY (id * (2654435761 + 7919 * r)) % 1000003, id)
+b AS (SELECT p AS swapped, r, row_number() OVER (PARTITION BY r ORDER BY (id * (2654435761 + 7919 * r)) % 1000003, id)
         AS place FROM f, runs),
-base AS (SELECT sqrt(avg((actual - pred) ** 2)) AS e FROM f),
-sw AS (SELECT a.r, a.actual, coalesce(tm.pred, m.pred) AS pred FROM a JOIN b USING (r, place)
-       LEFT JOIN tm ON tm.p_type = b.t, m),
-er AS (SELECT r, sqrt(avg((actual - pred) ** 2)) AS e FROM sw GROUP BY 1)
-SELECT 'p_type' AS feature, round(avg(er.e) - (SELECT e FROM base), 6) AS importance_mean,
-       round(stddev_pop(er.e), 6) AS importance_std FROM er
-UNION ALL SELECT 'p_brand', 0.0, 0.0""")
+e AS (SELECT a.r, sqrt(avg((y - m.pred) ** 2)) AS e FROM a JOIN b USING (r, place) JOIN m ON m.p = b.swapped GROUP BY 1)
+SELECT 'o_orderpriority' AS feature,
+       round(avg(e) - (SELECT sqrt(avg((y - pred) ** 2)) FROM f), 4) AS importance_mean,
+       round(stddev_pop(e), 4) AS importance_std FROM e
+UNION ALL SELECT 'o_orderstatus', 0.0, 0.0
+"""
+
+
+@query(_PERMUTED)
 def permutation_importance(spark, sf):
-    """Shuffling the type hurts the type-mean model; shuffling the unused brand changes nothing."""
-    rows = predicted(spark, sf)
-    order = ["l_orderkey", "p_brand", "p_size", "actual", "pred"]
-    train = priced(spark, sf).where((F.col("role") == "train") & (F.col("p_type") != "PROMO"))
-    model = CategoryMeanRegressor(categoryCol="p_type", labelCol="actual").fit(train)
-    keyed = rows.select("p_type", "p_brand", "actual", F.row_number().over(Window.orderBy(*order)).cast("long").alias("id"))
+    """Shuffling the priority changes the category-mean model; shuffling the unused status changes nothing."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice")
+    held = F.pmod("o_orderkey", F.lit(5)) == 0
+    model = CategoryMeanRegressor(categoryCol="o_orderpriority", labelCol="o_totalprice").fit(orders.where(~held))
     found = X.permutation_importance(
         model.transform,
-        keyed,
-        ["p_type", "p_brand"],
-        "actual",
-        "id",
-        sample_size=None,
+        orders.where(held),
+        ["o_orderpriority", "o_orderstatus"],
+        "o_totalprice",
+        "o_orderkey",
+        sample_size=1500,
         repeats=3,
         order=lambda k, f, r: F.pmod(k * (F.lit(2654435761) + 7919 * r), F.lit(1000003)),
+        sample_order=F.pmod(F.col("o_orderkey") * F.lit(40503), F.lit(1000003)),
     )
     return found.select(
         "feature",
-        (rounded("importance_mean", 6) + F.lit(0.0)).alias("importance_mean"),
-        rounded("importance_std", 6).alias("importance_std"),
+        (rounded("importance_mean") + F.lit(0.0)).alias("importance_mean"),
+        rounded("importance_std").alias("importance_std"),
     )
 
 

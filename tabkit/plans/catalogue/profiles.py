@@ -134,13 +134,13 @@ def describe_transposed(spark, sf):
 SELECT count(n_chars) AS n, round(avg(CASE WHEN n_chars IS NULL THEN 1.0 ELSE 0.0 END), 6) AS missing_rate,
        count(*) FILTER (WHERE n_chars <= 0) AS nonpositive_count, round(skewness(n_chars), 6) AS skew,
        CAST(max(n_chars) AS DOUBLE) AS max, round(quantile_cont(n_chars, 0.99), 4) AS p99,
-       round(quantile_cont(n_chars, 0.999), 4) AS p999
+       round(quantile_cont(n_chars, 0.999), 6) AS p999
 FROM documents
 """)
 def target_profile(spark, sf):
     found = P.target_profile(table(spark, sf, "documents"), "n_chars")
     return found.withColumns(
-        {"missing_rate": rounded("missing_rate", 6), "skew": rounded("skew", 6), "p99": rounded("p99"), "p999": rounded("p999")}
+        {"missing_rate": rounded("missing_rate", 6), "skew": rounded("skew", 6), "p99": rounded("p99"), "p999": rounded("p999", 6)}
     )
 
 
@@ -148,13 +148,13 @@ def target_profile(spark, sf):
 SELECT count(c_acctbal) AS n, round(avg(CASE WHEN c_acctbal IS NULL THEN 1.0 ELSE 0.0 END), 6) AS missing_rate,
        count(*) FILTER (WHERE c_acctbal <= 0) AS nonpositive_count, round(skewness(c_acctbal), 6) AS skew,
        max(c_acctbal) AS max, round(quantile_cont(c_acctbal, 0.99), 4) AS p99,
-       round(quantile_cont(c_acctbal, 0.999), 4) AS p999
+       round(quantile_cont(c_acctbal, 0.999), 6) AS p999
 FROM customer
 """)
 def target_profile_signed(spark, sf):
     found = P.target_profile(table(spark, sf, "customer"), "c_acctbal")
     return found.withColumns(
-        {"missing_rate": rounded("missing_rate", 6), "skew": rounded("skew", 6), "p99": rounded("p99"), "p999": rounded("p999")}
+        {"missing_rate": rounded("missing_rate", 6), "skew": rounded("skew", 6), "p99": rounded("p99"), "p999": rounded("p999", 6)}
     )
 
 
@@ -174,7 +174,7 @@ def distinct_categories(spark, sf):
 
 @query("""
 SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.01), 4) AS p01,
-       round(quantile_cont(o_totalprice, 0.5), 4) AS p50, round(quantile_cont(o_totalprice, 0.995), 4) AS p995,
+       round(quantile_cont(o_totalprice, 0.5), 4) AS p50, round(quantile_cont(o_totalprice, 0.995), 6) AS p995,
        max(o_totalprice) AS p100
 FROM orders GROUP BY 1
 """)
@@ -186,7 +186,7 @@ def quantile_ladder(spark, sf):
         "p100": ("o_totalprice", 1.0),
     }
     found = quantiles(table(spark, sf, "orders"), wanted, by=["o_orderpriority"])
-    return found.withColumns({c: rounded(c) for c in ("p01", "p50", "p995")})
+    return found.withColumns({"p01": rounded("p01"), "p50": rounded("p50"), "p995": rounded("p995", 6)})
 
 
 @query("""

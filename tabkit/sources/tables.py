@@ -75,9 +75,14 @@ def write_csv(df: DataFrame, path: str) -> str:
 
 
 def write_table(df: DataFrame, path: str, by: Sequence[str] = ()) -> str:
-    """Cleaned table as Parquet, by default unpartitioned; partition by year to prune holdout scans."""
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*by) if by else writer).parquet(path)
+    """Cleaned table as Parquet, by default unpartitioned; partition by year to prune holdout scans.
+
+    The rebalance hint lets adaptive execution give a large year several writers and small ones one file.
+    """
+    if by:
+        df.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
     return path
 
 
