@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabkit.functions.numbers import clip
 from tabkit.operators.quantiles import quantiles
@@ -68,13 +70,20 @@ def upper_bound(df: DataFrame, column: str, q: float) -> float | None:
     return one_row(quantiles(df, {"bound": (column, q)}))["bound"]
 
 
+def at_most(df: DataFrame, column: str, bound: float) -> Column:
+    """Upper bound in the column's own type, so that the scan can skip row groups."""
+    if isinstance(df.schema[column].dataType, T.IntegralType):
+        return F.col(column) <= F.lit(math.floor(bound))
+    return F.col(column) <= F.lit(float(bound))
+
+
 def cap_rows(df: DataFrame, column: str, q: float | None) -> tuple[DataFrame, float | None]:
-    """Rows with 0 < value <= the q-quantile. The bound is inlined, so the scan can skip row groups."""
+    """Rows with 0 < value <= the q-quantile; the bound is inlined."""
     kept = df.where(F.col(column) > 0)
     if q is None or q >= 1.0:
         return kept, None
     bound = upper_bound(df, column, q)
-    return kept.where(F.col(column) <= F.lit(bound)), bound
+    return kept.where(at_most(df, column, bound)), bound
 
 
 def winsor_bounds(df: DataFrame, columns: Sequence[str], low: float = 0.01, high: float = 0.99) -> dict:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tabkit.session import as_col, attach, settle
 
-SMALL_ROWS = 5_000_000
+SMALL_ROWS = 2_000_000
 GRID = 1000
 ACCURACY = 10_000
 FINISH_VALUES = 4_000_000

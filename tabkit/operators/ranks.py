@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tabkit.operators.quantiles import is_small, values_at_ranks
 
+# Up to here one task numbers all rows.
+SMALL_RANKS = 1_000_000
 TILE_ROWS = 2_000_000
 MAX_TILES = 1000
 
@@ -71,7 +73,7 @@ def assign_deciles(
 
     Row number rn of n gets k = max(1, ceil((rn - 1) * tiles / (n - 1))).
     """
-    if is_small(df, small_rows):
+    if is_small(df, SMALL_RANKS if small_rows is None else small_rows):
         order = Window.orderBy(F.col(value).asc_nulls_last(), F.col(key))
         total = F.count(value).over(Window.partitionBy())
         ranked = df.withColumns({"__rn": F.row_number().over(order), "__n": total})
@@ -95,7 +97,7 @@ def rank_rows(
 
     Many rows: each tile holds a known range of ranks, so numbering inside the tiles is enough.
     """
-    if is_small(df, small_rows):
+    if is_small(df, SMALL_RANKS if small_rows is None else small_rows):
         order = Window.orderBy(F.col(value).asc_nulls_last(), F.col(key))
         number = F.row_number().over(order).cast("long")
         return df.withColumn(out, F.when(F.col(value).isNotNull(), number))

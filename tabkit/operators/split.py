@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabkit.operators.clean import upper_bound
+from tabkit.operators.clean import at_most, upper_bound
 
 TRAIN, TEST = "train", "test"
 
@@ -66,7 +66,7 @@ def scope(
     Returns the kept rows, the bound, and per role the rows kept and removed.
     """
     bound = upper_bound(df.where(F.col(role) == TRAIN), target, q)
-    keep = F.col(target) <= F.lit(bound)
+    keep = at_most(df, target, bound)
     report = df.groupBy(role).agg(
         F.count_if(keep).alias("rows_kept"),
         (F.count(F.lit(1)) - F.count_if(keep)).alias("rows_removed"),

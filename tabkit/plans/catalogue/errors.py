@@ -13,26 +13,24 @@ from tabkit.plans.registry import query, rounded, slot_of, table
 
 
 def priced(spark, sf):
-    """Order lines with part type, brand and order year; every fifth order is a test order."""
+    """Order lines with part type and brand; every fifth order is a test order."""
     lines = table(spark, sf, "lineitem")
     part = table(spark, sf, "part").select("p_partkey", "p_type", "p_brand", "p_size")
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
-    joined = lines.join(part, lines.l_partkey == part.p_partkey).join(orders, lines.l_orderkey == orders.o_orderkey)
+    joined = lines.join(part, lines.l_partkey == part.p_partkey)
     return joined.select(
         "l_orderkey",
         "p_type",
         "p_brand",
         "p_size",
-        F.year("o_orderdate").alias("year"),
         (F.col("l_extendedprice") / 300).alias("actual"),
         F.when(F.pmod("l_orderkey", F.lit(5)) == 0, "test").otherwise("train").alias("role"),
     )
 
 
 PRICED = """
-r AS (SELECT l_orderkey, p_type, p_brand, p_size, year(o_orderdate) AS year, l_extendedprice / 300 AS actual,
+r AS (SELECT l_orderkey, p_type, p_brand, p_size, l_extendedprice / 300 AS actual,
         CASE WHEN l_orderkey % 5 = 0 THEN 'test' ELSE 'train' END AS role
-      FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey),
+      FROM lineitem JOIN part ON l_partkey = p_partkey),
 tm AS (SELECT p_type, avg(actual) AS pred FROM r WHERE role = 'train' AND p_type <> 'PROMO' GROUP BY 1),
 bm AS (SELECT p_brand, avg(actual) AS pred FROM r WHERE role = 'train' GROUP BY 1),
 m AS (SELECT avg(actual) AS pred FROM r WHERE role = 'train' AND p_type <> 'PROMO'),
