@@ -101,8 +101,10 @@ def _sliced(df: DataFrame, by: str, wide: bool) -> DataFrame:
             F.sqrt(F.avg(F.col("residual") * F.col("residual"))).alias("rmse"),
         ]
     present = df.where(F.col(by).isNotNull())
-    middle = quantiles(present, {"median_ae": ("abs_error", 0.5)}, by=[by])
-    return present.groupBy(by).agg(*measures).join(middle, by, "left")
+    found, _ = settle(present.groupBy(by).agg(*measures))
+    rows = found.agg(F.sum("n")).first()[0] or 0
+    middle = quantiles(present, {"median_ae": ("abs_error", 0.5)}, by=[by], known_rows=rows)
+    return found.join(middle, by, "left")
 
 
 def band_errors(df: DataFrame, band: str, labels: Sequence[str], wide: bool = False) -> DataFrame:

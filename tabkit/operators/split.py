@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabkit.operators.clean import at_most, upper_bound
+from tabkit.session import settle
 
 TRAIN, TEST = "train", "test"
 
@@ -26,12 +27,15 @@ def random_role(
 def year_role(df: DataFrame, year: str, holdout: int | None = None, out: str = "role") -> DataFrame:
     """Earlier years train, the holdout year (by default the last one) tests, later years have no role."""
     years = F.col(year).cast("int")
-    found = df.agg(F.max(years).alias("last"), F.min(years).alias("first")).first()
+    held = F.lit(0) if holdout is None else F.count_if(years == holdout)
+    found = df.agg(F.max(years).alias("last"), F.min(years).alias("first"), held.alias("held")).first()
     if found["last"] is None:
         raise ValueError(f"no valid years in {year}")
+    test_rows = found["held"] if holdout is not None else 1
     holdout = found["last"] if holdout is None else holdout
+    if found["first"] >= holdout or not test_rows:
+        raise ValueError(f"empty split at {holdout}: years {found['first']} to {found['last']}")
     ranked = df.withColumn(out, F.when(years < holdout, TRAIN).when(years == holdout, TEST))
-    check_roles(ranked, out)
     return ranked.where(F.col(out).isNotNull())
 
 
@@ -50,25 +54,25 @@ def entity_role(
     return df.withColumn(out, F.when(slot < round(test_share * 10_000), TEST).otherwise(TRAIN))
 
 
-def check_roles(df: DataFrame, role: str = "role") -> None:
-    found = df.agg(
-        F.count_if(F.col(role) == TRAIN).alias("train"), F.count_if(F.col(role) == TEST).alias("test")
-    ).first()
-    if not found["train"] or not found["test"]:
-        raise ValueError(f"empty split: {found['train']} train rows, {found['test']} test rows")
-
-
 def scope(
     df: DataFrame, target: str, q: float = 0.99, role: str = "role"
 ) -> tuple[DataFrame, float, DataFrame]:
     """Drop rows above the q-quantile of the train target from both roles.
 
-    Returns the kept rows, the bound, and per role the rows kept and removed.
+    Returns the kept rows, the bound, and per role the rows kept and removed. Both roles must keep rows.
     """
     bound = upper_bound(df.where(F.col(role) == TRAIN), target, q)
+    if bound is None:
+        raise ValueError("empty split: no train rows")
     keep = at_most(df, target, bound)
-    report = df.groupBy(role).agg(
-        F.count_if(keep).alias("rows_kept"),
-        (F.count(F.lit(1)) - F.count_if(keep)).alias("rows_removed"),
+    report, _ = settle(
+        df.groupBy(role).agg(
+            F.count_if(keep).alias("rows_kept"),
+            (F.count(F.lit(1)) - F.count_if(keep)).alias("rows_removed"),
+            F.lit(bound).alias("scope_upper"),
+        )
     )
-    return df.where(keep), bound, report.withColumn("scope_upper", F.lit(bound))
+    kept = {r[role]: r["rows_kept"] for r in report.collect()}
+    if not kept.get(TRAIN) or not kept.get(TEST):
+        raise ValueError(f"empty split: rows per role {kept}")
+    return df.where(keep), bound, report

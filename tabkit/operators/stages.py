@@ -155,10 +155,10 @@ class GroupMedianFill(Estimator, _Columns, _GroupCol, DefaultParamsReadable, Def
     def _fit(self, df: DataFrame) -> GroupMedianFillModel:
         columns, group = self.getInputCols(), self.getOrDefault("groupCol")
         wanted = {f"__m{i}": (f"`{c}`", 0.5) for i, c in enumerate(columns)}
-        overall = one_row(quantiles(df, wanted))
-        grouped = df.where(F.col(group).isNotNull())
-        medians = quantiles(grouped, wanted, by=[group])
-        sizes = grouped.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
+        sizes, _ = settle(df.groupBy(group).agg(F.count(F.lit(1)).alias("__n")))
+        rows = sizes.agg(F.sum("__n")).first()[0] or 0
+        overall = one_row(quantiles(df, wanted, known_rows=rows))
+        medians = quantiles(df, wanted, by=[group], known_rows=rows)
         model = GroupMedianFillModel()._set(
             inputCols=columns,
             outputCols=self._outputs(),
@@ -364,15 +364,14 @@ class CategoryMeanRegressor(Estimator, _Baseline, DefaultParamsReadable, Default
         if category not in df.columns:
             raise KeyError(category)
         key = F.coalesce(F.col(f"`{category}`").cast("string"), F.lit("Missing"))
-        means = df.groupBy(key.alias("__key")).agg(
-            F.avg(label).alias("__mean"), F.count(F.lit(1)).alias("__n")
-        )
-        model = CategoryMeanRegressorModel()._set(
-            categoryCol=category,
-            predictionCol=self.getPredictionCol(),
-            constant=_centre(df, label, self.getOrDefault("fallback")),
-        )
-        return model._hold(means)
+        means = df.groupBy(key.alias("__key")).agg(F.avg(label).alias("__mean"), F.count(label).alias("__n"))
+        model = CategoryMeanRegressorModel()._set(categoryCol=category, predictionCol=self.getPredictionCol())
+        model._hold(means)
+        if self.getOrDefault("fallback") == "median":
+            return model._set(constant=_centre(df, label, "median"))
+        # The mean of all rows follows from the means of the categories, without another pass.
+        weighted = F.sum(F.col("__mean") * F.col("__n")) / F.sum("__n")
+        return model._set(constant=model.table.agg(weighted).first()[0])
 
 
 class CategoryMeanRegressorModel(_TableModel, _Baseline):
