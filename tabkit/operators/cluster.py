@@ -13,7 +13,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabkit.operators.clean import sample_rows
 from tabkit.operators.quantiles import quantiles
+from tabkit.session import settle
 
 # Names of a three-cluster solution.
 HIGH_FIRST = "High Energy - Moderate Water"
@@ -61,8 +63,7 @@ def silhouette(
     """
     spark = df.sparkSession
     chosen = df.select(F.col(key).alias("k"), F.col(features).cast("array<double>").alias("x"), F.col(label).alias("c"))
-    chosen = chosen.orderBy(F.xxhash64("k", F.lit(seed)), "k").limit(sample_size)
-    rows = chosen.collect()
+    rows = sample_rows(chosen, sample_size, "k", seed).collect()
     points = np.array([r["x"] for r in rows], dtype=float)
     names, labels = np.unique([r["c"] for r in rows], return_inverse=True)
     shared = spark.sparkContext.broadcast((points, labels, len(names)))
@@ -153,6 +154,8 @@ def k_sweep(
     """Mean inertia, silhouette and pairwise stability for each number of clusters."""
     spark = df.sparkSession
     base = vectors(df.select(key, *columns), columns).persist()
+    # One sample per seed serves every k.
+    samples = {s: settle(sample_rows(df.select(key, *columns), sample_size, key, s), sample_size)[0] for s in seeds}
     rows = []
     for k in ks:
         labelled, names, costs, widths = base, {}, [], []
@@ -162,7 +165,7 @@ def k_sweep(
             column = f"c{seed}"
             labelled = model.setPredictionCol(column).transform(labelled)
             names[str(seed)] = column
-            one = model.transform(base).withColumn("x", F.array(*columns))
+            one = model.transform(vectors(samples[seed], columns)).withColumn("x", F.array(*columns))
             widths.append(silhouette(one, "x", column, key, sample_size, seed).first()["silhouette"])
         stable = adjusted_rand(labelled, names).agg(F.avg("ari")).first()[0] if len(names) > 1 else 1.0
         rows.append((k, float(np.mean(costs)), float(np.mean(widths)), float(stable)))

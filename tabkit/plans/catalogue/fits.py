@@ -16,6 +16,7 @@ from tabkit.plans import disclosure as D
 from tabkit.plans import regression as R
 from tabkit.plans.catalogue.features import DISCLOSED, LAYOUT, disclosed
 from tabkit.plans.registry import query, rounded, table
+from tabkit.session import written
 
 SMALL_FOREST = {"numTrees": 10, "maxDepth": 5}
 
@@ -39,6 +40,19 @@ def ols_single(spark, sf):
     return _one_feature(spark, sf, LinearRegression(labelCol="y", regParam=0.0))
 
 
+@query("""
+WITH s AS (SELECT count(*) AS n, covar_pop(l_extendedprice, l_quantity) AS y1, covar_pop(l_extendedprice, l_tax) AS y2,
+    covar_pop(l_quantity, l_tax) AS x12, var_pop(l_quantity) AS x11, var_pop(l_tax) AS x22 FROM lineitem)
+SELECT 'l_quantity' AS feature, round((y1 * x22 - y2 * x12) / (x11 * x22 - x12 * x12), 2) AS coefficient FROM s
+UNION ALL SELECT 'l_tax', round((y2 * x11 - y1 * x12) / (x11 * x22 - x12 * x12), 2) FROM s
+""")
+def ols_pair(spark, sf):
+    """Two features at once, through the near-reconstruction report."""
+    lines = table(spark, sf, "lineitem").select("l_quantity", "l_tax", F.col("l_extendedprice").alias("y"))
+    _, coefficients = R.near_reconstruction(lines, lines, ["l_quantity", "l_tax"], "y")
+    return coefficients.select("feature", rounded("coefficient", 2).alias("coefficient"))
+
+
 @query("""
 WITH s AS (SELECT count(*) AS n, covar_pop(l_extendedprice, l_quantity) * count(*) AS xy,
                   var_pop(l_quantity) * count(*) AS xx, avg(l_quantity) AS mx, avg(l_extendedprice) AS my FROM lineitem)
@@ -200,7 +214,9 @@ def _engineered(spark, sf):
 
 def _evaluations(spark, sf, names, split):
     rows, sets = _engineered(spark, sf)
-    rows = M.spread(rows)
+    dealt = M.spread(rows)
+    rows = written(dealt, "modelling-rows")
+    dealt.unpersist()
     return [
         R.run_split(
             rows, name, sets[name], "target", split, year="year", entity=D.BUILDING_ID, key="id",

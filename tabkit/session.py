@@ -55,6 +55,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a Parquet table in the shared folder: lineage and long expressions end here, and
+    later readers prune columns. For frames that several jobs read."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def settle(table: DataFrame, max_rows: int = SETTLE_ROWS) -> tuple[DataFrame, bool]:
     """Compute a fitted table once. Returns it and whether it is proven small.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterable, Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,14 +14,14 @@ from tabkit.functions.coerce import NULL_TOKENS, to_number
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Works for every file system Spark can read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    """Works for every file system Spark can read; nothing is read but the listing."""
     try:
-        return not files.load(path).select("path").limit(1).isEmpty()
-    except Exception as problem:
-        if "PATH_NOT_FOUND" in str(problem):
+        spark.read.text(path)
+    except AnalysisException as problem:
+        if problem.getCondition() == "PATH_NOT_FOUND":
             return False
         raise
+    return True
 
 
 def read_csv(
