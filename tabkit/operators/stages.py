@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tabkit.functions.numbers import clip
 from tabkit.operators.clean import winsor_bounds
 from tabkit.operators.quantiles import quantiles
-from tabkit.session import SETTLE_ROWS, attach, one_row, settle
+from tabkit.session import join_large, one_row, settle
 
 
 class _Columns(HasInputCols, HasOutputCols):
@@ -75,7 +75,7 @@ class _TableModel(Model, MLReadable, MLWritable):
         """Left join on one key: broadcast when the table was proven small, else by shuffle."""
         if self.small:
             return df.join(F.broadcast(table), key, "left")
-        return attach(df, table, [key], max_rows=0, weight="__n" if "__n" in table.columns else None)
+        return join_large(df, table, [key], weight="__n")
 
     def write(self) -> MLWriter:
         return _TableWriter(self)

@@ -82,18 +82,24 @@ def attach(
     max_rows: int = SETTLE_ROWS,
     weight: str | None = None,
 ) -> DataFrame:
-    """Join a table with one row per key to many rows.
-
-    A table of at most `max_rows` rows is broadcast. Beyond that, keys that hold at least one
-    2,000th of all rows (column `weight` counts them; there can be at most 2,000) are broadcast and
-    the others joined by shuffle, so that no hot key lands in one task.
-    """
+    """Join a table with one row per key to many rows: broadcast up to `max_rows` rows, else `join_large`."""
     table, small = settle(table, max_rows)
     if small:
         return rows.join(F.broadcast(table), on, how)
+    return join_large(rows, table, on, how, weight)
+
+
+def join_large(
+    rows: DataFrame, table: DataFrame, on: list[str], how: str = "left", weight: str | None = None
+) -> DataFrame:
+    """Join with a settled table that is too large to broadcast.
+
+    Keys that hold at least one 2,000th of all rows (column `weight` counts them; there can be at most
+    2,000) are broadcast and the others joined by shuffle, so that no hot key lands in one task.
+    """
     if weight is None:
         return rows.join(table, on, how)
-    total = table.agg(F.sum(weight)).first()[0]
+    total = table.agg(F.sum(weight)).first()[0] or 0
     is_hot = F.col(weight) * 2000 >= F.lit(total)
     hot = table.where(is_hot)
     spread = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
