@@ -39,6 +39,25 @@ def stratified(rows: DataFrame, by: str, key: str, size: int, max_groups: int =
     return rows.where(uniform(seed, F.col(key)) < take)
 
 
+def labelled(
+    docs: DataFrame, labels: DataFrame, label: str, size: int, folds: int, left_out: int, id_: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """label, text, key (hash of the text), weight: distinct texts of at most about `size` labelled rows of each class.
+
+    Rows of fold `left_out` are not learned from; labels other than 0 and 1 and null texts are left out, several labels
+    of an id count as their largest. weight restores the classes' shares.
+    """
+    known = labels.where((fold(id_, folds) != left_out) & F.col(label).isin(0, 1))
+    known = written(known.groupBy(F.col(id_).alias("id")).agg(F.max(label).cast("int").alias("label")), "labels")
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    chosen = F.broadcast(stratified(known, "label", "id", size))
+    rows = docs.select(F.col(id_).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL").join(chosen, "id")
+    rows = rows.withColumn("key", F.xxhash64("text"))
+    weight = F.when(F.col("label") == 1, F.lit(max(1.0, counts.get(1, 0) / size))).otherwise(F.lit(max(1.0, counts.get(0, 0) / size)))
+    rows = rows.groupBy("key").agg(F.max("label").alias("label"), F.min("text").alias("text"))
+    return written(rows.select("label", "text", "key", weight.alias("weight")), "labelled")
+
+
 def same_table(a: DataFrame, b: DataFrame) -> bool:
     """Whether two tables of distinct rows are equal: by count and by the sum of their rows' hashes."""
     found = [

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabkit.llm import lang_id, mixing, packing, topk, url_filter, warc
+from tabkit.llm import embed_dedup, lang_id, minhash, mixing, packing, quality, topk, toxicity, url_filter, warc
 from tabkit.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,7 +143,51 @@ def op5_mixing(spark, sf):
     return mixing.mix(table(spark, sf, "documents"), MIX).withColumn("target", F.round("target", 6))
 
 
+@query()
+def op6_minhash(spark, sf):
+    """Groups of near duplicates among all documents."""
+    return minhash.near_duplicates(table(spark, sf, "documents"))
+
+
 @query()
 def op7_packing(spark, sf):
     """Pack all documents into sequences of 1024 tokens."""
     return packing.pack(table(spark, sf, "documents"), vocabulary())
+
+
+def _held_out(folds: int, left_out: int):
+    return F.coalesce(fold("doc_id", folds) == left_out, F.lit(False)).alias("held_out")
+
+
+@query()
+def op8_quality(spark, sf):
+    """Quality of every document, learned from the labels of four fifths of the labelled ones."""
+    docs = table(spark, sf, "documents")
+    found = quality.score(docs, quality.fit(docs, table(spark, sf, "labels")), ["doc_id"])
+    return found.select("doc_id", _held_out(5, 0), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query()
+def op9_toxicity(spark, sf):
+    """Toxicity of every document, learned from the labels of four fifths of the labelled ones."""
+    docs = table(spark, sf, "documents")
+    found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf, "labels")), ["doc_id"])
+    return found.select("doc_id", _held_out(5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+_LINKS = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IS NOT NULL
+  AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS size FROM v),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE a.size > 0 AND b.size > 0 AND list_dot_product(a.v, b.v) / (a.size * b.size) >= 0.98),
+r(vec_id, reach) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, e.b FROM r JOIN e ON r.reach = e.a),
+c AS (SELECT vec_id, min(reach) AS component_id FROM r GROUP BY 1),
+k AS (SELECT a AS vec_id, count(*) AS n_links FROM e GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM c LEFT JOIN k USING (vec_id)"""
+
+
+@query(_LINKS)
+def op10_vectors(spark, sf):
+    """Links and groups of near-equal vectors of the same label."""
+    return embed_dedup.near_vectors(table(spark, sf, "embeddings"))
