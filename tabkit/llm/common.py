@@ -58,12 +58,9 @@ def labelled(
     return written(rows.select("label", "text", "key", weight.alias("weight")), "labelled")
 
 
-def same_table(a: DataFrame, b: DataFrame) -> bool:
-    """Whether two tables of distinct rows are equal: by count and by the sum of their rows' hashes."""
-    found = [
-        t.agg(F.count("*"), F.sum(F.xxhash64(*t.columns).cast("decimal(38,0)"))).first() for t in (a, b)
-    ]
-    return tuple(found[0]) == tuple(found[1])
+def summary(table: DataFrame) -> tuple:
+    """Count and sum of the hashes of a table's rows: equal for tables of the same distinct rows."""
+    return tuple(table.agg(F.count("*"), F.sum(F.xxhash64(*table.columns).cast("decimal(38,0)"))).first())
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -74,7 +71,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """
     hi, lo = F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")
     pairs = written(links.where(F.col(a) != F.col(b)).select(hi, lo).distinct(), "links")
-    while True:
+    state = summary(pairs)
+    while state[0]:
         both = pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(
             pairs.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         )
@@ -84,9 +82,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = large.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         small = written(moved.union(least.select("hi", F.col("m").alias("lo"))).distinct(), "links")
-        done = same_table(pairs, small)
-        pairs = small
-        if done:
+        pairs, before, state = small, state, summary(small)
+        if state == before:
             break
     roots = pairs.select("lo").distinct()
     return pairs.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(

@@ -162,8 +162,7 @@ def identify(docs: DataFrame, model: LangModel, keep: list[str], text: str = "te
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
     rows = docs.select(*keep, F.col(text).alias("text_"))
-    schema = [f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keep).schema]
-    schema = ", ".join([*schema, "lang_pred string", "score double", "ambiguous boolean"])
+    schema = rows.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: LangModel = sent.value

@@ -14,8 +14,8 @@ components after that are compared with each other, so no pair that a band propo
 large groups of near copies need one comparison per member.
 
 Words are runs of letters, digits and non-ASCII characters of the lower-case text (cut after a megabyte). Texts of one
-to four words are one shingle. Defined results: null texts and texts without words are alone; equal ids count as one
-document per distinct text, and their rows get the same component; n_shingles 0 for texts without words; an empty
+to four words are one shingle. Defined results: null texts, texts without words, and rows with a null id are alone; equal ids count as
+one document, whose rows get the same component; n_shingles 0 for texts without words; an empty
 table gives no rows; other columns are ignored.
 """
 
@@ -197,7 +197,7 @@ def near_duplicates(
     A pair with an index of 0.8 shares one of 20 bands of 4 with probability 0.99997.
     """
     marked = written(signed(docs, id_, text, size, bands, rows), "signatures")
-    some = marked.where("n_shingles > 0")
+    some = marked.where("n_shingles > 0 AND id IS NOT NULL")
     classes = some.groupBy("print", "n_shingles").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"))
     classes = written(classes, "classes")
     member = written(classes.select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "key")), "bands")
@@ -227,15 +227,17 @@ def near_duplicates(
     other = home.select("key", F.col("id").alias("b"), F.col("component").alias("other"))
     second = home.join(other, "key").where("id < b AND component <> other").select(F.col("id").alias("a"), "b").distinct()
     second = written(second.join(first, ["a", "b"], "left_anti"), "pairs")
-    links = links.union(checked(second))
-    found = written(components(links, "a", "b"), "components")
+    links = checked(second)
+    if not links.isEmpty():
+        links = links.union(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        found = written(components(links, "a", "b"), "components")
 
     groups = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     groups = groups.select("print", F.col("n_shingles").alias("n"), "rep", F.coalesce("component", "rep").alias("component"))
     groups = written(groups, "groups")
     rows_ = marked.select("id", "n_shingles", "print").alias("m")
     joined = rows_.join(groups, (F.col("m.print") == groups["print"]) & (F.col("n_shingles") == F.col("n")), "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id"))
+    component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
     return joined.select(
         F.col("id").alias(id_), "n_shingles", component.alias("component"), component.eqNullSafe(F.col("id")).alias("kept")
     )

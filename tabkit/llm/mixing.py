@@ -85,19 +85,23 @@ def mix(
     border: str = "cut",
     slice_rows: int = 50_000,
     seed: int = 1,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """id, size, source_size, target, taken, copies for every row.
+    """id, size, source_size, target, taken, copies for every row, and the columns `keep`.
 
     `border`: a target usually ends inside a document. "cut" takes only its first words, as many as are missing;
     "whole" takes the document if at least half of it fits. copies counts the whole uses of the text, taken its words.
     """
     quality = F.greatest(F.lit(1e-9), F.coalesce(weight if weight is not None else prose_weight(F.col(text)), F.lit(0.0)))
-    rows = docs.select(F.col(id_).alias("id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), quality.alias("w"))
+    keep = keep or []
+    rows = docs.select(
+        F.col(id_).alias("id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), quality.alias("w"), *keep
+    )
     u = (uniform(seed, F.col("id")) + 2.0**-50) / (1 + 2.0**-49)
     # u^(1/w) falls as the exponential key rises, and lies between 0 and 1
     rows = rows.withColumn("key", -F.log(u) / F.col("w")).withColumn("height", F.exp(-F.col("key")))
-    rows = written(rows.drop("w"), "mix")
-    slices = max(1, -(-rows.count() // slice_rows))
+    rows = rows.drop("w") if keep else written(rows.drop("w"), "mix")  # texts are not written, but read again
+    slices = max(1, -(-docs.count() // slice_rows))
     rows = rows.withColumn("slice", F.floor((1 - F.col("height")) * slices).cast("long"))
 
     by_slice = written(rows.groupBy("source", "slice").agg(F.sum("size").alias("words")), "mix-slices")
@@ -115,7 +119,7 @@ def mix(
     known = written(known, "mix-known")
 
     rows = rows.alias("l").join(known.alias("r"), same, "left")
-    rows = rows.select("l.id", "l.source", "size", "key", "slice", "source_size", "target", "epochs", "budget", "end", "before")
+    rows = rows.select("l.id", "l.source", "size", "key", "slice", "source_size", "target", "epochs", "budget", "end", "before", *keep)
     inside = rows.where(F.col("slice") == F.col("end"))
     # the last comparison keeps it a running sum even for rows that are alike
     line = Window.partitionBy("source").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -135,4 +139,5 @@ def mix(
         "target",
         (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"),
         (F.col("epochs") + ((F.col("part") == F.col("size")) & (F.col("size") > 0)).cast("long")).alias("copies"),
+        *keep,
     )

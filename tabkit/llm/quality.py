@@ -159,7 +159,7 @@ def score(docs: DataFrame, model: QualityModel, keep: list[str], text: str = "te
     """Columns `keep` of every row, and its score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*keep, F.col(text).alias("text_"))
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keep).schema), "score double"])
+    schema = rows.select(*keep).schema.add("score", "double")
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: QualityModel = sent.value

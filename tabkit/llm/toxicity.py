@@ -9,8 +9,9 @@ within `REACH` words of a second-person word, share of second-person words, shar
 of exclamation and question marks, of words that hide letters behind signs, digits or repeats, hits among
 those, and the length.
 
-Defined results: null and empty texts are scored like texts without words; if a part of the sample lacks a class,
-the score is the share of toxic texts among the labelled, 0 without labels. Whole texts count.
+Defined results: null and empty texts are scored like texts without words; if a part of the sample
+lacks a class, both parts grow trees and their probability is the score; if both together do, the score is
+the share of toxic texts among the labelled, 0 without labels. Whole texts count.
 """
 
 from __future__ import annotations
@@ -151,7 +152,7 @@ def featured(rows: DataFrame, terms: frozenset[str], keep: list[str], text: str)
     """Columns `keep` and the features of each text."""
     sent = rows.sparkSession.sparkContext.broadcast(terms)
     rows = rows.select(*keep, F.col(text).alias("text_"))
-    kept = [f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keep).schema]
+    schema = rows.select(*keep).schema.add("features_", "array<double>")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(sent.value)
@@ -162,7 +163,7 @@ def featured(rows: DataFrame, terms: frozenset[str], keep: list[str], text: str)
                 [*(batch.column(c) for c in names), pa.array(found, pa.list_(pa.float64()))], names=[*names, "features_"]
             )
 
-    found = rows.mapInArrow(read, ", ".join([*kept, "features_ array<double>"]))
+    found = rows.mapInArrow(read, schema)
     return found.withColumn("features_", array_to_vector("features_"))
 
 
@@ -178,12 +179,18 @@ def fit(
     grow, tune = rows.where("u < 0.8"), rows.where("u >= 0.8")
     sums = sample.agg(F.sum(F.col("weight") * F.col("label")).alias("toxic"), F.sum("weight").alias("all")).first()
     share = sums["toxic"] / sums["all"] if sums["all"] else 0.0
-    if any(part.select("label").distinct().count() < 2 for part in (grow, tune)):
-        return ToxicityModel(terms, None, None, share)
+    both = lambda part: part.select("label").distinct().count() == 2
+    calibrated = both(grow) and both(tune)
+    if not calibrated:
+        grow = rows
+        if not both(grow):
+            return ToxicityModel(terms, None, None, share)
     trees = GBTClassifier(
         featuresCol="features_", labelCol="label", weightCol="weight", predictionCol="class_", maxIter=15, maxDepth=3,
         stepSize=0.3, seed=7, cacheNodeIds=False, minInstancesPerNode=2,
     ).fit(grow)
+    if not calibrated:
+        return ToxicityModel(terms, trees, None, share)
     raw = _raw(trees.transform(tune)).select("label", "weight", "raw_")
     scale = IsotonicRegression(featuresCol="raw_", labelCol="label", weightCol="weight", predictionCol="score").fit(raw)
     return ToxicityModel(terms, trees, scale, share)
@@ -198,4 +205,6 @@ def score(docs: DataFrame, model: ToxicityModel, keep: list[str], text: str = "t
     if model.trees is None:
         return docs.select(*keep).withColumn("score", F.lit(float(model.share)))
     rows = _raw(model.trees.transform(featured(docs, model.terms, keep, text)).select(*keep, "probability"))
+    if model.scale is None:
+        return rows.select(*keep, F.col("raw_").alias("score"))
     return model.scale.transform(rows.select(*keep, "raw_")).select(*keep, F.col("score").cast("double"))
