@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,6 +94,37 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
+def in_blocks(members: DataFrame, size: str, block: int, *names: str) -> DataFrame:
+    """Cut groups of `size` members into blocks of about `block`, dealt by a hash of `names`, that meet pairwise.
+
+    A member comes once for each block of its group, in the group (low, high) of the two blocks; side is its own.
+    """
+    blocks = F.ceil(F.col(size) / block).cast("int")
+    rows = members.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64(*names), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other"))
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal keys in a sorted stream."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in key)))
+        start = 0
+        for i, k in enumerate(keys):
+            if k != last:
+                if i > start:
+                    held.append(batch.slice(start, i - start))
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, start, last = [], i, k
+        if len(keys) > start:
+            held.append(batch.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def local_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Smallest index that each of n points reaches over the links left[i] - right[i]."""
     root = np.arange(n)

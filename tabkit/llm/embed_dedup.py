@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabkit.llm.common import components, local_roots
+from tabkit.llm.common import components, in_blocks, local_roots, runs
 from tabkit.llm.topk import matrix, usable
 from tabkit.session import written
 
@@ -100,26 +100,6 @@ def coded(rows: DataFrame, tables: int, hashes: int, probes: int) -> DataFrame:
     return rows.mapInArrow(code, "id long, label string, print binary, unit binary, codes array<long>")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
-    """Runs of rows with equal keys in a sorted stream."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        keys = list(zip(*(batch.column(c).to_pylist() for c in key)))
-        start = 0
-        for i, k in enumerate(keys):
-            if k != last:
-                if i > start:
-                    held.append(batch.slice(start, i - start))
-                if held:
-                    yield pa.Table.from_batches(held)
-                held, start, last = [], i, k
-        if len(keys) > start:
-            held.append(batch.slice(start))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _first_shared(codes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Smallest code that rows i and j share, pair by pair."""
     found = np.full(len(i), np.iinfo("i8").max)
@@ -179,18 +159,13 @@ def near_vectors(
 
     place = classes.select("label", "name", F.explode(F.array_distinct("codes")).alias("code"))
     shared = place.groupBy("label", "code").agg(F.count("*").alias("m")).where("m > 1")
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    place = place.join(shared.withColumn("blocks", blocks).drop("m"), ["label", "code"])
-    mine = F.pmod(F.xxhash64("name", "code"), F.col("blocks")).cast("int")
-    place = place.withColumn("side", mine)
-    place = place.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    place = place.withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other"))
+    place = in_blocks(place.join(shared, ["label", "code"]), "m", block, "name", "code")
     place = written(place.select("label", "code", "low", "high", "side", "name"), "buckets")
     full = place.join(classes.select("name", "rep", "n", "unit", "codes"), "name")
     key = ["label", "code", "low", "high"]
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, key):
+        for group in runs(batches, key):
             if group.num_rows < 2:
                 continue
             group = group.sort_by("rep")

@@ -9,9 +9,10 @@ probability.
 
 Signatures are cut into bands. Documents that share a band become linked only if their exact index is high
 enough. Documents with equal shingles are one class from the start, so copies never form pairs. In a band each
-class is compared with one centre, a different one per band; classes of a band that are still in different
-components after that are compared with each other, so no pair that a band proposes is left out, while
-large groups of near copies need one comparison per member.
+class is compared with one centre, a different one per band. Bands whose classes are then still in different
+components are cut into blocks; a task multiplies the blocks' shingle matrices, compares all classes of
+different components, and returns only the links that join components, so no pair that a band proposes is left
+out and no list of pairs is made.
 
 Words are runs of letters, digits and non-ASCII characters of the lower-case text (cut after a megabyte). Texts of one
 to four words are one shingle. Defined results: null texts, texts without words, and rows with a null id are alone; equal ids count as
@@ -29,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabkit.llm.common import components
+from tabkit.llm.common import components, in_blocks, runs
 from tabkit.session import written
 
 _GOLD, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -175,7 +176,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Dat
                 both = part.column("text_a").to_pylist() + part.column("text_b").to_pylist()
                 sets = [(h, 1 + np.log(n)) for h, n in (shingles(w, size) for w in word_hashes(both))]
                 half = part.num_rows
-                keep = [probability_jaccard(*sets[i], *sets[half + i]) >= least for i in range(half)]
+                keep = [probability_jaccard(*sets[i], *sets[half + i]) >= least - 1e-9 for i in range(half)]
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
@@ -183,6 +184,95 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Dat
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
 
 
+def text_of(source: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, text of the ids; one text if several rows have the id."""
+    return source.join(ids.distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+
+
+def shingled(texts: DataFrame, size: int) -> DataFrame:
+    """id, hashes, numbers: each text's distinct shingles and how often they occur, as bytes."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _portions(batch, "text"):
+                found = [shingles(w, size) for w in word_hashes(part.column("text").to_pylist())]
+                columns = [h.tobytes() for h, _ in found], [n.astype("u4").tobytes() for _, n in found]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), *(pa.array(c, pa.binary()) for c in columns)], names=["id", "hashes", "numbers"]
+                )
+
+    return texts.mapInArrow(cut, "id long, hashes binary, numbers binary")
+
+
+def _overlaps(sets: list[tuple[np.ndarray, np.ndarray]], step: int = 4096) -> np.ndarray:
+    """[i, j]: the share of set i's weight that lies on shingles of set j."""
+    sizes = [len(h) for h, _ in sets]
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, place, count = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True, return_counts=True)
+    weight = np.concatenate([w / w.sum() for _, w in sets]).astype("f4")
+    often = count[place] > 1  # others are shared by nobody
+    column = np.cumsum(count > 1)[place[often]] - 1
+    owner, weight = owner[often], weight[often]
+    order = np.argsort(column, kind="stable")
+    column, owner, weight = column[order], owner[order], weight[order]
+    found = np.zeros((len(sets), len(sets)), "f4")
+    for at in range(0, int((count > 1).sum()), step):
+        a, b = np.searchsorted(column, (at, at + step))
+        there, mass = np.zeros((2, len(sets), step), "f4")
+        there[owner[a:b], column[a:b] - at] = 1
+        mass[owner[a:b], column[a:b] - at] = weight[a:b]
+        found += mass @ there.T
+    return found
+
+
+def _joins(sets: list[tuple[np.ndarray, np.ndarray]], home: np.ndarray, cross: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs of sets, of which cross[i, j] may be compared, that are similar and join different homes."""
+    shared = _overlaps(sets)
+    size = np.array([len(h) for h, _ in sets])
+    plain = np.array([float(w.max()) == 1.0 for _, w in sets])
+    # no index is larger than either set's shared part
+    i, j = np.nonzero(np.triu(np.minimum(shared, shared.T) >= least - 1e-4, 1) & cross & (home[:, None] != home[None]))
+    both = np.rint(shared[i, j] * size[i])
+    simple = plain[i] & plain[j]
+    index = np.where(simple, both / (size[i] + size[j] - both), 1.0)
+    root = {h: h for h in home.tolist()}
+
+    def top(h: int) -> int:
+        while root[h] != h:
+            root[h] = h = root[root[h]]
+        return h
+
+    found = []
+    for k in np.lexsort((~simple, -index))[: int((index >= least).sum())].tolist():
+        a, b = top(int(home[i[k]])), top(int(home[j[k]]))
+        if a != b and (simple[k] or probability_jaccard(*sets[i[k]], *sets[j[k]]) >= least - 1e-9):
+            root[max(a, b)] = min(a, b)
+            found.append((int(i[k]), int(j[k])))
+    return found
+
+
+def joining(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that join different components within the groups (key, low, high)."""
+    key = ["key", "low", "high"]
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, key):
+            home, side = group.column("component").to_numpy(), group.column("side").to_numpy()
+            if (home == home[0]).all():
+                continue
+            numbers = [np.frombuffer(x, "u4") for x in group.column("numbers").to_pylist()]
+            hashes = [np.frombuffer(x, "u8") for x in group.column("hashes").to_pylist()]
+            cross = side[:, None] != side[None] if (side != side[0]).any() else np.ones((len(home),) * 2, bool)
+            found = _joins([(h, 1 + np.log(n)) for h, n in zip(hashes, numbers)], home, cross, least)
+            ids = group.column("id").to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([ids[p[x]] for p in found], pa.int64()) for x in (0, 1)], names=["a", "b"]
+            )
+
+    dealt = members.join(sets, "id").repartition(*key).sortWithinPartitions(*key)
+    return dealt.mapInArrow(join, "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_: str = "doc_id",
@@ -191,6 +281,7 @@ def near_duplicates(
     least: float = 0.8,
     bands: int = 20,
     rows: int = 4,
+    block: int = 512,
 ) -> DataFrame:
     """id, n_shingles, component (smallest id of its group), kept (whether it is that id) for every row.
 
@@ -210,24 +301,17 @@ def near_duplicates(
     first = written(first, "pairs")
     source = docs.select(F.col(id_).cast("long").alias("id"), F.col(text).alias("text")).where("text IS NOT NULL")
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        texts = source.join(needed, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-        return written(verified(pairs, texts, size, least), "links")
-
-    links = checked(first)
+    texts = text_of(source, first.select(F.explode(F.array("a", "b")).alias("id")))
+    links = written(verified(first, texts, size, least), "links")
     found = written(components(links, "a", "b"), "components")
-    # bands that still hold several components: their other pairs
-    home = shared.join(found.withColumnRenamed("node", "id"), "id", "left").select(
-        "key", "id", F.coalesce("component", "id").alias("component")
-    )
-    home = written(home, "homes")
-    open_ = home.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("key")
-    home = home.join(open_, "key")
-    other = home.select("key", F.col("id").alias("b"), F.col("component").alias("other"))
-    second = home.join(other, "key").where("id < b AND component <> other").select(F.col("id").alias("a"), "b").distinct()
-    second = written(second.join(first, ["a", "b"], "left_anti"), "pairs")
-    links = checked(second)
+    # bands that still hold several components; in those of two classes the pair is already compared
+    home = shared.join(found.withColumnRenamed("node", "id"), "id", "left")
+    home = written(home.select("key", "id", F.coalesce("component", "id").alias("component")), "homes")
+    open_ = home.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count("*").alias("n"))
+    open_ = home.join(open_.where("c < d AND n > 2").select("key", "n"), "key")
+    open_ = written(in_blocks(open_, "n", block, "id", "key").select("key", "low", "high", "side", "id", "component"), "open")
+    texts = text_of(source, open_.select("id"))
+    links = written(joining(open_, shingled(texts, size), least), "links")
     if not links.isEmpty():
         links = links.union(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
         found = written(components(links, "a", "b"), "components")
