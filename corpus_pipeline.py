@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabkit.llm import lang_id, minhash, mixing, packing, quality
+from tabkit.llm.common import counted
 from tabkit.llm.queries import MIX, lang_model, vocabulary
 from tabkit.session import written
 
@@ -36,9 +37,9 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest id."""
     found = written(minhash.near_duplicates(docs), "near-duplicates")
-    rest = docs.join(found.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti")
-    repeated = found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    repeated = written(repeated, "repeated")  # rows with equal ids are one document
+    rest = docs.join(counted(found.where("NOT kept").select("doc_id")), "doc_id", "left_anti")
+    # rows with equal ids are one document
+    repeated = counted(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     once = rest.join(repeated, "doc_id", "left_anti")
     often = rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return once.unionByName(often).select(*docs.columns)

@@ -94,6 +94,12 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
+def counted(ids: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """The distinct ids (one number each) as a written table; up to `most`, which are counted, are to be broadcast."""
+    ids = written(ids.distinct(), "ids")
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def in_blocks(members: DataFrame, size: str, block: int, *names: str) -> DataFrame:
     """Cut groups of `size` members into blocks of about `block`, dealt by a hash of `names`, that meet pairwise.
 

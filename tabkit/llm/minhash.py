@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabkit.llm.common import components, in_blocks, runs
+from tabkit.llm.common import components, counted, in_blocks, runs
 from tabkit.session import written
 
 _GOLD, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -184,14 +184,9 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Dat
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
 
 
-def text_of(source: DataFrame, ids: DataFrame, most: int = 2_000_000) -> DataFrame:
-    """id, text of the ids; one text if several rows have the id.
-
-    Up to `most` ids, which are counted first, are broadcast, so that the other texts are not shuffled.
-    """
-    ids = written(ids.distinct(), "ids")
-    chosen = F.broadcast(ids) if ids.count() <= most else ids
-    return source.join(chosen, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+def text_of(source: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, text of the ids; one text if several rows have the id. If ids are few, other texts are not shuffled."""
+    return source.join(counted(ids), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
 
 
 def shingled(texts: DataFrame, size: int) -> DataFrame:

@@ -93,9 +93,9 @@ def mix(
     "whole" takes the document if at least half of it fits. copies counts the whole uses of the text, taken its words.
     """
     quality = F.greatest(F.lit(1e-9), F.coalesce(weight if weight is not None else prose_weight(F.col(text)), F.lit(0.0)))
-    keep = keep or []
+    kept = [F.struct(*keep).alias("kept_")] if keep else []
     rows = docs.select(
-        F.col(id_).alias("id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), quality.alias("w"), *keep
+        F.col(id_).alias("id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), quality.alias("w"), *kept
     )
     u = (uniform(seed, F.col("id")) + 2.0**-50) / (1 + 2.0**-49)
     # u^(1/w) falls as the exponential key rises, and lies between 0 and 1
@@ -119,7 +119,7 @@ def mix(
     known = written(known, "mix-known")
 
     rows = rows.alias("l").join(known.alias("r"), same, "left")
-    rows = rows.select("l.id", "l.source", "size", "key", "slice", "source_size", "target", "epochs", "budget", "end", "before", *keep)
+    rows = rows.select("l.id", "l.source", "size", "key", "slice", "source_size", "target", "epochs", "budget", "end", "before", *["kept_"] * len(kept))
     inside = rows.where(F.col("slice") == F.col("end"))
     # the last comparison keeps it a running sum even for rows that are alike
     line = Window.partitionBy("source").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -139,5 +139,5 @@ def mix(
         "target",
         (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"),
         (F.col("epochs") + ((F.col("part") == F.col("size")) & (F.col("size") > 0)).cast("long")).alias("copies"),
-        *keep,
+        *["kept_.*"] * len(kept),
     )

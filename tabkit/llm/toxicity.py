@@ -28,6 +28,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from tabkit.llm.common import labelled, uniform
 from tabkit.session import written
@@ -43,12 +44,12 @@ SECOND_PERSON = frozenset(
     tus usted ustedes vosotros vuestro""".split()
 )
 ENDS = ".,;:!?\"'()[]{}<>*#%$&|-_/\\"
-LEET = str.maketrans("430157@$!|", "aeolstasil")
+LEET = [str.maketrans("430157@$!|", x) for x in ("aeolstasll", "aeoistasii")]
 REACH, WINDOW = 5, 50
 PREFIXES = (4, 5, 6)
 FEATURES = 13
 HIT, KEPT, SECOND, HIDDEN, CAPITAL = 1, 2, 4, 8, 16
-_hides = re.compile(r"[^\W\d_][\d@$!|*._\-+#]+[^\W_]|(.)\1\1")
+_hides = re.compile(r"[^\W\d_][\d@$!|*._\-+#]+[^\W_]|\d[^\W\d_]|(.)\1\1")
 
 
 def word_terms(word: str) -> list[str]:
@@ -77,8 +78,10 @@ class Lexicon:
             if len(word) > 1 and word.isupper():
                 found |= CAPITAL
             if _hides.search(bare):
-                plain = re.sub(r"(.)\1\1+", r"\1", bare.translate(LEET))
-                found |= HIDDEN | self._match(re.sub(r"[\W\d_]", "", plain))
+                found |= HIDDEN
+                for signs in LEET:
+                    plain = re.sub(r"(.)\1\1+", r"\1", bare.translate(signs))
+                    found |= self._match(re.sub(r"[\W\d_]", "", plain))
             self.known[word] = found
         return found
 
@@ -152,7 +155,7 @@ def featured(rows: DataFrame, terms: frozenset[str], keep: list[str], text: str)
     """Columns `keep` and the features of each text."""
     sent = rows.sparkSession.sparkContext.broadcast(terms)
     rows = rows.select(*keep, F.col(text).alias("text_"))
-    schema = rows.select(*keep).schema.add("features_", "array<double>")
+    schema = rows.select(*keep).schema.add("features_", ArrayType(DoubleType()))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(sent.value)
