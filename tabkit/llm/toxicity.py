@@ -46,7 +46,7 @@ SECOND_PERSON = frozenset(
 ENDS = ".,;:!?\"'()[]{}<>*#%$&|-_/\\"
 LEET = [str.maketrans("430157@$!|", x) for x in ("aeolstasll", "aeoistasii")]
 REACH, WINDOW = 5, 50
-PREFIXES = (4, 5, 6)
+PREFIXES = (3, 4, 5, 6, 7, 8)
 FEATURES = 13
 HIT, KEPT, SECOND, HIDDEN, CAPITAL = 1, 2, 4, 8, 16
 _hides = re.compile(r"[^\W\d_][\d@$!|*._\-+#]+[^\W_]|\d[^\W\d_]|(.)\1\1")
@@ -112,7 +112,7 @@ class Lexicon:
         ]
 
 
-def learn_lexicon(rows: DataFrame, most: int = 5000, least_texts: int = 4, lift: float = 10.0) -> frozenset[str]:
+def learn_lexicon(rows: DataFrame, most: int = 5000, least_texts: int = 3, lift: float = 10.0) -> frozenset[str]:
     """The `most` best terms that are in `least_texts` toxic texts or more, and `lift` times as often as in others."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,10 +176,10 @@ def fit(
     """Learn from at most about `sample_rows` labelled texts of each class."""
     sample = labelled(docs, labels, label, sample_rows, folds, left_out)
     sample = sample.withColumn("u", uniform(29, F.col("key")))
-    terms = learn_lexicon(sample.where("u < 0.4").repartition(8))
-    rows = featured(sample.where("u >= 0.4").repartition(8), terms, ["label", "weight", "u"], "text")
+    terms = learn_lexicon(sample.where("u < 0.6").repartition(8))
+    rows = featured(sample.where("u >= 0.6").repartition(8), terms, ["label", "weight", "u"], "text")
     rows = written(rows.withColumn("label", F.col("label").cast("double")), "toxic-features")
-    grow, tune = rows.where("u < 0.8"), rows.where("u >= 0.8")
+    grow, tune = rows.where("u < 0.86"), rows.where("u >= 0.86")
     sums = sample.agg(F.sum(F.col("weight") * F.col("label")).alias("toxic"), F.sum("weight").alias("all")).first()
     share = sums["toxic"] / sums["all"] if sums["all"] else 0.0
     both = lambda part: part.select("label").distinct().count() == 2
