@@ -150,9 +150,9 @@ def range_diagnosis(df: DataFrame, actual: str, pred: str, pred_log: str | None
     return df.agg(*measures).withColumns({k: F.lit(v).cast("double") for k, v in found.items()})
 
 
-def worst_rows(df: DataFrame, n: int = 20) -> DataFrame:
-    """Largest absolute errors, then largest predictions."""
-    return df.orderBy(F.desc("abs_error"), F.desc("pred")).limit(n)
+def worst_rows(df: DataFrame, n: int = 20, key: Sequence[str] = ()) -> DataFrame:
+    """Largest absolute errors, then largest predictions, then smallest `key`, which settles ties at the cut."""
+    return df.orderBy(F.desc("abs_error"), F.desc("pred"), *key).limit(n)
 
 
 def compare_two(df: DataFrame, actual: str, first: str, second: str, names: tuple[str, str]) -> DataFrame:

@@ -100,7 +100,8 @@ def _selected(rows: DataFrame, wanted: Mapping[str, Fraction], by: list[str]) ->
         low = F.max(F.when(F.col("t") == f"{alias}|0", F.col("v")))
         high = F.max(F.when(F.col("t") == f"{alias}|1", F.col("v")))
         part = ((F.lit(q.numerator) * (F.max("n") - 1)) % q.denominator) / F.lit(float(q.denominator))
-        columns.append((low + (high - low) * part).alias(alias))
+        # equal neighbours, infinite ones too, need no arithmetic
+        columns.append(F.when(low == high, low).otherwise(low + (high - low) * part).alias(alias))
     return picked.groupBy(*by).agg(*columns)
 
 

@@ -172,13 +172,13 @@ WITH o AS (SELECT o_orderkey, o_totalprice AS actual, (SELECT avg(o_totalprice)
   AS pred FROM orders WHERE o_orderkey % 5 = 0)
 SELECT o_orderkey, actual, round(pred, 4) AS pred, round(pred - actual, 4) AS error,
        round(abs(pred - actual), 4) AS abs_error
-FROM o ORDER BY abs(pred - actual) DESC, pred DESC LIMIT 20
+FROM o ORDER BY abs(pred - actual) DESC, pred DESC, o_orderkey LIMIT 20
 """)
 def worst_rows(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("actual"))
     held = F.pmod("o_orderkey", F.lit(5)) == 0
     model = MeanRegressor(labelCol="actual", predictionCol="pred").fit(orders.where(~held))
-    found = E.worst_rows(E.with_errors(model.transform(orders.where(held))), 20)
+    found = E.worst_rows(E.with_errors(model.transform(orders.where(held))), 20, ["o_orderkey"])
     return found.select("o_orderkey", "actual", *[rounded(c).alias(c) for c in ("pred", "error", "abs_error")])
 
 

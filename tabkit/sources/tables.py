@@ -29,14 +29,15 @@ def read_csv(
 ) -> DataFrame:
     """A headered CSV with every column as text: no inference pass, same types in every yearly file.
 
-    Pass `columns` for a fixed schema; otherwise the names come from the header line alone. Quoted line
+    Pass `columns` for a fixed schema; otherwise the names come from one file's header line. Files whose header
+    differs from it, by order too, are refused when they are read, not read with swapped columns. Quoted line
     breaks need `multiline`, which makes each file one task; leave it off for large files.
     """
     reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multiline)
     if columns is None:
         columns = reader.option("inferSchema", False).csv(path).columns
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return reader.schema(schema).csv(path)
+    return reader.schema(schema).option("enforceSchema", False).csv(path)
 
 
 def keep_columns(df: DataFrame, wanted: Callable[[str], bool] | Iterable[str]) -> DataFrame:

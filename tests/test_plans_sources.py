@@ -169,3 +169,16 @@ def test_segmentation_and_assignment(spark):
     fresh = spark.createDataFrame([(1, 310.0, 250.0, 100.0), (2, 5.0, 1.0, 100.0), (3, 1.0, 1.0, 0.0)], "id int, e double, w double, a double")
     got = {r["id"]: r["cluster_name"] for r in S.assign(fresh, loaded, about["cluster_names"], columns).collect()}
     assert got == {1: "High Energy - Moderate Water", 2: "Low Energy - Low Water", 3: None}
+
+
+def test_csv_files_with_other_headers_are_refused(spark, tmp_path):
+    from tabkit.sources.tables import read_csv
+
+    folder = tmp_path / "yearly"
+    folder.mkdir()
+    (folder / "a.csv").write_text("year,area\n2021,7\n")
+    (folder / "b.csv").write_text("year,area\n2022,8\n")
+    assert sorted(map(tuple, read_csv(spark, str(folder)).collect())) == [("2021", "7"), ("2022", "8")]
+    (folder / "b.csv").write_text("area,year\n8,2022\n")
+    with pytest.raises(Exception, match="does not conform"):
+        read_csv(spark, str(folder)).collect()

@@ -88,3 +88,12 @@ def test_rank_rows(skewed, small, monkeypatch):
     expected["rn"] = np.arange(1, len(frame) + 1)
     merged = ranked.merge(expected[["id", "rn"]], on="id")
     assert (merged.rn_x == merged.rn_y).all() and len(merged) == len(frame)
+
+
+def test_infinite_quantiles_on_the_large_route(spark):
+    from tabkit.operators.quantiles import quantiles
+
+    rows = spark.createDataFrame([(x,) for x in [1.0, 2.0, float("inf"), float("inf"), float("inf")]], "x double")
+    for small in (10, 0):
+        found = quantiles(rows, {"mid": ("x", 0.5), "low": ("x", 0.25), "top": ("x", 0.9)}, small_rows=small).first()
+        assert (found["low"], found["mid"], found["top"]) == (2.0, float("inf"), float("inf"))
