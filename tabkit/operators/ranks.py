@@ -1,46 +1,77 @@
-"""Ranks and equal-sized tiles with ties broken by a unique key.
+"""Ranks and equal-sized tiles with ties broken by a unique key of any orderable type.
 
 Tiles need no global sort: the tile borders are a few (value, key) pairs at known ranks, found by
 selection, and every row is compared with those pairs. A value that fills several tiles is split by
-its keys.
+its keys. Ranks deal the rows out by ranges of (value, key) and add up the ranges' sizes.
 """
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabkit.operators.quantiles import is_small, values_at_ranks
+from tabkit.session import written
 
-# Up to here one task numbers all rows.
+# Up to here one task numbers all rows for tiles; the labels are the same beyond.
 SMALL_RANKS = 1_000_000
-TILE_ROWS = 2_000_000
-MAX_TILES = 1000
+# Row numbers within a partition are the low bits of monotonically_increasing_id.
+ROW_BITS = (1 << 33) - 1
+
+
+def placed_by(df: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A function from values of the column to doubles that never fall as the values grow.
+
+    Texts are placed by the six bytes after the start that all of them share.
+    """
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.DateType):
+        return F.unix_date
+    if isinstance(kind, T.BooleanType):
+        return lambda x: x.cast("int").cast("double")
+    if not isinstance(kind, (T.StringType, T.BinaryType)):
+        return lambda x: x.cast("double")
+    ends = df.agg(F.min(column).cast("binary"), F.max(column).cast("binary")).first()
+    shared = len(os.path.commonprefix([bytes(e or b"") for e in ends]))
+
+    def place(x: Column) -> Column:
+        head = F.hex(F.substring(x.cast("binary"), shared + 1, 6))
+        return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
+
+    return place
 
 
 def tile_borders(df: DataFrame, value: str, key: str, tiles: int) -> tuple[int, list[tuple]]:
     """Number of non-missing values, and the last (value, key) of each tile but the last.
 
-    The last 0-based rank of tile j among n is floor(j * (n - 1) / tiles). `key` is numeric and unique.
+    The last 0-based rank of tile j among n is floor(j * (n - 1) / tiles). `key` is unique.
     """
     rows = df.select(F.col(value).alias("x"), F.col(key).alias("k")).where("x is not null")
     found = values_at_ranks(
-        rows.select("x"),
+        rows,
+        {"x": F.col("x")},
         [],
-        lambda n: [(str(j), F.floor(F.lit(j) * (n - 1) / F.lit(tiles))) for j in range(1, tiles)],
+        lambda _, n: [(str(j), F.floor(F.lit(j) * (n - 1) / F.lit(tiles))) for j in range(1, tiles)],
+        placed_by(rows, "x"),
     ).collect()
-    if not found:
-        return rows.count(), []
-    tied = {int(f["t"]): f for f in found}
+    tied = {int(f["t"]): f for f in found if f["n"]}
+    if not tied:
+        return 0, []
     size = found[0]["n"]
-    at = rows.where(F.col("x").isin(sorted({f["v"] for f in found})))
+    at = rows.where(F.col("x").isin(sorted({f["v"] for f in tied.values()}))).withColumnRenamed("x", "tie")
     keys = values_at_ranks(
-        at.select(F.col("x").alias("tie"), F.col("k").alias("x")),
+        at,
+        {"k": F.col("k")},
         ["tie"],
-        lambda n: [
+        lambda _, n: [
             (str(j), F.when(F.col("tie") == F.lit(f["v"]), F.lit(f["r"] - f["below"])))
             for j, f in tied.items()
         ],
+        placed_by(at, "k"),
     ).collect()
     by_tile = {int(k["t"]): (k["tie"], k["v"]) for k in keys}
     return size, [by_tile[j] for j in sorted(by_tile)]
@@ -90,27 +121,18 @@ def assign_deciles(
     return df.withColumn(out, F.when(F.col(value).isNotNull(), label))
 
 
-def rank_rows(
-    df: DataFrame, value: str, key: str, out: str = "rn", small_rows: int | None = None
-) -> DataFrame:
+def rank_rows(df: DataFrame, value: str, key: str, out: str = "rn") -> DataFrame:
     """1-based rank of the non-missing values, ties by key; missing values get no rank.
 
-    Many rows: each tile holds a known range of ranks, so numbering inside the tiles is enough.
+    Rows are dealt out by ranges of (value, key), so a frequent value is split too, sorted, and numbered within
+    their range; the sizes of the ranges before it are added.
     """
-    if is_small(df, SMALL_RANKS if small_rows is None else small_rows):
-        order = Window.orderBy(F.col(value).asc_nulls_last(), F.col(key))
-        number = F.row_number().over(order).cast("long")
-        return df.withColumn(out, F.when(F.col(value).isNotNull(), number))
-    present = df.where(F.col(value).isNotNull()).count()
-    tiles = max(2, min(MAX_TILES, -(-present // TILE_ROWS)))
-    size, borders = tile_borders(df, value, key, tiles)
-    ranked = df.where(F.col(value).isNotNull()).withColumn(
-        "__tile", tile_of(F.col(value), F.col(key), borders)
-    )
-    before = F.when(F.col("__tile") == 1, F.lit(0)).otherwise(
-        F.floor((F.col("__tile") - 1) * F.lit(size - 1) / F.lit(tiles)) + 1
-    )
-    inside = Window.partitionBy("__tile").orderBy(value, key)
-    ranked = ranked.withColumn(out, (before + F.row_number().over(inside)).cast("long")).drop("__tile")
-    unranked = df.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("long"))
-    return ranked.unionByName(unranked)
+    ranged = df.where(F.col(value).isNotNull()).repartitionByRange(value, key).sortWithinPartitions(value, key)
+    here = F.monotonically_increasing_id().bitwiseAND(F.lit(ROW_BITS))
+    ranged = written(ranged.withColumns({"__part": F.spark_partition_id(), "__here": here}), "ranks")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    sizes = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    ranked = ranged.join(F.broadcast(sizes), "__part")
+    ranked = ranked.select(*df.columns, (F.col("__before") + F.col("__here") + 1).alias(out))
+    return ranked.unionByName(df.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("long")))

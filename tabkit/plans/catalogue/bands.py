@@ -102,4 +102,29 @@ FROM customer
 def ranks_with_ties(spark, sf):
     value = F.when(F.col("c_nationkey") != 5, F.round(F.col("c_acctbal") / 100))
     customers = table(spark, sf, "customer").withColumn("v", value)
-    return rank_rows(customers, "v", "c_custkey", small_rows=0).select("c_custkey", "rn")
+    return rank_rows(customers, "v", "c_custkey").select("c_custkey", "rn")
+
+
+@query(_DECILES.format(value="v", key="k", rows="(SELECT round(l_quantity) AS v, l_orderkey * 1000000000000 + l_linenumber AS k FROM lineitem)"))
+def deciles_large_keys(spark, sf):
+    """Ties are split by keys far beyond 2^53, where neighbours are equal as doubles."""
+    key = F.col("l_orderkey") * F.lit(1_000_000_000_000) + F.col("l_linenumber")
+    lines = table(spark, sf, "lineitem").select(F.round("l_quantity").alias("v"), key.alias("k"))
+    return _decile_report(assign_deciles(lines, "v", "k", "decile", "Decile", small_rows=0), "v")
+
+
+@query(_DECILES.format(value="p_size", key="k", rows="(SELECT CAST(p_size AS DOUBLE) AS p_size, p_name || p_partkey AS k FROM part)"))
+def deciles_text_keys(spark, sf):
+    parts = table(spark, sf, "part").select(F.col("p_size").cast("double").alias("p_size"), F.concat("p_name", F.col("p_partkey").cast("string")).alias("k"))
+    return _decile_report(assign_deciles(parts, "p_size", "k", "decile", "Decile", small_rows=0), "p_size")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY round(l_quantity), l_orderkey * 1000000000000 + l_linenumber) AS rn
+FROM lineitem WHERE l_quantity IS NOT NULL
+""")
+def ranks_over_ranges(spark, sf):
+    """Few values with many ties each, numbered over all ranges."""
+    key = F.col("l_orderkey") * F.lit(1_000_000_000_000) + F.col("l_linenumber")
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round("l_quantity").alias("v"), key.alias("k"))
+    return rank_rows(lines, "v", "k").where("v IS NOT NULL").select("l_orderkey", "l_linenumber", "rn")

@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tabkit.operators import quantiles as Q
 from tabkit.operators.quantiles import quantiles
@@ -79,17 +80,60 @@ def test_small_deciles_with_missing(spark, n, small):
         assert [got[i] for i in range(12)] == [f"D {k}" for k in cut]
 
 
-@pytest.mark.parametrize("small", [0, 10**9])
-def test_rank_rows(skewed, small, monkeypatch):
-    monkeypatch.setattr("tabkit.operators.ranks.TILE_ROWS", 4000)
+def test_rank_rows(skewed):
     df, frame = skewed
-    ranked = rank_rows(df, "x", "id", small_rows=small).select("id", "rn").toPandas()
+    ranked = rank_rows(df, "x", "id").select("id", "rn").toPandas()
     expected = frame.sort_values(["x", "id"]).reset_index(drop=True)
     expected["rn"] = np.arange(1, len(frame) + 1)
     merged = ranked.merge(expected[["id", "rn"]], on="id")
     assert (merged.rn_x == merged.rn_y).all() and len(merged) == len(frame)
 
 
+def test_rank_rows_of_empty_tables_and_missing_values(spark):
+    df = spark.createDataFrame([(1, None), (2, None)], "id long, v double")
+    assert [r["rn"] for r in rank_rows(df, "v", "id").collect()] == [None, None]
+    assert rank_rows(df.limit(0), "v", "id").collect() == []
+
+
+@pytest.mark.parametrize("small", [0, 10**9])
+def test_quantiles_without_values(spark, small):
+    rows = [("a", 1.0, None), ("a", 3.0, None), ("b", None, None)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    wanted = {"x": ("x", 0.5), "y": ("y", 0.5)}
+    found = {r["g"]: (r["x"], r["y"]) for r in quantiles(df, wanted, by=["g"], small_rows=small).collect()}
+    assert found == {"a": (2.0, None), "b": (None, None)}
+    assert quantiles(df, wanted, small_rows=small).first().asDict() == {"x": 2.0, "y": None}
+    assert quantiles(df, {"y": ("y", 0.5)}, small_rows=small).first()["y"] is None
+    assert quantiles(df.limit(0), wanted, small_rows=small).first().asDict() == {"x": None, "y": None}
+
+
+@pytest.mark.parametrize("small", [0, 10**9])
+@pytest.mark.parametrize("key", ["id + 1152921504606846976L", "xxhash64(id)", "concat('row number ', lpad(id, 9, '0'))", "concat('k', id)"])
+def test_deciles_with_keys_of_any_kind(spark, key, small):
+    df = spark.range(3000, numPartitions=4).selectExpr("id", "cast(id div 700 as double) as v", f"{key} as k")
+    frame = df.toPandas().sort_values(["v", "k"]).reset_index(drop=True)
+    expected = dict(zip(frame.id, pd.qcut(np.arange(1, 3001), 10, labels=False) + 1))
+    got = assign_deciles(df, "v", "k", "d", "D", small_rows=small).select("id", "d").collect()
+    assert all(r["d"] == f"D {expected[r['id']]}" for r in got) and len(got) == 3000
+
+
+def test_text_values_have_deciles(spark):
+    df = spark.range(500).selectExpr("id", "concat('name ', lpad(id % 37, 4, '0')) as v")
+    small, large = ({r["id"]: r["d"] for r in assign_deciles(df, "v", "id", "d", "D", small_rows=n).collect()} for n in (10**9, 0))
+    assert small == large
+
+
+def test_describing_four_columns_reads_them_together(skewed):
+    df, _ = skewed
+    context = df.sparkSession.sparkContext
+    context.setJobGroup("count jobs", "")
+    wanted = {f"{c}{q}": (F.col("x") * c, q) for c in (1, 2, 3, 4) for q in (0.25, 0.5, 0.75)}
+    quantiles(df, wanted, small_rows=0, known_rows=30_000).collect()
+    jobs = context.statusTracker().getJobIdsForGroup("count jobs")
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(jobs) <= 8
+
+
 def test_infinite_quantiles_on_the_large_route(spark):
     from tabkit.operators.quantiles import quantiles
 
