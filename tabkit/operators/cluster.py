@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from tabkit.operators.clean import sample_rows
 from tabkit.operators.quantiles import quantiles
-from tabkit.session import settle
 
 # Names of a three-cluster solution.
 HIGH_FIRST = "High Energy - Moderate Water"
@@ -54,16 +53,19 @@ def inertia(df: DataFrame, columns: Sequence[str], label: str = "cluster") -> Da
 
 
 def silhouette(
-    df: DataFrame, features: str, label: str, key: str, sample_size: int = 2000, seed: int = 42
+    df: DataFrame, features: str, label: str, key: str, sample_size: int = 2000, seed: int = 42, order: Column | None = None
 ) -> DataFrame:
     """Mean Euclidean silhouette of a sample of at most `sample_size` rows, as the measure is defined.
 
+    `order`, an expression of the key under the name k, gives the sample (default: a seeded hash). For all rows
+    of a large table use `squared_silhouette`.
+
     The sample is the only table sent to the tasks; each task compares its own rows with it as one
     matrix product, so no row pairs are produced. `features` is an array column.
     """
     spark = df.sparkSession
     chosen = df.select(F.col(key).alias("k"), F.col(features).cast("array<double>").alias("x"), F.col(label).alias("c"))
-    rows = sample_rows(chosen, sample_size, "k", seed).collect()
+    rows = sample_rows(chosen, sample_size, "k", seed, order).collect()
     points = np.array([r["x"] for r in rows], dtype=float)
     names, labels = np.unique([r["c"] for r in rows], return_inverse=True)
     shared = spark.sparkContext.broadcast((points, labels, len(names)))
@@ -149,13 +151,10 @@ def k_sweep(
     ks: Sequence[int] = range(2, 11),
     seeds: Sequence[int] = SEEDS,
     starts: int = 20,
-    sample_size: int = 2000,
 ) -> DataFrame:
-    """Mean inertia, silhouette and pairwise stability for each number of clusters."""
+    """Mean inertia, silhouette (of squared distances, over all rows) and pairwise stability for each number of clusters."""
     spark = df.sparkSession
     base = vectors(df.select(key, *columns), columns).persist()
-    # One sample per seed serves every k.
-    samples = {s: settle(sample_rows(df.select(key, *columns), sample_size, key, s), sample_size)[0] for s in seeds}
     rows = []
     for k in ks:
         labelled, names, costs, widths = base, {}, [], []
@@ -165,8 +164,7 @@ def k_sweep(
             column = f"c{seed}"
             labelled = model.setPredictionCol(column).transform(labelled)
             names[str(seed)] = column
-            one = model.transform(vectors(samples[seed], columns)).withColumn("x", F.array(*columns))
-            widths.append(silhouette(one, "x", column, key, sample_size, seed).first()["silhouette"])
+            widths.append(squared_silhouette(labelled, "features", column).first()["silhouette"])
         stable = adjusted_rand(labelled, names).agg(F.avg("ari")).first()[0] if len(names) > 1 else 1.0
         rows.append((k, float(np.mean(costs)), float(np.mean(widths)), float(stable)))
     base.unpersist()

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabkit.functions.bands import band_table
 from tabkit.functions.numbers import mae, r2, rmse
@@ -225,12 +226,14 @@ def crosstab(df: DataFrame, rows: str, columns: str, values: Sequence[str] | Non
 
 
 def crosstab_share(df: DataFrame, rows: str, columns: str, digits: int = 2) -> DataFrame:
-    """Long form: share of each cell in its row, in percent, over all pairs of categories seen."""
+    """Long form: share of each cell in its row, in percent, over all pairs of categories seen; absent cells 0."""
     both = df.where(F.col(rows).isNotNull() & F.col(columns).isNotNull())
     counts = both.groupBy(rows, columns).agg(F.count(F.lit(1)).alias("n"))
-    whole = Window.partitionBy(rows)
-    share = F.col("n") * 100.0 / F.sum("n").over(whole)
-    return counts.withColumn("row_pct", F.bround(share, digits))
+    # like the headers of `crosstab`, the categories of the second column are a list
+    names = F.lit([r[0] for r in counts.select(columns).distinct().collect()] or None).cast(T.ArrayType(df.schema[columns].dataType))
+    grid = counts.groupBy(rows).agg(F.sum("n").alias("__whole")).withColumn(columns, F.explode(names))
+    found = grid.join(counts, [rows, columns], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return found.select(rows, columns, "n", F.bround(F.col("n") * 100.0 / F.col("__whole"), digits).alias("row_pct"))
 
 
 def long_errors(df: DataFrame, keys: Sequence[str], columns: Mapping[str, str]) -> DataFrame:

@@ -79,10 +79,11 @@ def squared_silhouette(spark, sf):
 
 
 @query(_SQUARED.format(distance="sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda p: (p[1] - p[2]) ** 2)))")
+       .replace("FROM embeddings)", "FROM embeddings ORDER BY (vec_id * 40503) % 1000003, vec_id LIMIT 2000)")
        + ", count(*) AS n_sampled FROM s")
 def silhouette(spark, sf):
     """Euclidean silhouette of a sample of at most 2,000 rows, the size the measure is defined with."""
-    found = K.silhouette(table(spark, sf, "embeddings"), "embedding", "label", "vec_id", sample_size=2000)
+    found = K.silhouette(table(spark, sf, "embeddings"), "embedding", "label", "vec_id", order=F.pmod(F.col("k") * F.lit(40503), F.lit(1000003)))
     return found.withColumn("silhouette", rounded("silhouette", 6))
 
 
@@ -197,7 +198,7 @@ def segments_by_vintage(spark, sf):
 @query()
 def kmeans_sweep(spark, sf):
     """Inertia, silhouette and stability for k = 2, 3 with two seeds (k = 2..10, five seeds by default)."""
-    columns = [f"x{i}" for i in range(8)]
+    columns = [f"x{i}" for i in range(64)]
     rows = _embedded(spark, sf).select("vec_id", *columns)
     found = K.k_sweep(rows, columns, "vec_id", ks=(2, 3), seeds=(7, 11), starts=2)
     return found.select("k", *[rounded(c).alias(c) for c in found.columns if c != "k"])

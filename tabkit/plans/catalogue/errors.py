@@ -374,9 +374,13 @@ def crosstab(spark, sf):
 
 
 @query("""
-SELECT lang, source, count(*) AS n, round_even(count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY lang), 2) AS row_pct
-FROM documents WHERE lang <> 'de' GROUP BY 1, 2
+WITH d AS (SELECT lang, source FROM documents WHERE lang <> 'de' AND NOT (lang = 'en' AND source IN ('src1', 'src2'))),
+c AS (SELECT lang, source, count(*) AS n FROM d GROUP BY 1, 2),
+g AS (SELECT * FROM (SELECT DISTINCT lang FROM d), (SELECT DISTINCT source FROM d WHERE source IS NOT NULL))
+SELECT lang, source, coalesce(n, 0) AS n,
+       round_even(coalesce(n, 0) * 100.0 / sum(n) OVER (PARTITION BY lang), 2) AS row_pct FROM g LEFT JOIN c USING (lang, source)
 """)
 def crosstab_share(spark, sf):
     docs = table(spark, sf, "documents").withColumn("lang", F.nullif("lang", F.lit("de")))
+    docs = docs.where(~((F.col("lang") == "en") & F.col("source").isin("src1", "src2")))
     return E.crosstab_share(docs, "lang", "source")

@@ -67,7 +67,7 @@ def ridge_single(spark, sf):
 _PERMUTED = """
 WITH o AS (SELECT o_orderkey AS id, o_orderpriority AS p, o_orderstatus AS s, o_totalprice AS y FROM orders),
 m AS (SELECT p, avg(y) AS pred FROM o WHERE id % 5 <> 0 GROUP BY 1),
-f AS (SELECT o.*, m.pred FROM o JOIN m USING (p) WHERE id % 5 = 0 ORDER BY (id * 40503) % 1000003, id LIMIT 1500),
+f AS (SELECT o.*, m.pred FROM o JOIN m USING (p) WHERE id % 5 = 0),
 runs AS (SELECT range AS r FROM range(3)),
 a AS (SELECT f.*, r, row_number() OVER (PARTITION BY r ORDER BY id) AS place FROM f, runs),
 b AS (SELECT p AS swapped, r, row_number() OVER (PARTITION BY r ORDER BY (id * (2654435761 + 7919 * r)) % 1000003, id)
@@ -92,10 +92,8 @@ def permutation_importance(spark, sf):
         ["o_orderpriority", "o_orderstatus"],
         "o_totalprice",
         "o_orderkey",
-        sample_size=1500,
         repeats=3,
         order=lambda k, f, r: F.pmod(k * (F.lit(2654435761) + 7919 * r), F.lit(1000003)),
-        sample_order=F.pmod(F.col("o_orderkey") * F.lit(40503), F.lit(1000003)),
     )
     return found.select(
         "feature",
@@ -186,10 +184,10 @@ def tree_statistics(spark, sf):
 
 @query()
 def forest_permutation(spark, sf):
-    """Permutation importance of a forest on a seeded sample of 1,500 test rows."""
+    """Permutation importance of a forest on all test rows."""
     train, test = _parts(spark, sf)
     fitted = _forest(train)
-    return X.permutation_importance(fitted.transform, test, FEATURES.columns, "target", "id", sample_size=1500, repeats=3)
+    return X.permutation_importance(fitted.transform, test, FEATURES.columns, "target", "id")
 
 
 @query()
