@@ -38,7 +38,16 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-@query()
+@query("""WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT *, sha1(body) AS hex FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first FROM d)
+SELECT page_id, CAST(octet_length(body) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((CAST('0x' || substr(hex, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to,
+  array_to_string(list_transform(string_split(url, ''), lambda c:
+    CASE WHEN unicode(c) BETWEEN 0 AND 32 OR unicode(c) = 127 THEN printf('%%%02X', unicode(c)) ELSE c END), '') AS url FROM f""")
 def op1_warc(spark, sf):
     """Archive all pages and read the archives back."""
     found = warc.round_trip(table(spark, sf, "pages"))
