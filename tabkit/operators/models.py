@@ -45,10 +45,12 @@ SCORE_SPACE = {
     "minInstancesPerNode": [1, 2],
     "featureSubsetStrategy": ["sqrt", "log2"],
 }
+# Depth is unlimited in the first place, and 30 in the last, which is the most that Spark grows.
 EMISSION_SPACE = {
     "numTrees": [200, 300, 500],
-    "maxDepth": [MAX_DEPTH, 12, 20],
-    "minInstancesPerNode": [1, 2, 4, 5],
+    "maxDepth": [MAX_DEPTH, 12, 20, MAX_DEPTH],
+    "leastSplit": [2, 5, 10],
+    "minInstancesPerNode": [1, 2, 4],
     "featureSubsetStrategy": ["sqrt", "0.8", "all"],
 }
 
@@ -271,6 +273,16 @@ def validation_search(
     return metrics, best, final[best]
 
 
+def forest_params(setting: Mapping) -> dict:
+    """A drawn setting as forest parameters. Spark bounds a node's children, not the node: `leastSplit` rows
+    to split become at least half of them in each child."""
+    params = dict(setting)
+    least = params.pop("leastSplit", None)
+    if least:
+        params["minInstancesPerNode"] = max(params.get("minInstancesPerNode", 1), -(-least // 2))
+    return params
+
+
 def random_search(
     train: DataFrame,
     features: Features,
@@ -295,7 +307,7 @@ def random_search(
             setting[name] = options[at]
         picked.append(setting)
     model = forest(label, seed)
-    grid = [{getattr(model, name): value for name, value in setting.items()} for setting in picked]
+    grid = [{getattr(model, name): value for name, value in forest_params(setting).items()} for setting in picked]
     # The pipeline is tuned as a whole: its fills and categories are refitted in every fold.
     folded = spread(train.withColumn("__fold", hash_slot(key, folds, seed + 2).cast("int")))
     search = CrossValidator(
@@ -316,6 +328,14 @@ def random_search(
     return table, best, search.bestModel
 
 
+def with_tuned(
+    metrics: DataFrame, model: PipelineModel, test: DataFrame, label: str, name: str = "tuned_forest", clip_at_zero: bool = True
+) -> DataFrame:
+    """The comparison of `compare_models` with one more row for a tuned model, scored on the same test rows."""
+    row = settled_metrics(predict_all(test, {name: model}, clip_at_zero), label, [name])
+    return metrics.unionByName(row).orderBy("rmse", "mae")
+
+
 def cap_sensitivity(
     df: DataFrame,
     target: str,

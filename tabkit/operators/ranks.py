@@ -8,14 +8,15 @@ its keys. Ranks deal the rows out by ranges of (value, key) and add up the range
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabkit.functions.names import content_id, own_id, stable_id
 from tabkit.operators.quantiles import is_small, values_at_ranks
-from tabkit.session import written
+from tabkit.session import attach, join_large, settle, written
 
 # Up to here one task numbers all rows for tiles; the labels are the same beyond.
 SMALL_RANKS = 1_000_000
@@ -136,3 +137,31 @@ def rank_rows(df: DataFrame, value: str, key: str, out: str = "rn") -> DataFrame
     ranked = ranged.join(F.broadcast(sizes), "__part")
     ranked = ranked.select(*df.columns, (F.col("__before") + F.col("__here") + 1).alias(out))
     return ranked.unionByName(df.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("long")))
+
+
+def with_row_id(df: DataFrame, id_columns: Sequence[str], out: str) -> DataFrame:
+    """`names.stable_id` as a column, unique also for equal rows without an id: these copies are numbered.
+
+    Only contents of rows without an id are counted. Copies are numbered over ranges of rows, so many copies of one
+    row are no hot spot; which copy gets which number is all the same.
+    """
+    own = own_id(df, id_columns)
+    nameless = df.where(own.isNull()).withColumn("__content", content_id(df))
+    counts = nameless.groupBy("__content").agg(F.count(F.lit(1)).alias("__copies"))
+    repeated, small = settle(counts.where("__copies > 1"))
+    if small and repeated.isEmpty():
+        return df.withColumn(out, stable_id(df, id_columns))
+    nameless = nameless.join(F.broadcast(repeated), "__content", "left") if small else join_large(
+        nameless, repeated, ["__content"], weight="__copies"
+    )
+    nameless = written(nameless.withColumn("__row", F.monotonically_increasing_id()), "nameless")
+    ranked = written(rank_rows(nameless.where("__copies > 1"), "__content", "__row", "__rank"), "copies")
+    first = ranked.groupBy("__content").agg(F.min("__rank").alias("__first"), F.max("__copies").alias("__n"))
+    ranked = attach(ranked, first, ["__content"], "inner", weight="__n")
+    numbered = F.concat("__content", F.lit("_"), (F.col("__rank") - F.col("__first")).cast("string"))
+    cells = [F.col(f"`{c}`") for c in df.columns if c != out]
+    return (
+        df.where(own.isNotNull()).select(*cells, own.alias(out))
+        .unionByName(nameless.where("__copies is null").select(*cells, F.col("__content").alias(out)))
+        .unionByName(ranked.select(*cells, numbered.alias(out)))
+    )

@@ -6,6 +6,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from tabkit.functions.names import slug_column, stable_id
+from tabkit.operators.ranks import with_row_id
 from tabkit.operators.stages import GroupMedianFill, MedianFill, ModeFill, PopulationScaler, RareGrouper
 from tabkit.plans import disclosure as D
 from tabkit.plans.registry import query, rounded, table
@@ -138,6 +139,25 @@ def stable_ids(spark, sf):
     return orders.select("o_orderkey", stable_id(orders, ["id_1", "absent", "id_2"]).alias("id"))
 
 
+@query("""
+WITH o AS (SELECT CASE WHEN o_orderstatus = 'O' THEN 'c' || o_custkey END AS id, o_orderpriority AS p, o_orderstatus AS s FROM orders),
+n AS (SELECT p, s, count(*) AS n, count(*) > 1 AS many FROM o WHERE id IS NULL GROUP BY 1, 2)
+SELECT p, s, count(*) AS n, count(DISTINCT id) AS ids, false AS numbered FROM o WHERE id IS NOT NULL GROUP BY 1, 2
+UNION ALL SELECT p, s, n, n, many FROM n
+""")
+def ids_of_equal_rows(spark, sf):
+    """Rows without an id keep apart, though many are alike; rows with an id share it."""
+    orders = table(spark, sf, "orders")
+    own = F.when(F.col("o_orderstatus") == "O", F.concat(F.lit("c"), F.col("o_custkey")))
+    rows = orders.select(own.alias("id"), F.col("o_orderpriority").alias("p"), F.col("o_orderstatus").alias("s"))
+    found = with_row_id(rows, ["id"], "row_id")
+    return found.groupBy("p", "s").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct("row_id").alias("ids"),
+        F.bool_or(F.col("row_id").rlike("^row_[0-9A-F]+_[0-9]+$")).alias("numbered"),
+    )
+
+
 @query("""
 SELECT trim(regexp_replace(replace(replace(replace(lower(x), '(kbtu)', ''), '(ft²)', ''), 'use', ''),
                            '[^a-z0-9]+', '_', 'g'), '_') AS slug, count(*) AS n

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tabkit.operators import explain as X
 from tabkit.operators import models as M
 from tabkit.operators.reshape import union_tables
-from tabkit.operators.stages import CategoryMeanRegressor, RidgeRegression
+from tabkit.operators.stages import CategoryMeanRegressor, MeanRegressor, RidgeRegression
 from tabkit.plans import disclosure as D
 from tabkit.plans import regression as R
 from tabkit.plans.catalogue.features import DISCLOSED, LAYOUT, disclosed
@@ -151,22 +151,78 @@ def boosted_trees(spark, sf):
 
 @query()
 def validation_tuning(spark, sf):
-    """Named forest settings scored on an inner validation part."""
+    """All named forest settings scored on an inner validation part, with few and shallow trees."""
     train, _ = _parts(spark, sf)
-    settings = {n: M.FOREST_SETTINGS[n] for n in ("baseline_like", "reduced_features", "more_regularized")}
-    table_, best, _ = M.validation_search(train, FEATURES, "target", "id", settings, smaller={"numTrees": 5, "maxDepth": 4})
+    table_, best, _ = M.validation_search(train, FEATURES, "target", "id", smaller={"numTrees": 5, "maxDepth": 4})
     return table_.withColumn("selected", F.col("model") == F.lit(best))
 
 
 @query()
 def random_search(spark, sf):
-    """Random draws with three folds; every fill and category is refitted per fold."""
+    """Five random draws with three folds; every fill and category is refitted per fold."""
     train, _ = _parts(spark, sf)
     space = {"numTrees": [4, 8], "maxDepth": [3, 5], "featureSubsetStrategy": ["sqrt", "all"]}
-    table_, _, _ = M.random_search(train, FEATURES, "target", "id", space, draws=2)
+    table_, _, _ = M.random_search(train, FEATURES, "target", "id", space, draws=5)
     return table_
 
 
+_LEVELS = """
+WITH r AS (SELECT l_linenumber AS x, (l_linenumber % 2) * 100 + l_extendedprice / 1000 AS y, l_orderkey % 5 = 0 AS held FROM lineitem),
+g AS (SELECT x, greatest(avg(y), 0) AS pred FROM r WHERE NOT held GROUP BY 1),
+p AS (SELECT y, pred, (SELECT avg(y) FROM r WHERE NOT held) AS flat FROM r JOIN g USING (x) WHERE held),
+m AS (SELECT 'tree' AS kind, y, pred FROM p UNION ALL SELECT 'mean', y, flat FROM p),
+e AS (SELECT kind, round(avg(abs(pred - y)), 6) AS mae, round(sqrt(avg((pred - y) ** 2)), 6) AS rmse,
+  round(1 - sum((y - pred) ** 2) / (count(*) * var_pop(y)), 6) AS r2, round(min(pred), 6) AS pred_min,
+  round(quantile_cont(pred, 0.995), 6) AS pred_p995, round(max(pred), 6) AS pred_max FROM m GROUP BY 1)
+"""
+MEASURES = "mae rmse r2 pred_min pred_p995 pred_max".split()
+LEVELS = M.Features(["x"])
+
+
+def _levels(spark, sf):
+    """A target that differs between seven levels: any tree that is deep enough predicts the levels' training means."""
+    lines = table(spark, sf, "lineitem")
+    y = F.pmod("l_linenumber", F.lit(2)) * 100 + F.col("l_extendedprice") / 1000
+    held = F.pmod("l_orderkey", F.lit(5)) == 0
+    key = F.xxhash64(*[F.col(c) for c in lines.columns]).alias("id")
+    rows = lines.select(key, F.col("l_linenumber").cast("double").alias("x"), y.alias("y"), held.alias("held"))
+    return rows.where("not held"), rows.where("held")
+
+
+def _measured(metrics):
+    return metrics.select("model", *[rounded(c, 6).alias(c) for c in MEASURES])
+
+
+@query(f"{_LEVELS} SELECT 'mean' AS model, * EXCLUDE kind FROM e WHERE kind = 'mean' "
+       "UNION ALL SELECT 'forest', * EXCLUDE kind FROM e WHERE kind = 'tree'")
+def full_forest(spark, sf):
+    """The forest of the comparison at full size (300 trees of depth 30), without resampling, so that SQL knows its values."""
+    train, test = _levels(spark, sf)
+    models = {"mean": Pipeline(stages=[MeanRegressor(labelCol="y")]), "forest": M.recipe(LEVELS, M.forest("y", bootstrap=False))}
+    metrics, _, _ = M.compare_models(train, test, models, "y", clip_at_zero=True)
+    return _measured(metrics)
+
+
+@query(f"{_LEVELS} SELECT 'boosted' AS model, * EXCLUDE kind FROM e WHERE kind = 'tree'")
+def full_boosting(spark, sf):
+    """Boosting at its full depth and rate, without sampling rows; 60 of its 300 rounds, as nothing is left to learn."""
+    train, test = _levels(spark, sf)
+    models = {"boosted": M.recipe(LEVELS, M.boosted("y", subsamplingRate=1.0, featureSubsetStrategy="all", maxIter=60))}
+    metrics, _, _ = M.compare_models(train, test, models, "y", clip_at_zero=True)
+    return _measured(metrics)
+
+
+@query(f"{_LEVELS} SELECT 'mean' AS model, * EXCLUDE kind FROM e WHERE kind = 'mean' "
+       "UNION ALL SELECT 'tuned_forest', * EXCLUDE kind FROM e WHERE kind = 'tree'")
+def tuned_comparison(spark, sf):
+    """Random search must find the deep trees; the tuned model then joins the ranking of the test rows."""
+    train, test = _levels(spark, sf)
+    metrics, _, _ = M.compare_models(train, test, {"mean": Pipeline(stages=[MeanRegressor(labelCol="y")])}, "y", clip_at_zero=True)
+    space = {"maxDepth": [1, M.MAX_DEPTH], "numTrees": [3], "bootstrap": [False], "leastSplit": [2]}
+    _, _, best = M.random_search(train, LEVELS, "y", "id", space, draws=2)
+    return _measured(M.with_tuned(metrics, best, test, "y"))
+
+
 @query()
 def feature_effects(spark, sf):
     """Coefficients of the linear model and importances of the forest, by readable feature name."""
@@ -210,25 +266,33 @@ def _engineered(spark, sf):
     return D.modelling_rows(frame, LAYOUT).withColumn("id", key), D.scenarios(numeric, categorical)
 
 
-def _evaluations(spark, sf, names, split):
+def _stored(spark, sf):
     rows, sets = _engineered(spark, sf)
     dealt = M.spread(rows)
     rows = written(dealt, "modelling-rows")
     dealt.unpersist()
-    return [
-        R.run_split(
-            rows, name, sets[name], "target", split, year="year", entity=D.BUILDING_ID, key="id",
-            category=D.MODEL_TYPE, forest_settings={"numTrees": 5, "maxDepth": 4},
-        )
-        for name in names
-    ]
+    return rows, sets
+
+
+def _evaluation(rows, sets, name, split):
+    return R.run_split(
+        rows, name, sets[name], "target", split, year="year", entity=D.BUILDING_ID, key="id",
+        category=D.MODEL_TYPE, forest_settings={"numTrees": 5, "maxDepth": 4},
+    )
+
+
+def _evaluations(spark, sf, names, split):
+    rows, sets = _stored(spark, sf)
+    return [_evaluation(rows, sets, name, split) for name in names]
 
 
 @query()
 def scenario_metrics(spark, sf):
-    """Feature scenarios under the year holdout, all candidates, ranked."""
-    found = _evaluations(spark, sf, ["forecasting_strict", "fuel_derived_only"], "year")
-    return R.all_metrics(found).orderBy("scenario", "rmse")
+    """All feature scenarios under the year holdout and two under the group holdout, all candidates, ranked."""
+    rows, sets = _stored(spark, sf)
+    found = [_evaluation(rows, sets, n, "year") for n in sets]
+    found += [_evaluation(rows, sets, n, "group") for n in ("forecasting_strict", "estimation_full")]
+    return R.all_metrics(found).orderBy("split", "scenario", "rmse")
 
 
 @query(f"""WITH {DISCLOSED}, m AS (SELECT * FROM d WHERE area IS NOT NULL),
@@ -246,8 +310,8 @@ SELECT 'forecasting_strict' AS scenario, 'year' AS split,
 FROM r, b""")
 def scenario_counts(spark, sf):
     """Rows and columns of a scenario under the year holdout."""
-    (found,) = _evaluations(spark, sf, ["forecasting_strict"], "year")
-    return R.dataset_counts(found)
+    rows, sets = _stored(spark, sf)
+    return R.scenario_counts(rows, "forecasting_strict", sets["forecasting_strict"], "target", "year", year="year")
 
 
 @query()

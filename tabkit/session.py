@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
+from operator import or_
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Largest fitted table that is sent to every executor. Larger ones are joined by shuffle.
 SETTLE_ROWS = 20_000
+SETTLE_BYTES = 64 << 20
 
 
 def build_session(app: str = "tabkit", master: str | None = None, **conf: str) -> SparkSession:
@@ -63,15 +67,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def settle(table: DataFrame, max_rows: int = SETTLE_ROWS) -> tuple[DataFrame, bool]:
-    """Compute a fitted table once. Returns it and whether it is proven small.
+def settle(table: DataFrame, max_rows: int = SETTLE_ROWS, max_bytes: int = SETTLE_BYTES) -> tuple[DataFrame, bool]:
+    """Compute a fitted table once. Returns it and whether it is proven small, in rows and in bytes of texts and lists.
 
     At most `max_rows` + 1 rows reach the driver; a larger table is kept in the shared folder.
     """
-    rows = table.limit(max_rows + 1).collect()
-    if len(rows) <= max_rows:
-        return table.sparkSession.createDataFrame(rows, table.schema), True
-    return checkpointed(table), False
+    held = table.storageLevel
+    mine = not (held.useMemory or held.useDisk)
+    if mine:  # a table that proves large is not computed again to be stored
+        table = table.persist(StorageLevel.DISK_ONLY)
+    try:
+        rows = table.limit(max_rows + 1).collect()
+        size = sum(len(v) for r in rows for v in r if isinstance(v, (str, bytes, bytearray, list, dict)))
+        if len(rows) <= max_rows and size <= max_bytes:
+            return table.sparkSession.createDataFrame(rows, table.schema), True
+        return checkpointed(table), False
+    finally:
+        if mine:
+            table.unpersist()
 
 
 def attach(
@@ -95,10 +108,23 @@ def join_large(
     """Join with a settled table that is too large to broadcast.
 
     Keys that hold at least one 2,000th of all rows (column `weight` counts them; there can be at most
-    2,000) are broadcast and the others joined by shuffle, so that no hot key lands in one task.
+    2,000) are broadcast and the others joined by shuffle, so that no hot key lands in one task. Without `weight` it is
+    left to Spark to split hot keys. Rows with a missing key match nothing and go around the join.
     """
+    missing = reduce(or_, [F.col(f"`{c}`").isNull() for c in on])
+    alone = rows.where(missing)
+    rows = rows.where(~missing)
     if weight is None:
-        return rows.join(table, on, how)
+        joined = rows.join(table, on, how)
+    else:
+        joined = _join_hot_apart(rows, table, on, how, weight)
+    if how != "left":
+        return joined
+    added = {f.name: F.lit(None).cast(f.dataType) for f in table.schema if f.name not in on}
+    return joined.unionByName(alone.withColumns(added))
+
+
+def _join_hot_apart(rows: DataFrame, table: DataFrame, on: list[str], how: str, weight: str) -> DataFrame:
     total = table.agg(F.sum(weight)).first()[0] or 0
     is_hot = F.col(weight) * 2000 >= F.lit(total)
     hot = table.where(is_hot)

@@ -3,7 +3,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tabkit import session
 from tabkit.functions import bands, coerce, names, numbers
+from tabkit.operators import ranks
 
 
 def values(df, *columns):
@@ -104,6 +106,19 @@ def test_stable_id_survives_repartitioning(spark):
     assert len({one[2], one[3], one[4]}) == 3
 
 
+@pytest.mark.parametrize("limit", [0, 20_000])
+def test_equal_rows_without_ids_get_ids_of_their_own(spark, monkeypatch, limit):
+    monkeypatch.setattr(ranks, "settle", lambda t: session.settle(t, limit))
+    rows = [(None, 1)] * 500 + [("nan", 2)] * 3 + [(None, 3), ("b", 4), ("b", 4)]
+    df = spark.createDataFrame(rows, "b string, v int").repartition(5)
+    found = ranks.with_row_id(df, ["b", "absent"], "id")
+    assert found.columns == ["b", "v", "id"]
+    ids = values(found.select("v", "id"), "v", "id")
+    assert sorted(v for v, _ in ids) == sorted(v for _, v in rows)
+    assert len({i for _, i in ids}) == 505 and [i for v, i in ids if v == 4] == ["b", "b"]
+    assert {i for v, i in ids if v <= 2} == {i for _, i in values(ranks.with_row_id(df.coalesce(1), ["b"], "id"), "v", "id") if _ <= 2}
+
+
 def test_half_even_rounding(spark):
     df = spark.createDataFrame([(0.125,), (0.375,)], "x double")
     assert values(df.select(numbers.half_even("x", 2).alias("r")), "r") == [0.12, 0.38]

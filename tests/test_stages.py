@@ -101,6 +101,33 @@ def test_attach_routes_agree(spark, how, limit):
     assert found.count() == expected.count()
 
 
+@pytest.mark.parametrize("weight", ["n", None])
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_large_join_with_mostly_missing_keys(spark, how, weight):
+    key = F.when(F.col("id") % 10 == 0, F.col("id") % 70)
+    rows = spark.range(5000).select(key.alias("k"), "id")
+    table = rows.where("k > 10").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    found, expected = attach(rows, table, ["k"], how, max_rows=0, weight=weight), rows.join(table, "k", how)
+    assert found.columns == expected.columns and found.count() == expected.count()
+    assert found.exceptAll(expected).isEmpty()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert how == "inner" or "Union" in plan
+
+
+def test_settle_computes_large_tables_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    table, small = settle(spark.range(0, 50, 1, 4).mapInArrow(count, "id long"), 10)
+    assert small is False and table.count() == 50 and seen.value == 50
+    wide = spark.range(4).select(F.repeat(F.lit("x"), 1000).alias("t"))
+    assert settle(wide, 10, max_bytes=3000)[1] is False and settle(wide, 10)[1] is True
+
+
 def test_settle_reports_size(spark):
     assert settle(spark.range(5).toDF("a"), 5)[1] is True
     table, small = settle(spark.range(6).toDF("a"), 5)
