@@ -35,14 +35,23 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest id."""
-    found = written(minhash.near_duplicates(docs), "near-duplicates")
-    rest = docs.join(counted(found.where("NOT kept").select("doc_id")), "doc_id", "left_anti")
-    # rows with equal ids are one document
-    repeated = counted(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    once = rest.join(repeated, "doc_id", "left_anti")
-    often = rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(often).select(*docs.columns)
+    """One document of each group of near duplicates stays: the one with the smallest id.
+
+    Different texts of an id are different documents. Rows with equal ids and equal texts are one.
+    """
+    found = written(minhash.grouped(docs), "near-duplicates").where("id IS NOT NULL")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), minhash.document_key("doc_id", "text").alias("key"))
+    rows = rows.withColumn("id", F.col("row.doc_id").cast("long"))
+    gone = counted(found.where("id <> component").select("key"))
+    rest = rows.join(gone, "key", "left_anti")
+    first = found.where("id = component")
+    repeated = counted(first.groupBy("id").count().where("count > 1").select("id"))
+    once = rest.join(repeated, "id", "left_anti").select("row.*")
+    often = rest.join(repeated, "id", "left_semi")
+    # of texts in one group under the smallest id, the one with the smallest key stays; texts without words are alone
+    chosen = first.join(repeated, "id", "left_semi").groupBy("id", F.coalesce("group", "key").alias("group")).agg(F.min("key").alias("key"))
+    often = often.join(chosen.select("id", "key"), ["id", "key"], "left_semi").groupBy("id", "key").agg(F.first("row").alias("row"))
+    return once.unionByName(often.select("row.*")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

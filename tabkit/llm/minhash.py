@@ -15,9 +15,9 @@ different components, and returns only the links that join components, so no pai
 out and no list of pairs is made.
 
 Words are runs of letters, digits and non-ASCII characters of the lower-case text (cut after a megabyte). Texts of one
-to four words are one shingle. Defined results: null texts, texts without words, and rows with a null id are alone; equal ids count as
-one document, whose rows get the same component; n_shingles 0 for texts without words; an empty
-table gives no rows; other columns are ignored.
+to four words are one shingle. Defined results: null texts, texts without words, and rows with a null id are alone; rows with
+equal ids and equal texts are one document, different texts of an id are documents of their own, each in its own
+group; n_shingles 0 for texts without words; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabkit.llm.common import components, counted, in_blocks, runs
@@ -126,8 +126,13 @@ def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarr
     return float((1 / total).sum())
 
 
+def document_key(id_: str, text: str) -> Column:
+    """A hash of a row's id and text: equal for rows that are one document."""
+    return F.xxhash64(F.col(id_).cast("long"), F.col(text))
+
+
 def signed(docs: DataFrame, id_: str, text: str, size: int, bands: int, rows: int) -> DataFrame:
-    """id, n_shingles, print (of the shingles and their numbers), bands (hashes, with their place mixed in)."""
+    """id, key (of the document), n_shingles, print (of the shingles and their numbers), bands (hashes, with their place mixed in)."""
     length = bands * rows
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,13 +152,13 @@ def signed(docs: DataFrame, id_: str, text: str, size: int, bands: int, rows: in
                         marks[i] = k.view("i8")
                         prints[i] = mixed(mixed(h) ^ n.astype("u8")).sum()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array([len(h) for h, _ in found], pa.int32()), pa.array(prints.view("i8")),
-                     pa.array(marks, pa.list_(pa.int64()))],
-                    names=["id", "n_shingles", "print", "bands"],
+                    [part.column("id"), part.column("key"), pa.array([len(h) for h, _ in found], pa.int32()),
+                     pa.array(prints.view("i8")), pa.array(marks, pa.list_(pa.int64()))],
+                    names=["id", "key", "n_shingles", "print", "bands"],
                 )
 
-    texts = docs.select(F.col(id_).cast("long").alias("id"), F.col(text).alias("text"))
-    return texts.mapInArrow(sign, "id long, n_shingles int, print long, bands array<long>")
+    texts = docs.select(F.col(id_).cast("long").alias("id"), document_key(id_, text).alias("key"), F.col(text).alias("text"))
+    return texts.mapInArrow(sign, "id long, key long, n_shingles int, print long, bands array<long>")
 
 
 def _portions(batch: pa.RecordBatch, *texts: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
@@ -185,7 +190,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Dat
 
 
 def text_of(source: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, text of the ids; one text if several rows have the id. If ids are few, other texts are not shuffled."""
+    """id, text of the ids, which rows with equal texts may repeat. If ids are few, other texts are not shuffled."""
     return source.join(counted(ids), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
 
 
@@ -273,7 +278,7 @@ def joining(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return dealt.mapInArrow(join, "a long, b long")
 
 
-def near_duplicates(
+def grouped(
     docs: DataFrame,
     id_: str = "doc_id",
     text: str = "text",
@@ -283,15 +288,18 @@ def near_duplicates(
     rows: int = 4,
     block: int = 512,
 ) -> DataFrame:
-    """id, n_shingles, component (smallest id of its group), kept (whether it is that id) for every row.
+    """id, key (of the document), n_shingles, group (null for rows that are alone), component (smallest id of the group) of every row.
 
     A pair with an index of 0.8 shares one of 20 bands of 4 with probability 0.99997.
     """
     marked = written(signed(docs, id_, text, size, bands, rows), "signatures")
     some = marked.where("n_shingles > 0 AND id IS NOT NULL")
-    classes = some.groupBy("print", "n_shingles").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"))
+    # an id may have several texts, so a class goes by the key of its first document
+    first = F.min_by(F.struct("key", "bands"), F.struct("id", "key")).alias("first")
+    classes = some.groupBy("print", "n_shingles").agg(F.min("id").alias("rep"), first)
+    classes = classes.select("print", "n_shingles", "rep", F.col("first.key").alias("name"), F.col("first.bands").alias("bands"))
     classes = written(classes, "classes")
-    member = written(classes.select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "key")), "bands")
+    member = written(classes.select(F.col("name").alias("id"), F.posexplode("bands").alias("band", "key")), "bands")
 
     # the centre of a band is the class with the smallest hash that depends on the band, so that centres vary
     rank = F.struct(F.xxhash64("key", "id").alias("h"), "id")
@@ -299,7 +307,8 @@ def near_duplicates(
     shared = written(member.join(centres.select("key", "a"), "key").select("key", "id", "a"), "shared")
     first = shared.where("a <> id").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
     first = written(first, "pairs")
-    source = docs.select(F.col(id_).cast("long").alias("id"), F.col(text).alias("text")).where("text IS NOT NULL")
+    source = docs.where(F.col(id_).isNotNull()).select(document_key(id_, text).alias("id"), F.col(text).alias("text"))
+    source = source.where("text IS NOT NULL")
 
     texts = text_of(source, first.select(F.explode(F.array("a", "b")).alias("id")))
     links = written(verified(first, texts, size, least), "links")
@@ -316,12 +325,22 @@ def near_duplicates(
         links = links.union(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
         found = written(components(links, "a", "b"), "components")
 
-    groups = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    groups = groups.select("print", F.col("n_shingles").alias("n"), "rep", F.coalesce("component", "rep").alias("component"))
+    linked = written(classes.select("name", "rep").join(found.select(F.col("node").alias("name"), F.col("component").alias("group")), "name"), "linked")
+    linked = linked.join(linked.groupBy("group").agg(F.min("rep").alias("component")), "group").select("name", "group", "component")
+    groups = classes.select("print", "n_shingles", "name", "rep").join(written(linked, "linked"), "name", "left").select(
+        "print", F.col("n_shingles").alias("n"),
+        F.coalesce("group", "name").alias("group"), F.coalesce("component", "rep").alias("component"),
+    )
     groups = written(groups, "groups")
-    rows_ = marked.select("id", "n_shingles", "print").alias("m")
-    joined = rows_.join(groups, (F.col("m.print") == groups["print"]) & (F.col("n_shingles") == F.col("n")), "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
-    return joined.select(
-        F.col("id").alias(id_), "n_shingles", component.alias("component"), component.eqNullSafe(F.col("id")).alias("kept")
+    rows_ = marked.select("id", "key", "n_shingles", "print").alias("m")
+    same = (F.col("m.print") == groups["print"]) & (F.col("n_shingles") == F.col("n")) & F.col("id").isNotNull()
+    joined = rows_.join(groups, same, "left")
+    return joined.select("id", "key", "n_shingles", "group", F.coalesce("component", "id").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """id, n_shingles, component (smallest id of its group), kept (whether it is that id) for every row."""
+    found = grouped(docs, id_, text, **settings)
+    return found.select(
+        F.col("id").alias(id_), "n_shingles", "component", F.col("component").eqNullSafe(F.col("id")).alias("kept")
     )

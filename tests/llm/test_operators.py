@@ -253,6 +253,22 @@ def test_near_duplicates_against_all_pairs(spark):
     assert minhash.near_duplicates(data.limit(0)).count() == 0
 
 
+def test_texts_of_one_id_are_compared_each(spark):
+    """An id with a small and a large text: near copies and copies of either find it, and the two stay apart."""
+    small, large = (" ".join(f"{c}{i}" for i in range(60)) for c in "az")
+    near = large.rsplit(" ", 3)[0] + " x y z"
+    rows = [(1, small), (2, small), (2, large), (5, near), (7, near), (8, large), (9, small + " more")]
+    got = {(r["id"], r["key"]): r for r in minhash.grouped(docs(spark, [(i, t, None, None) for i, t in rows])).collect()}
+    keys = docs(spark, [(i, t, None, None) for i, t in rows]).select("doc_id", "text", minhash.document_key("doc_id", "text").alias("k"))
+    named = {(r["doc_id"], r["text"]): got[r["doc_id"], r["k"]] for r in keys.collect()}
+    assert {k: r["component"] for k, r in named.items()} == {
+        (1, small): 1, (2, small): 1, (9, small + " more"): 1, (2, large): 2, (5, near): 2, (7, near): 2, (8, large): 2
+    }
+    assert len({r["group"] for r in got.values()}) == 2
+    public = minhash.near_duplicates(docs(spark, [(i, t, None, None) for i, t in rows])).where("kept").collect()
+    assert sorted(r["doc_id"] for r in public) == [1, 2]
+
+
 def test_signatures_estimate_the_index():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 2**62, 300).astype("u8"))

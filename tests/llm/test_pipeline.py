@@ -45,6 +45,16 @@ def test_near_dedup_keeps_one_row_of_repeated_ids(spark, sf):
     assert Counter(r["doc_id"] for r in got) == {3: 1, None: 1, 9: 1}
 
 
+def test_near_dedup_keeps_every_text_of_an_id(spark, sf):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (4, b), (4, c), (4, c + " more"), (4, c), (6, ""), (6, "!"), (6, "!"), (7, None), (7, None), (None, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(map(tuple, P.drop_near_duplicates(spark, docs, sf).collect()))
+    near = [got.pop((4, t), 0) for t in (c, c + " more")]
+    assert sorted(near) == [0, 1]
+    assert got == {(1, a): 1, (2, b): 1, (6, ""): 1, (6, "!"): 1, (7, None): 1, (None, c): 1}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_match_sql(spark, sf, name):
     con = duckdb.connect()
