@@ -47,7 +47,8 @@ class Tokens:
 
     The ids are those of the `tokenizers` library for the vocabulary file; tiktoken's merging loop, fed with the
     file's own ranks, finds them several times faster. The rule's look-ahead only matters where white-space
-    characters meet, so texts without such runs are split by a pattern that needs none.
+    characters meet, so texts without such runs are split by a pattern that needs none. `of` takes the file's added
+    tokens for ordinary text; `whole` gives them their own ids, as the library does by default.
     """
 
     def __init__(self, path: str):
@@ -57,16 +58,32 @@ class Tokens:
 
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
-        special = {x["content"] for x in model.get("added_tokens", [])}  # ordinary text here
+        added = model.get("added_tokens", [])
+        special = {x["content"] for x in added}  # ordinary text in `of`
         byte = byte_of_symbol()
         ranks = {bytes(byte[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
         made = lambda rule: tiktoken.Encoding("file", pat_str=rule, mergeable_ranks=ranks, special_tokens={})
         self.plain, self.full = made(SPLIT + r"\s").encode_ordinary, made(SPLIT + RUNS).encode_ordinary
         self.runs = re.compile(r"\s\s").search
+        self.added = {x["content"]: np.array([x["id"]], "<u4").tobytes() for x in added}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.borders = re.compile(f"({'|'.join(map(re.escape, longest))})") if longest else None
+        self.library = None
+        if any(x.get("single_word") or x.get("lstrip") or x.get("rstrip") for x in added):
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(path)  # tokens that depend on their neighbours are left to it
 
     def of(self, text: str) -> bytes:
         return array("I", (self.full if self.runs(text) else self.plain)(text)).tobytes()
 
+    def whole(self, text: str) -> bytes:
+        if self.borders is None or not self.borders.search(text):
+            return self.of(text)
+        if self.library is not None:
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(self.added[p] if i % 2 else self.of(p) for i, p in enumerate(self.borders.split(text)))
+
 
 _READY: dict[str, Tokens] = {}
 
@@ -90,7 +107,7 @@ def pieces(docs: DataFrame, path: str, id_: str, text: str, capacity: int, end_i
             for i in range(0, batch.num_rows, 1000):
                 part, rows = batch.slice(i, 1000), []
                 for id_, text in zip(part.column("id").to_pylist(), part.column("text")):
-                    rows += [(id_, p, *x) for p, x in enumerate(cut(tokens.of(text.as_py()) + end, capacity))]
+                    rows += [(id_, p, *x) for p, x in enumerate(cut(tokens.whole(text.as_py()) + end, capacity))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), *[pa.int64()] * 3))],
                     names=["id", "piece", "start", "length", "ids_crc32"],

@@ -296,6 +296,20 @@ def test_tokens_equal_the_library():
         assert tokens.of(t) == np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_added_tokens_have_their_ids_as_in_the_library(spark):
+    from tokenizers import Tokenizer
+
+    path, end = queries.vocabulary(), "<|endoftext|>"
+    library = Tokenizer.from_file(path)
+    texts = [f"a {end} b", end, end * 3, f"  {end}  x\n\n {end}y", f"{end[:-1]} {end}", EN, "", "a  b"]
+    want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    tokens = packing.Tokens(path)
+    assert [tokens.whole(t) for t in texts] == want
+    got = packing.pack(docs(spark, [(i, t, None, None) for i, t in enumerate(texts)]), path).collect()
+    closed = [w + np.array([2], "<u4").tobytes() for w in want]
+    assert {(r["doc_id"], r["length"], r["ids_crc32"]) for r in got} == {(i, len(w) // 4, zlib.crc32(w)) for i, w in enumerate(closed)}
+
+
 def test_sum_of_squares_rule():
     rng = np.random.default_rng(2)
     sizes = rng.integers(1, 12, 200)
