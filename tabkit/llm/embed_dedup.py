@@ -157,12 +157,15 @@ def near_vectors(
     # ids may repeat, so classes have names of their own
     classes = written(classes.withColumn("name", F.xxhash64("rep", "print", "label")), "classes")
 
-    place = classes.select("label", "name", F.explode(F.array_distinct("codes")).alias("code"))
-    shared = place.groupBy("label", "code").agg(F.count("*").alias("m")).where("m > 1")
-    place = in_blocks(place.join(shared, ["label", "code"]), "m", block, "name", "code")
-    place = written(place.select("label", "code", "low", "high", "side", "name"), "buckets")
+    # lengths that pad to the same power of two have the same rotations, so a bucket is of one length
+    length = F.octet_length("unit").alias("length")
+    place = classes.select("label", length, "name", F.explode(F.array_distinct("codes")).alias("code"))
+    bucket = ["label", "length", "code"]
+    shared = place.groupBy(*bucket).agg(F.count("*").alias("m")).where("m > 1")
+    place = in_blocks(place.join(shared, bucket), "m", block, "name", "code")
+    place = written(place.select(*bucket, "low", "high", "side", "name"), "buckets")
     full = place.join(classes.select("name", "rep", "n", "unit", "codes"), "name")
-    key = ["label", "code", "low", "high"]
+    key = [*bucket, "low", "high"]
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, key):

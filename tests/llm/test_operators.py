@@ -404,6 +404,16 @@ def test_hidden_insults_are_seen():
 # ---- 10 vectors
 
 
+def test_vectors_of_lengths_that_pad_alike_are_not_compared(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=48)
+    near = v + 0.001 * rng.normal(size=48)
+    rows = [(1, v, "a"), (2, np.r_[v, 0.0, 0.0], "a"), (3, near, "a"), (4, np.r_[near, 0.0, 0.0], "a"), (5, np.r_[v, 0.0, 0.0], "b")]
+    frame = spark.createDataFrame([(i, x.tolist(), c) for i, x, c in rows], "vec_id long, embedding array<double>, label string")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_vectors(frame).collect()}
+    assert got == {1: (1, 1), 3: (1, 1), 2: (1, 2), 4: (1, 2), 5: (0, 5)}
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(20, 48))
