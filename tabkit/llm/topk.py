@@ -57,7 +57,7 @@ class _Best:
         self.ids, self.k, self.step = ids, k, step
         self.top = np.abs(vectors).max(initial=0)
         self.vectors = vectors
-        edges = range(0, vectors.shape[1], step)
+        edges = range(0, vectors.shape[1], step) or [0]
         square = np.array([(vectors[:, i:].astype("f8") ** 2).sum(1) for i in edges] + [np.zeros(len(ids))])
         self.rest = np.sqrt(square)
         self.scores = [np.empty(0, "i8")] * len(ids)

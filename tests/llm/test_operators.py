@@ -142,6 +142,12 @@ def test_reputation_shrinks_to_its_domain(spark):
 # ---- 4 top k
 
 
+def test_topk_of_an_empty_vector(spark):
+    frame = spark.createDataFrame([(100, []), (1, []), (2, [1.0, 2.0])], "vec_id long, embedding array<float>")
+    got = topk.top_k(frame, F.col("vec_id") == 100, k=3).collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(100, 1, 1, 0)]
+
+
 def test_topk_against_brute_force(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 24)).astype("f4")
