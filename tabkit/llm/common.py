@@ -26,20 +26,16 @@ def uniform(seed: int, *keys: Column) -> Column:
     return F.conv(head, 16, 10).cast("double") / F.lit(float(16**12))
 
 
-def stratified(rows: DataFrame, by: str, key: str, size: int, max_groups: int = 256, seed: int = 17) -> DataFrame:
+def stratified(rows: DataFrame, by: str, key: str, size: int, seed: int = 17) -> DataFrame:
     """About `size` rows of each value of `by` at most, chosen by a hash of `key`; null values go.
 
-    A sample to fit models on: of more than `max_groups` values the most frequent are used, and equal keys
-    are taken or left together, so callers pass distinct keys.
+    A sample to fit models on: equal keys are taken or left together, so callers pass distinct keys. The values'
+    counts are broadcast.
     """
     rows = rows.where(F.col(by).isNotNull())
-    found = rows.groupBy(by).count().orderBy(F.desc("count"), by).limit(max_groups).collect()
-    if not found:
-        return rows.where(F.lit(False))
-    take = F.lit(0.0)
-    for r in found:
-        take = F.when(F.col(by) == F.lit(r[0]), F.lit(min(1.0, size / r[1]))).otherwise(take)
-    return rows.where(uniform(seed, F.col(key)) < take)
+    rates = rows.groupBy(by).agg((F.lit(float(size)) / F.count("*")).alias("__rate"))
+    rated = rows.join(F.broadcast(written(rates, "rates")), by)
+    return rated.where(uniform(seed, F.col(key)) < F.col("__rate")).select(*rows.columns)
 
 
 def labelled(

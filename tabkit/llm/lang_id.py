@@ -111,7 +111,8 @@ def fit(
     sample = stratified(rows, "lang", "key", sample_rows).dropDuplicates(["lang", "key"])
     sample = written(sample.select("lang", "text").repartition(tasks), "lang-sample")
     sums: dict[str, np.ndarray] = {}
-    for r in _counted(sample):
+    many = sample.select("lang").distinct().count() > 32  # then each language's sums come from one task
+    for r in _counted(sample.repartition(tasks, "lang") if many else sample):
         sums[r["lang"]] = sums.get(r["lang"], 0) + np.frombuffer(r["counts"], "f8")
     langs = sorted(sums)
     words = codewords(len(langs))

@@ -113,6 +113,17 @@ def test_language_of_held_out_documents(spark):
     assert np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.97
 
 
+def test_all_languages_are_learned(spark):
+    """300 codes, each with words of its own; the rarest are found too."""
+    words = lambda i: " ".join(chr(0x4E00 + 20 * i + j) * 2 for j in range(20))
+    rows = [(10 * i + j, f"{words(i)} {'!' * j}", f"l{i:03d}", None) for i in range(300) for j in range(3 if i < 280 else 2)]
+    data = docs(spark, rows)
+    model = lang_id.fit(data, F.lit(True))
+    assert len(model.langs) == 300
+    found = lang_id.identify(data, model, ["doc_id"]).collect()
+    assert np.mean([r["lang_pred"] == f"l{r['doc_id'] // 10:03d}" for r in found if r["doc_id"] >= 2800]) > 0.9
+
+
 # ---- 3 URL filter
 
 
