@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 from itertools import combinations
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from tabkit.operators.clean import sample_rows
 from tabkit.operators.quantiles import quantiles
@@ -29,13 +31,15 @@ def vectors(df: DataFrame, columns: Sequence[str], out: str = "features") -> Dat
 
 
 def best_kmeans(df: DataFrame, k: int, seed: int = 42, starts: int = 20, features: str = "features") -> KMeansModel:
-    """The start with the least inertia. `df` should be persisted by the caller."""
-    best = None
-    for start in range(starts):
+    """The start with the least inertia, the first of equal ones. `df` should be persisted by the caller."""
+
+    def fit(start: int) -> tuple[float, int, KMeansModel]:
         found = KMeans(k=k, seed=seed * 1000 + start, featuresCol=features, predictionCol="cluster").fit(df)
-        if best is None or found.summary.trainingCost < best.summary.trainingCost:
-            best = found
-    return best
+        return found.summary.trainingCost, start, found
+
+    df.count()  # cached before the starts run side by side
+    with ThreadPool(min(starts, 8)) as pool:
+        return min(pool.map(inheritable_thread_target(df.sparkSession)(fit), range(starts)), key=lambda x: x[:2])[2]
 
 
 def inertia(df: DataFrame, columns: Sequence[str], label: str = "cluster") -> DataFrame:

@@ -174,11 +174,11 @@ def assign_clusters(spark, sf):
 COLUMNS = S.Columns("last_year", "c_acctbal", "spent", "n_orders", "c_mktsegment", "built")
 
 
-def _segmented(spark, sf, starts=3):
+def _segmented(spark, sf):
     rows = spending(spark, sf).withColumn("built", 1900 + F.pmod("c_custkey", F.lit(120)))
     latest = rows.agg(F.max("last_year")).first()[0]
     prepared = S.with_bins(S.prepare(rows, COLUMNS, latest), COLUMNS)
-    return prepared, S.segment(prepared, k=3, starts=starts)
+    return prepared, S.segment(prepared, k=3)
 
 
 @query()
@@ -197,8 +197,8 @@ def segments_by_vintage(spark, sf):
 
 @query()
 def kmeans_sweep(spark, sf):
-    """Inertia, silhouette and stability for k = 2, 3 with two seeds (k = 2..10, five seeds by default)."""
+    """Inertia, silhouette and stability for k = 2..10 with five seeds of 20 starts each."""
     columns = [f"x{i}" for i in range(64)]
     rows = _embedded(spark, sf).select("vec_id", *columns)
-    found = K.k_sweep(rows, columns, "vec_id", ks=(2, 3), seeds=(7, 11), starts=2)
+    found = K.k_sweep(rows, columns, "vec_id")
     return found.select("k", *[rounded(c).alias(c) for c in found.columns if c != "k"])
