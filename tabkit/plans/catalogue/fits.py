@@ -151,19 +151,21 @@ def boosted_trees(spark, sf):
 
 @query()
 def validation_tuning(spark, sf):
-    """All named forest settings scored on an inner validation part, with few and shallow trees."""
+    """All named forest settings scored on an inner validation part."""
     train, _ = _parts(spark, sf)
-    table_, best, _ = M.validation_search(train, FEATURES, "target", "id", smaller={"numTrees": 5, "maxDepth": 4})
+    table_, best, _ = M.validation_search(train, FEATURES, "target", "id")
     return table_.withColumn("selected", F.col("model") == F.lit(best))
 
 
 @query()
 def random_search(spark, sf):
-    """Five random draws with three folds; every fill and category is refitted per fold."""
+    """Five random draws of one space and eight of the other, three folds; every fill and category is refitted per fold."""
     train, _ = _parts(spark, sf)
-    space = {"numTrees": [4, 8], "maxDepth": [3, 5], "featureSubsetStrategy": ["sqrt", "all"]}
-    table_, _, _ = M.random_search(train, FEATURES, "target", "id", space, draws=5)
-    return table_
+    found = []
+    for name, space, draws in (("score", M.SCORE_SPACE, 5), ("emission", M.EMISSION_SPACE, 8)):
+        table_, _, _ = M.random_search(train, FEATURES, "target", "id", space, draws)
+        found.append(table_.withColumn("space", F.lit(name)))
+    return union_tables(found)
 
 
 _LEVELS = """
@@ -218,8 +220,8 @@ def tuned_comparison(spark, sf):
     """Random search must find the deep trees; the tuned model then joins the ranking of the test rows."""
     train, test = _levels(spark, sf)
     metrics, _, _ = M.compare_models(train, test, {"mean": Pipeline(stages=[MeanRegressor(labelCol="y")])}, "y", clip_at_zero=True)
-    space = {"maxDepth": [1, M.MAX_DEPTH], "numTrees": [3], "bootstrap": [False], "leastSplit": [2]}
-    _, _, best = M.random_search(train, LEVELS, "y", "id", space, draws=2)
+    space = M.SCORE_SPACE | {"maxDepth": [1, *M.SCORE_SPACE["maxDepth"]], "bootstrap": [False], "leastSplit": [2]}
+    _, _, best = M.random_search(train, LEVELS, "y", "id", space, draws=5)
     return _measured(M.with_tuned(metrics, best, test, "y"))
 
 

@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tabkit.operators import cluster as K
+from tabkit.operators import models as M
 
 
 class Stop(Exception):
@@ -39,3 +40,26 @@ def test_segments_use_all_starts(spark, sf, monkeypatch, name):
 
     found = settings_of(monkeypatch, segments, "best_kmeans", lambda: entry.queries()[name](spark, sf))
     assert (found["k"], found["starts"]) == (3, 20)
+
+
+def test_random_search_draws_from_both_spaces(spark, sf, monkeypatch):
+    seen = []
+
+    def search(train, features, label, key, space=M.SCORE_SPACE, draws=5, **named):
+        seen.append((space, draws))
+        return spark.range(1).selectExpr("1 AS draw", "'' AS setting", "0.0D AS cv_rmse"), {}, None
+
+    monkeypatch.setattr(M, "random_search", search)
+    rows = entry.queries()["random_search"](spark, sf).collect()
+    assert seen == [(M.SCORE_SPACE, 5), (M.EMISSION_SPACE, 8)]
+    assert [r["space"] for r in rows] == ["score", "emission"]
+
+
+def test_validation_tuning_overrides_no_setting(spark, sf, monkeypatch):
+    found = settings_of(monkeypatch, M, "validation_search", lambda: entry.queries()["validation_tuning"](spark, sf))
+    assert not found["smaller"] and found["settings"] == M.FOREST_SETTINGS
+
+
+def test_tuned_comparison_draws_from_full_forests(spark, sf, monkeypatch):
+    found = settings_of(monkeypatch, M, "random_search", lambda: entry.queries()["tuned_comparison"](spark, sf))
+    assert found["draws"] == 5 and found["space"]["numTrees"] == M.SCORE_SPACE["numTrees"]
