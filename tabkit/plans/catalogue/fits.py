@@ -1,6 +1,6 @@
 """Fitted models: closed forms with SQL, then forests, boosting, tuning and explanations (rows only).
 
-Trees are kept few and shallow here; the library defaults are the full settings.
+Trees are as many and as deep as the library's defaults.
 """
 
 from pyspark.ml import Pipeline
@@ -18,8 +18,6 @@ from tabkit.plans.catalogue.features import DISCLOSED, LAYOUT, disclosed
 from tabkit.plans.registry import query, rounded, table
 from tabkit.session import written
 
-SMALL_FOREST = {"numTrees": 10, "maxDepth": 5}
-
 
 def _one_feature(spark, sf, model):
     lines = table(spark, sf, "lineitem").select("l_quantity", F.col("l_extendedprice").alias("y"))
@@ -129,14 +127,14 @@ def _parts(spark, sf):
 
 
 def _forest(train):
-    return M.fit_shared(train, {"forest": M.recipe(FEATURES, M.forest("target", **SMALL_FOREST))})["forest"]
+    return M.fit_shared(train, {"forest": M.recipe(FEATURES, M.forest("target"))})["forest"]
 
 
 @query()
 def model_comparison(spark, sf):
     """Mean, category mean, least squares, ridge and forest on the same test rows."""
     train, test = _parts(spark, sf)
-    models = M.candidate_models(FEATURES, "target", "p_type", dummy=True, forest_settings=SMALL_FOREST)
+    models = M.candidate_models(FEATURES, "target", "p_type", dummy=True)
     metrics, _, _ = M.compare_models(train, test, models, "target", clip_at_zero=True)
     return metrics
 
@@ -144,7 +142,7 @@ def model_comparison(spark, sf):
 @query()
 def boosted_trees(spark, sf):
     train, test = _parts(spark, sf)
-    models = {"boosted": M.recipe(FEATURES, M.boosted("target", maxIter=8, maxDepth=4, stepSize=0.3))}
+    models = {"boosted": M.recipe(FEATURES, M.boosted("target"))}
     metrics, _, _ = M.compare_models(train, test, models, "target")
     return metrics
 
@@ -229,7 +227,7 @@ def tuned_comparison(spark, sf):
 def feature_effects(spark, sf):
     """Coefficients of the linear model and importances of the forest, by readable feature name."""
     train, test = _parts(spark, sf)
-    models = M.candidate_models(FEATURES, "target", forest_settings=SMALL_FOREST)
+    models = M.candidate_models(FEATURES, "target")
     fitted = M.fit_shared(train, models)
     return union_tables([X.feature_effects(m, m.transform(test), FEATURES, name) for name, m in fitted.items()])
 
@@ -253,7 +251,7 @@ def cap_sensitivity_of_fit(spark, sf):
     """Rows and test errors of a forest under three target caps."""
 
     def fit(rows):
-        models = {"forest": M.recipe(FEATURES, M.forest("target", numTrees=5, maxDepth=4))}
+        models = {"forest": M.recipe(FEATURES, M.forest("target"))}
         metrics, _, _ = M.compare_models(rows.where("not held"), rows.where("held"), models, "target")
         return metrics
 
@@ -279,7 +277,7 @@ def _stored(spark, sf):
 def _evaluation(rows, sets, name, split):
     return R.run_split(
         rows, name, sets[name], "target", split, year="year", entity=D.BUILDING_ID, key="id",
-        category=D.MODEL_TYPE, forest_settings={"numTrees": 5, "maxDepth": 4},
+        category=D.MODEL_TYPE,
     )
 
 

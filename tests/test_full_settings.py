@@ -63,3 +63,22 @@ def test_validation_tuning_overrides_no_setting(spark, sf, monkeypatch):
 def test_tuned_comparison_draws_from_full_forests(spark, sf, monkeypatch):
     found = settings_of(monkeypatch, M, "random_search", lambda: entry.queries()["tuned_comparison"](spark, sf))
     assert found["draws"] == 5 and found["space"]["numTrees"] == M.SCORE_SPACE["numTrees"]
+
+
+FITTED = (
+    "model_comparison boosted_trees feature_effects tree_statistics forest_permutation cap_sensitivity_of_fit "
+    "scenario_metrics scenario_reports scenario_tracks"
+).split()
+
+
+@pytest.mark.parametrize("name", FITTED)
+def test_trees_are_fitted_at_their_defaults(spark, sf, monkeypatch, name):
+    models = settings_of(monkeypatch, M, "fit_shared", lambda: entry.queries()[name](spark, sf).count())["models"]
+    full = {type(m): m for m in (M.forest("y"), M.boosted("y"))}
+    trees = [s for p in models.values() for s in p.getStages() if type(s) in full]
+    assert trees
+    for model in trees:
+        for param in ("maxDepth", "minInstancesPerNode", "featureSubsetStrategy", "subsamplingRate"):
+            assert model.getOrDefault(param) == full[type(model)].getOrDefault(param)
+        size = "numTrees" if model.hasParam("numTrees") else "maxIter"
+        assert model.getOrDefault(size) == full[type(model)].getOrDefault(size) == 300
