@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabkit.llm import embed_dedup, lang_id, minhash, mixing, packing, quality, topk, toxicity, url_filter, warc
+from tabkit.llm import curve_packing, embed_dedup, hard_negatives, lang_id, minhash, mixing, packing, quality, topk, toxicity, url_filter, warc, whitening
 from tabkit.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,6 +16,7 @@ ORACLES: dict[str, str] = {}
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 MIX = [5.0, 2.0, 1.0]
 VOCABULARY = "byte_bpe_50k.json"
+WORD_VOCABULARY = "word_bpe_49k.json"
 
 
 def query(sql: str | None = None) -> Callable:
@@ -200,3 +201,34 @@ FROM c LEFT JOIN k USING (vec_id)"""
 def op10_vectors(spark, sf):
     """Links and groups of near-equal vectors of the same label."""
     return embed_dedup.near_vectors(table(spark, sf, "embeddings"))
+
+
+@query()
+def op11_whitening(spark, sf):
+    """The four strongest components of all vectors, whitened."""
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
+@query("""WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v, row_number() OVER () AS no
+  FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+e AS (SELECT a.no AS anchor, a.vec_id AS anchor_id, b.no, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.no <> b.no WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor, anchor_id, no AS positive, vec_id AS positive_id, score AS positive_score FROM e WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, no) <= 5),
+n AS (SELECT p.*, e.vec_id AS negative_id, e.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.anchor, positive ORDER BY e.score DESC, e.vec_id, e.no) AS INTEGER) AS rank
+  FROM p JOIN e ON p.anchor = e.anchor AND NOT e.same AND 80 * positive_score <= 100 * e.score AND e.score <= positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""")
+def op12_hard_negatives(spark, sf):
+    """Five hard negatives for each of the five nearest positives of every hundredth vector, with every seventh label wrong."""
+    vectors = table(spark, sf, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors, F.pmod(F.col("vec_id"), F.lit(100)) == 0, label=label)
+
+
+@query()
+def op13_curve_packing(spark, sf):
+    """Pack all documents into sequences of 4096 tokens, neighbours on a curve together."""
+    return curve_packing.pack(table(spark, sf, "documents"), vocabulary(WORD_VOCABULARY))
