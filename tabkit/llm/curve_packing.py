@@ -2,12 +2,12 @@
 
 Token ids of a document are hashed into buckets; the logarithms of their counts are projected to a few Gaussian
 dimensions. Projections are standardised over all documents and cut into cells, whose place on a Hilbert curve is the
-document's key. Rows are sorted by ranges of (key, number), each range adds up its tokens, and the sums of the ranges before
-give every document its place on one line of all tokens. The line is cut into sequences; what is left at its end is
-cut into lengths that are powers of two, so nothing is padded.
+document's key. Keys and lengths are sorted by ranges of (key, number), each range adds up its tokens, and the sums of the
+ranges before give every document its place on one line of all tokens. The line is cut into sequences; what is left at
+its end is cut into lengths that are powers of two, so nothing is padded.
 
-Texts are tokenized once; ids are written (two bytes each, if the vocabulary allows) and sorted as whole documents. The
-second part of the range key is a number of the row, so many equal documents are no hot range.
+Texts are tokenized once; ids are written (two bytes each, if the vocabulary allows) and joined with their places by the
+row's number. That number is also the second part of the range key, so many equal documents are no hot range.
 
 Defined results: a null text is empty, and a document without tokens is one piece with the end id; rows with equal or
 null ids are packed each; very long texts are cut like others; an empty table gives no rows; other columns are ignored.
@@ -248,8 +248,7 @@ def pack(
             at = np.array(batch.column("at").to_pylist(), "f8").reshape(-1, dims)
             share = 1 / (1 + np.exp(-1.702 * (at - middle) / width))  # close to the normal distribution function
             cells = np.minimum((share * (1 << bits)).astype("i8"), (1 << bits) - 1)
-            columns = [pa.array(hilbert_key(cells, bits)), *[batch.column(c) for c in ("no", "id", "ids", "n")]]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "no", "id", "ids", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(hilbert_key(cells, bits)), batch.column("no"), batch.column("n")], names=["key", "no", "n"])
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -258,13 +257,14 @@ def pack(
         for batch in batches:
             n = batch.column("n").to_numpy()
             ends = before + np.cumsum(n)
-            columns = [pa.array(np.full(len(n), part, "i4")), pa.array(ends - n), *[batch.column(c) for c in ("id", "ids", "n")]]
+            columns = [batch.column("no"), pa.array(np.full(len(n), part, "i4")), pa.array(ends - n), batch.column("n")]
             before = int(ends[-1]) if len(n) else before
-            yield pa.RecordBatch.from_arrays(columns, names=["part", "first", "id", "ids", "n"])
+            yield pa.RecordBatch.from_arrays(columns, names=["no", "part", "first", "n"])
 
-    line = rows.mapInArrow(keyed, "key long, no long, id long, ids binary, n long")
+    # only keys and lengths are sorted; the ids join their places afterwards
+    line = rows.select("no", "n", "at").mapInArrow(keyed, "key long, no long, n long")
     line = line.repartitionByRange("key", "no").sortWithinPartitions("key", "no")
-    line = written(line.mapInArrow(placed, "part int, first long, id long, ids binary, n long"), "token-line")
+    line = written(line.mapInArrow(placed, "no long, part int, first long, n long"), "token-line")
     sizes = sorted((r["part"], r["n"]) for r in line.groupBy("part").agg(F.sum("n").alias("n")).collect())
     starts = dict(zip((p for p, _ in sizes), np.cumsum([0, *[n for _, n in sizes]]).tolist()))
     total = sum(n for _, n in sizes)
@@ -284,4 +284,5 @@ def pack(
                 names = PIECES.replace(",", "").split()[::2]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=names)
 
-    return line.mapInArrow(cut, PIECES).withColumnRenamed("id", id_)
+    full = rows.select("no", "id", "ids").join(line.select("no", "part", "first"), "no")
+    return full.mapInArrow(cut, PIECES).withColumnRenamed("id", id_)
