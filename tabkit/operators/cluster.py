@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 from itertools import combinations
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.util import inheritable_thread_target
 
+from tabkit.operators import lloyd
 from tabkit.operators.clean import sample_rows
 from tabkit.operators.quantiles import quantiles
+from tabkit.session import written
 
 # Names of a three-cluster solution.
 HIGH_FIRST = "High Energy - Moderate Water"
@@ -30,16 +30,12 @@ def vectors(df: DataFrame, columns: Sequence[str], out: str = "features") -> Dat
     return VectorAssembler(inputCols=list(columns), outputCol=out).transform(df)
 
 
-def best_kmeans(df: DataFrame, k: int, seed: int = 42, starts: int = 20, features: str = "features") -> KMeansModel:
-    """The start with the least inertia, the first of equal ones. `df` should be persisted by the caller."""
-
-    def fit(start: int) -> tuple[float, int, KMeansModel]:
-        found = KMeans(k=k, seed=seed * 1000 + start, featuresCol=features, predictionCol="cluster").fit(df)
-        return found.summary.trainingCost, start, found
-
-    df.count()  # cached before the starts run side by side
-    with ThreadPool(min(starts, 8)) as pool:
-        return min(pool.map(inheritable_thread_target(df.sparkSession)(fit), range(starts)), key=lambda x: x[:2])[2]
+def best_kmeans(df: DataFrame, k: int, seed: int = 42, starts: int = 20, features: str = "features") -> lloyd.CentresModel:
+    """The start with the least inertia, the first of equal ones; all starts move in the same scans."""
+    table = lloyd.points(df, vector_to_array(F.col(features)))
+    sets, costs = lloyd.many_kmeans(table, dict.fromkeys(range(starts), k), seed)
+    best = lloyd.best_starts(dict.fromkeys(range(starts), 0), costs)[0]
+    return lloyd.CentresModel.of(sets[best], costs[best], features)
 
 
 def inertia(df: DataFrame, columns: Sequence[str], label: str = "cluster") -> DataFrame:
@@ -111,21 +107,18 @@ def squared_silhouette(df: DataFrame, features: str = "features", label: str = "
 def adjusted_rand(df: DataFrame, labelings: Mapping[str, str]) -> DataFrame:
     """Adjusted Rand index of every pair of labelings (name -> column) that share a row.
 
-    All pairs go through one contingency count; 1 when both labelings are trivial.
+    All pairs come from one count of label tuples; 1 when both labelings are trivial.
     """
     names = list(labelings)
+    # rows are shuffled once, as counts of their label tuples; pairs of labelings are formed from those
+    cube = df.groupBy(*[F.col(labelings[n]).alias(f"l{i}") for i, n in enumerate(names)]).agg(F.count(F.lit(1)).alias("n"))
     cells = F.array(
         *[
-            F.struct(
-                F.lit(a).alias("first"),
-                F.lit(b).alias("second"),
-                F.col(labelings[a]).alias("a"),
-                F.col(labelings[b]).alias("b"),
-            )
-            for a, b in combinations(names, 2)
+            F.struct(F.lit(names[i]).alias("first"), F.lit(names[j]).alias("second"), F.col(f"l{i}").alias("a"), F.col(f"l{j}").alias("b"), "n")
+            for i, j in combinations(range(len(names)), 2)
         ]
     )
-    counts = df.select(F.inline(cells)).groupBy("first", "second", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    counts = written(cube.select(F.inline(cells)).groupBy("first", "second", "a", "b").agg(F.sum("n").alias("n")), "contingency")
 
     def pairs(n: Column) -> Column:
         n = n.cast("double")
@@ -158,20 +151,21 @@ def k_sweep(
 ) -> DataFrame:
     """Mean inertia, silhouette (of squared distances, over all rows) and pairwise stability for each number of clusters."""
     spark = df.sparkSession
-    base = vectors(df.select(key, *columns), columns).persist()
+    table = lloyd.points(df, F.array(*[F.col(f"`{c}`") for c in columns]), key)
+    names = lloyd.named_sets(ks, seeds, starts)
+    sets, costs = lloyd.many_kmeans(table, {n: k for n, (k, _) in names.items()}, seed=len(names))
+    best = lloyd.best_starts(names, costs)
+    chosen = {n: sets[n] for n in best.values()}
+    order = {n: i for i, n in enumerate(sorted(chosen))}
+    widths = lloyd.squared_silhouettes(table, chosen)
+    labelled = written(lloyd.with_labels(table, chosen, key), "labels")
     rows = []
     for k in ks:
-        labelled, names, costs, widths = base, {}, [], []
-        for seed in seeds:
-            model = best_kmeans(base, k, seed, starts)
-            costs.append(float(model.summary.trainingCost))
-            column = f"c{seed}"
-            labelled = model.setPredictionCol(column).transform(labelled)
-            names[str(seed)] = column
-            widths.append(squared_silhouette(labelled, "features", column).first()["silhouette"])
-        stable = adjusted_rand(labelled, names).agg(F.avg("ari")).first()[0] if len(names) > 1 else 1.0
-        rows.append((k, float(np.mean(costs)), float(np.mean(widths)), float(stable)))
-    base.unpersist()
+        mine = {str(s): best[k, s] for s in seeds}
+        frame = labelled.select(*[F.col("labels")[order[n]].alias(f"c{s}") for s, n in mine.items()])
+        stable = adjusted_rand(frame, {s: f"c{s}" for s in mine}).agg(F.avg("ari")).first()[0] if len(mine) > 1 else 1.0
+        costs_k, widths_k = [costs[n] for n in mine.values()], [widths[n] for n in mine.values()]
+        rows.append((k, float(np.mean(costs_k)), float(np.mean(widths_k)), float(stable)))
     return spark.createDataFrame(
         rows, "k int, inertia_mean double, silhouette_mean double, stability_mean_ari double"
     )

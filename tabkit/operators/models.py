@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabkit.functions.numbers import rmse
+from tabkit.operators import trees as T
 from tabkit.operators.evaluate import model_metrics
+from tabkit.operators.quantiles import quantiles
 from tabkit.operators.split import hash_slot
 from tabkit.operators.stages import (
     CategoryMeanRegressor,
@@ -26,6 +27,7 @@ from tabkit.operators.stages import (
     RareGrouper,
     RidgeRegression,
 )
+from tabkit.session import written
 
 MAX_DEPTH = 30
 
@@ -132,9 +134,9 @@ def least_squares(label: str) -> LinearRegression:
     return LinearRegression(labelCol=label, regParam=1e-9, elasticNetParam=0.0, standardization=False)
 
 
-def forest(label: str, seed: int = 42, **settings) -> RandomForestRegressor:
+def forest(label: str, seed: int = 42, **settings) -> T.ForestRegressor:
     chosen = {"numTrees": 300, "maxDepth": MAX_DEPTH, "minInstancesPerNode": 2, "featureSubsetStrategy": "all"}
-    return RandomForestRegressor(labelCol=label, seed=seed, **{**chosen, **settings})
+    return T.ForestRegressor(labelCol=label, seed=seed, **{**chosen, **settings})
 
 
 def boosted(label: str, seed: int = 42, **settings) -> GBTRegressor:
@@ -249,6 +251,34 @@ def compare_models(
     return settled_metrics(scored, label, list(fitted)), fitted, scored
 
 
+def binned_rows(rows: DataFrame, features: Features, label: str, part: Column, fitted: Column) -> T.Binned:
+    """Rows as bins. Fills, categories and borders are fitted once, on the rows where `fitted` holds."""
+    kept = rows.select(*[F.col(f"`{c}`") for c in features.columns], F.col(f"`{label}`"), part.alias("__part"), fitted.alias("__fitted"))
+    kept = written(kept, "rows-to-bin")
+    prepared = Pipeline(stages=preprocessing(features, False)).fit(kept.where("__fitted"))
+    return T.binned(prepared.transform(kept), label, "features", F.col("__part"), fitted=F.col("__fitted"))
+
+
+def shared_forests(settings: Sequence[Mapping], label: str, seed: int, parts: Sequence[int]) -> tuple[list[T.Growth], list[list[int]], list[tuple[int, int]]]:
+    """The forests to grow for a list of settings, the tree counts to read from each, and where each setting is found.
+
+    Settings that differ in the number of trees alone are read from one forest: its first trees are the smaller one.
+    """
+    grown = [replace(forest(label, seed, **s).growth(), parts=tuple(parts)) for s in settings]
+    kinds = list(dict.fromkeys(replace(g, trees=0) for g in grown))
+    counts = [sorted({g.trees for g in grown if replace(g, trees=0) == k}) for k in kinds]
+    where = [(kinds.index(replace(g, trees=0)), g.trees) for g in grown]
+    return [replace(k, trees=c[-1]) for k, c in zip(kinds, counts)], counts, where
+
+
+def scored_settings(data: T.Binned, settings: Sequence[Mapping], label: str, seed: int, train: Sequence[int], held: Sequence[int]) -> DataFrame:
+    """no, y, part and one column p0, p1, ... per setting: forests grown from some parts of the rows, scored on others."""
+    forests, counts, where = shared_forests(settings, label, seed, train)
+    places = {at: i for i, at in enumerate((f, m) for f, marks in enumerate(counts) for m in marks)}
+    scored = T.held_out(data, forests, counts, held)
+    return scored.select("no", "y", "part", *[F.col("means")[places[at]].alias(f"p{i}") for i, at in enumerate(where)])
+
+
 def validation_search(
     train: DataFrame,
     features: Features,
@@ -262,25 +292,30 @@ def validation_search(
 
     `smaller` overrides entries of every setting, for trial runs.
     """
-    inner = train.withColumn("__val", hash_slot(key, 10_000, seed + 1) < 2000)
+    held = hash_slot(key, 10_000, seed + 1) < 2000
     settings = {name: {**params, **(smaller or {})} for name, params in settings.items()}
-    prepared = preprocessing(features, False)
-    models = {name: Pipeline(stages=[*prepared, forest(label, seed, **p)]) for name, p in settings.items()}
-    fitted = fit_shared(inner.where(~F.col("__val")), models)
-    metrics = settled_metrics(predict_all(inner.where("__val"), fitted), label, list(fitted), with_range=False)
+    data = binned_rows(train, features, label, held.cast("int"), ~held)
+    scored = scored_settings(data, list(settings.values()), label, seed, [0], [1])
+    scored = scored.select(F.col("y").alias(label), *[F.col(f"p{i}").alias(f"pred_{name}") for i, name in enumerate(settings)])
+    metrics = settled_metrics(scored, label, list(settings), with_range=False)
     best = metrics.first()["model"]
     final = fit_shared(train, {best: recipe(features, forest(label, seed, **settings[best]))})
     return metrics, best, final[best]
 
 
-def forest_params(setting: Mapping) -> dict:
-    """A drawn setting as forest parameters. Spark bounds a node's children, not the node: `leastSplit` rows
-    to split become at least half of them in each child."""
-    params = dict(setting)
-    least = params.pop("leastSplit", None)
-    if least:
-        params["minInstancesPerNode"] = max(params.get("minInstancesPerNode", 1), -(-least // 2))
-    return params
+def drawn_settings(space: Mapping[str, Sequence], draws: int, seed: int) -> list[dict]:
+    """Different random settings of a space, at most `draws`."""
+    size = 1
+    for options in space.values():
+        size *= len(options)
+    picked = []
+    for index in random.Random(seed).sample(range(size), min(draws, size)):
+        setting = {}
+        for name, options in space.items():
+            index, at = divmod(index, len(options))
+            setting[name] = options[at]
+        picked.append(setting)
+    return picked
 
 
 def random_search(
@@ -292,40 +327,57 @@ def random_search(
     draws: int = 5,
     folds: int = 3,
     seed: int = 42,
-    parallelism: int = 2,
 ) -> tuple[DataFrame, dict, PipelineModel]:
-    """Random draws from a space, scored by RMSE over folds of hashed keys; the best is refitted."""
-    chooser = random.Random(seed)
-    size = 1
-    for options in space.values():
-        size *= len(options)
-    picked = []
-    for index in chooser.sample(range(size), min(draws, size)):
-        setting = {}
-        for name, options in space.items():
-            index, at = divmod(index, len(options))
-            setting[name] = options[at]
-        picked.append(setting)
-    model = forest(label, seed)
-    grid = [{getattr(model, name): value for name, value in forest_params(setting).items()} for setting in picked]
-    # The pipeline is tuned as a whole: its fills and categories are refitted in every fold.
-    folded = spread(train.withColumn("__fold", hash_slot(key, folds, seed + 2).cast("int")))
-    search = CrossValidator(
-        estimator=Pipeline(stages=[*preprocessing(features, False), model]),
-        estimatorParamMaps=grid,
-        evaluator=RegressionEvaluator(labelCol=label, metricName="rmse"),
-        numFolds=folds,
-        foldCol="__fold",
-        parallelism=parallelism,
-    ).fit(folded)
-    folded.unpersist()
-    rows = [
-        (i, str(sorted(setting.items())), float(score))
-        for i, (setting, score) in enumerate(zip(picked, search.avgMetrics))
-    ]
+    """Random draws from a space, scored by RMSE over folds of hashed keys; the best is refitted.
+
+    Fills and categories are fitted once per fold, on the other folds; all draws grow side by side from that fold's bins.
+    """
+    picked = drawn_settings(space, draws, seed)
+    part = hash_slot(key, folds, seed + 2).cast("int")
+    found = [[] for _ in picked]
+    for fold in range(folds):
+        data = binned_rows(train, features, label, (part == fold).cast("int"), part != fold)
+        scored = scored_settings(data, picked, label, seed, [0], [1])
+        row = scored.agg(*[rmse("y", f"p{i}").alias(f"e{i}") for i in range(len(picked))]).first()
+        for i, error in enumerate(row):
+            found[i].append(error)
+    rows = [(i, str(sorted(s.items())), sum(found[i]) / folds) for i, s in enumerate(picked)]
     table = train.sparkSession.createDataFrame(rows, "draw int, setting string, cv_rmse double")
     best = picked[min(range(len(rows)), key=lambda i: rows[i][2])]
-    return table, best, search.bestModel
+    final = fit_shared(train, {"best": recipe(features, forest(label, seed, **best))})
+    return table, best, final["best"]
+
+
+def capped_forests(
+    df: DataFrame, features: Features, label: str, held: Column, caps: Mapping[str, float | None], settings: Mapping | None = None, seed: int = 42
+) -> DataFrame:
+    """Test errors of a forest under each target cap (a quantile, or None for all rows), from one set of bins.
+
+    A cap keeps rows with 0 < target <= bound, as `cap_rows` does; it is a mask over bands of the target. Fills and
+    categories are fitted on all training rows with a positive target. Columns: target_filter, upper_bound, n_rows, largest, mae, rmse, r2.
+    """
+    rows = df.where(F.col(label) > 0)
+    shares = {name: q for name, q in caps.items() if q is not None and q < 1}
+    found = quantiles(df, {name: (label, q) for name, q in shares.items()}).first().asDict() if shares else {}
+    bounds = {name: found.get(name) for name in caps}
+    order = sorted(caps, key=lambda n: float("inf") if bounds[n] is None else bounds[n])
+    band = F.lit(0)
+    for name in order[:-1]:
+        band = band + (F.col(label) > F.lit(bounds[name])).cast("int")
+    if bounds[order[-1]] is not None:
+        rows = rows.where(F.col(label) <= F.lit(bounds[order[-1]]))
+    data = binned_rows(rows, features, label, 2 * band + held.cast("int"), ~held)
+    grown = forest(label, seed, **(settings or {})).growth()
+    forests = [replace(grown, parts=tuple(2 * b for b in range(i + 1))) for i in range(len(order))]
+    scored = written(T.held_out(data, forests, [[grown.trees]] * len(order), [2 * b + 1 for b in range(len(order))]), "capped")
+    out = None
+    for i, name in enumerate(order):
+        size = data.table.where(F.col("part") < 2 * (i + 1)).agg(F.count("*").alias("n_rows"), F.max("y").alias("largest"))
+        mine = scored.where(F.col("part") < 2 * (i + 1)).select(F.col("y").alias(label), F.col("means")[i].alias("pred_forest"))
+        errors = settled_metrics(mine, label, ["forest"], with_range=False).select("mae", "rmse", "r2")
+        row = size.select(F.lit(name).alias("target_filter"), F.lit(bounds[name]).cast("double").alias("upper_bound"), "*").crossJoin(errors)
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def with_tuned(

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +37,9 @@ from tabkit.session import written
 BINS = 255
 SMALL_BYTES = 64 << 20  # a binned table up to this size is sent to every task
 GROUP_BYTES = 256 << 20  # trees that are sent to the tasks at a time
-PIECES = "forest int, tree int, node int, feature binary, cut binary, left binary, value binary, gain binary"
-_KINDS = {"feature": "<i2", "cut": "u1", "left": "<i4", "value": "<f8", "gain": "<f4"}
+CELLS = 40_000  # (row, column) pairs that are looked at together
+PIECES = "forest int, tree int, node int, feature binary, cut binary, value binary, gain binary"
+_KINDS = {"feature": "<i2", "cut": "u1", "value": "<f8", "gain": "<f4"}
 #: chances of at most 0, 1, 2, ... draws of a row
 _DRAWN = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
 
@@ -140,18 +141,21 @@ def drawn(no: np.ndarray, seed: int, tree: int) -> np.ndarray:
     return np.searchsorted(_DRAWN, (x >> np.uint64(11)) * 2.0**-53, "right").astype("f8")
 
 
-def _best_cuts(node: np.ndarray, bins: np.ndarray, w: np.ndarray, s: np.ndarray, nodes: int, width: int, leaf: float) -> tuple[np.ndarray, np.ndarray]:
-    """For one feature, per node: the largest S_l^2 / W_l + S_r^2 / W_r of all cuts, and the last bin of the left side."""
-    key = node * width + bins
+def _best_cuts(key: np.ndarray, w: np.ndarray, s: np.ndarray, nodes: int, width: int, leaf: float) -> tuple[np.ndarray, np.ndarray]:
+    """Per node: the largest S_l^2 / W_l + S_r^2 / W_r of all cuts of one feature, and the last bin of the left side.
+
+    A row's `key` is node * width + bin.
+    """
+    if not len(key):
+        return np.full(nodes, -np.inf), np.zeros(nodes, int)
     if nodes * width <= 4 * len(key):
         weight = np.bincount(key, w, nodes * width).reshape(nodes, width).cumsum(1)
         sums = np.bincount(key, s, nodes * width).reshape(nodes, width).cumsum(1)
         left, right = weight[:, :-1], weight[:, -1:] - weight[:, :-1]
         ls, rs = sums[:, :-1], sums[:, -1:] - sums[:, :-1]
         fit = (left >= leaf) & (right >= leaf)
-        score = np.full(left.shape, -np.inf)
-        np.divide(ls * ls, left, out=score, where=fit)
-        score[fit] += rs[fit] ** 2 / right[fit]
+        score = np.divide(ls * ls, left, out=np.full(left.shape, -np.inf), where=fit)
+        score += np.divide(rs * rs, right, out=np.zeros(left.shape), where=fit)
         at = score.argmax(1) if width > 1 else np.zeros(nodes, int)
         return (score[np.arange(nodes), at] if width > 1 else np.full(nodes, -np.inf)), at
     # few rows per node: sort by (node, bin) and look at the places where the bin changes
@@ -169,8 +173,8 @@ def _best_cuts(node: np.ndarray, bins: np.ndarray, w: np.ndarray, s: np.ndarray,
     left, right = weight - w0, weight[ends][group] - weight
     ls, rs = sums - s0, sums[ends][group] - sums
     fit = ~final & (left >= leaf) & (right >= leaf)
-    score = np.full(len(left), -np.inf)
-    score[fit] = ls[fit] ** 2 / left[fit] + rs[fit] ** 2 / right[fit]
+    score = np.divide(ls * ls, left, out=np.full(len(left), -np.inf), where=fit)
+    score += np.divide(rs * rs, right, out=np.zeros(len(left)), where=fit)
     top = np.maximum.reduceat(score, np.append(0, ends[:-1] + 1)) if len(ends) else np.empty(0)
     best, at = np.full(nodes, -np.inf), np.zeros(nodes, int)
     best[owner[ends]] = top
@@ -181,50 +185,65 @@ def _best_cuts(node: np.ndarray, bins: np.ndarray, w: np.ndarray, s: np.ndarray,
 
 def grow(bins: np.ndarray, w: np.ndarray, y: np.ndarray, g: Growth, widths: np.ndarray, rng: np.random.Generator, depth: int = 0) -> dict[str, np.ndarray]:
     """The tree below one node, level by level. Children of a node are neighbours; leaves have feature -1."""
-    columns = np.arange(bins.shape[1]) if g.columns is None else np.array(g.columns)
+    columns = np.arange(len(widths)) if g.columns is None else np.array(g.columns)
+    columns = columns[widths[columns] > 1]
     tried, middle = g.tried(len(columns)), float(np.average(y, weights=w))
     keep = w > 0
-    bins, w, y = bins[keep], w[keep], y[keep] - middle
+    bins, w, y = np.ascontiguousarray(bins[keep].T), w[keep], y[keep] - middle
     s, q, node = w * y, w * y * y, np.zeros(len(w), int)
     parts: dict[str, list] = {k: [] for k in _KINDS}
-    nodes, made = 1, 1
+    nodes = 1
     while True:
         weight, sums = np.bincount(node, w, nodes), np.bincount(node, s, nodes)
         base = np.divide(sums * sums, weight, out=np.zeros(nodes), where=weight > 0)
         spread = np.bincount(node, q, nodes) - base
         best, feature, cut = np.full(nodes, -np.inf), np.full(nodes, -1), np.zeros(nodes, int)
-        open_ = (weight >= max(2 * g.leaf, g.split)) & (spread > 1e-12 * np.maximum(base, 1e-300)) & (spread > 1e-12) if depth < g.depth else np.zeros(nodes, bool)
+        grows = depth < g.depth and len(columns) > 0
+        open_ = (weight >= max(2 * g.leaf, g.split)) & (spread > 1e-12 * np.maximum(base, 1e-300)) & (spread > 1e-12) if grows else np.zeros(nodes, bool)
         if open_.any():
             chosen = None
             if tried < len(columns):
                 rank = np.argsort(rng.random((nodes, len(columns))), axis=1)
                 chosen = np.zeros((nodes, len(columns)), bool)
                 np.put_along_axis(chosen, rank[:, :tried], True, 1)
-            live = open_[node]
-            for i, f in enumerate(columns):
-                if widths[f] < 2:
-                    continue
-                rows = np.flatnonzero(live if chosen is None else live & chosen[node, i])
-                if not len(rows):
-                    continue
-                score, at = _best_cuts(node[rows], bins[rows, f].astype(int), w[rows], s[rows], nodes, int(widths[f]), g.leaf)
-                better = score > best
-                best[better], feature[better], cut[better] = score[better], f, at[better]
+            if open_.all():
+                near, bl, wl, sl = node, bins, w, s
+            else:
+                live = np.flatnonzero(open_[node])
+                near, bl, wl, sl = node[live], bins[:, live], w[live], s[live]
+            each = max(1, CELLS // max(len(near), 1))
+            for i in range(0, len(columns), each):
+                some = columns[i : i + each]
+                n, width = len(some), int(widths[some].max())
+                key = (near * (n * width) + (np.arange(n) * width)[:, None]) + bl[some]
+                weights, values = np.tile(wl, n), np.tile(sl, n)
+                key = key.ravel()
+                if chosen is not None:
+                    cell = np.flatnonzero(chosen[near, i : i + each].T.ravel())
+                    key, weights, values = key[cell], weights[cell], values[cell]
+                score, at = _best_cuts(key, weights, values, nodes * n, width, g.leaf)
+                score, at = score.reshape(nodes, -1), at.reshape(nodes, -1)
+                first = score.argmax(1)
+                top = score[np.arange(nodes), first]
+                better = top > best
+                best[better], feature[better], cut[better] = top[better], some[first][better], at[np.arange(nodes), first][better]
         gain = np.where(feature >= 0, best - base, 0.0)
         split = (feature >= 0) & (gain > 1e-12 * np.maximum(base, 1e-300))
         feature[~split], gain[~split] = -1, 0.0
         place = np.cumsum(split) - split
-        for name, values in (("feature", feature), ("cut", cut), ("left", np.where(split, made + 2 * place, -1)),
+        for name, values in (("feature", feature), ("cut", cut),
                              ("value", np.divide(sums, weight, out=np.zeros(nodes), where=weight > 0) + middle), ("gain", gain)):
             parts[name].append(values)
         if not split.any():
-            return {k: np.concatenate(v).astype(_KINDS[k]) for k, v in parts.items()}
+            made = {k: np.concatenate(v).astype(_KINDS[k]) for k, v in parts.items()}
+            return made | {"left": lefts(made["feature"])}
         rows = np.flatnonzero(split[node])
-        node, bins, w, s, q = node[rows], bins[rows], w[rows], s[rows], q[rows]
-        right = bins[np.arange(len(rows)), feature[node]] > cut[node]
+        if len(rows) < len(node):
+            node, bins, w, s, q = node[rows], bins[:, rows], w[rows], s[rows], q[rows]
+        right = bins[feature[node], np.arange(len(node))] > cut[node]
         node = 2 * place[node] + right
         nodes = 2 * int(split.sum())
-        made, depth = made + nodes, depth + 1
+        depth += 1
 
 
 def walk(tree: Mapping[str, np.ndarray], bins: np.ndarray) -> np.ndarray:
@@ -239,6 +258,12 @@ def walk(tree: Mapping[str, np.ndarray], bins: np.ndarray) -> np.ndarray:
     return at
 
 
+def lefts(feature: np.ndarray) -> np.ndarray:
+    """Left child of each node, -1 for leaves: nodes are numbered level by level, children side by side."""
+    inner = feature >= 0
+    return np.where(inner, 2 * np.cumsum(inner) - 1, -1)
+
+
 def _piece(forest: int, tree: int, node: int, made: Mapping[str, np.ndarray]) -> tuple:
     return (forest, tree, node, *[made[k].astype(t).tobytes() for k, t in _KINDS.items()])
 
@@ -249,7 +274,8 @@ def _pieces(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read_piece(row) -> dict[str, np.ndarray]:
-    return {k: np.frombuffer(row[k], t) for k, t in _KINDS.items() if k in row}
+    made = {k: np.frombuffer(row[k], t) for k, t in _KINDS.items() if k in row}
+    return made | {"left": lefts(made["feature"]).astype("i4")}
 
 
 def _weights(g: Growth, no: np.ndarray, part: np.ndarray, tree: int) -> np.ndarray:
@@ -302,7 +328,7 @@ def _from_large(data: Binned, forests: Sequence[Growth], local_rows: int, node_b
     spark, width = data.table.sparkSession, len(data.borders)
     widths = np.array([len(b) + 1 for b in data.borders])
     units = _units(forests)
-    tops = {u: {k: np.array([-1 if k in ("feature", "left") else 0]).astype(t) for k, t in _KINDS.items()} for u in range(len(units))}
+    tops = {u: {k: np.array([-1 if k == "feature" else 0]).astype(t) for k, t in _KINDS.items()} for u in range(len(units))}
     open_ = [(u, 0) for u in tops]
     depth, ready = 0, []
     while open_:
@@ -322,14 +348,15 @@ def _from_large(data: Binned, forests: Sequence[Growth], local_rows: int, node_b
                 continue
             if f is None or gain <= 0 or depth >= g.depth:
                 continue
-            top["feature"][node], top["cut"][node], top["gain"][node], top["left"][node] = f, cut, gain, len(top["left"])
-            child = len(top["left"])
-            for k in _KINDS:
-                top[k] = np.append(top[k], np.array([-1, -1] if k in ("feature", "left") else [0, 0]).astype(_KINDS[k]))
+            top["feature"][node], top["cut"][node], top["gain"][node] = f, cut, gain
+            child = len(top["feature"])
+            for k, kind in _KINDS.items():
+                top[k] = np.append(top[k], np.array([-1, -1] if k == "feature" else [0, 0]).astype(kind))
             for at, (n, s) in ((child, (lw, ls)), (child + 1, (weight - lw, sums - ls))):
                 top["value"][at] = s / n
                 (following if n > local_rows else ready).append((u, at))
         open_, depth = following, depth + 1
+    tops = {u: top | {"left": lefts(top["feature"])} for u, top in tops.items()}
     levels = {(u, n): _depth_of(tops[u], n) for u, n in ready}
     sent = spark.sparkContext.broadcast(({u: {k: t[k] for k in ("feature", "cut", "left")} for u, t in tops.items()}, levels))
 
@@ -381,7 +408,7 @@ def _split_from_histograms(data: Binned, forests, units, tops, nodes: list[tuple
         for n in members:
             order = _rng(g, units[u][1], n + 1).permutation(len(columns))[: g.tried(len(columns))]
             seen[u, n] = set(columns[order].tolist())
-    sent = data.table.sparkSession.sparkContext.broadcast(({u: {k: tops[u][k] for k in ("feature", "cut", "left")} for u in slots}, seen))
+    sent = data.table.sparkSession.sparkContext.broadcast(({u: {k: tops[u][k] for k in ("feature", "cut")} | {"left": lefts(tops[u]["feature"])} for u in slots}, seen))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tops, seen = sent.value
@@ -482,7 +509,7 @@ def _groups(trees: DataFrame, most: int) -> Iterator[list[dict]]:
         lo, hi = min(group)[:2], max(group)[:2]
         near = trees.where(F.struct("forest", "tree").between(F.struct(F.lit(lo[0]), F.lit(lo[1])), F.struct(F.lit(hi[0]), F.lit(hi[1]))))
         held = []
-        for r in near.select("forest", "tree", "node", "feature", "cut", "left", "value").toLocalIterator():
+        for r in near.select("forest", "tree", "node", "feature", "cut", "value").toLocalIterator():
             key = (r["forest"], r["tree"], r["node"])
             if key in mine or (r["node"] < 0 and key[:2] in owners):
                 made = read_piece(r.asDict()) | {"forest": key[0], "tree": key[1], "node": key[2]}
@@ -534,13 +561,13 @@ def with_forests(df: DataFrame, x: Column, trees: DataFrame, borders: list[np.nd
     return df
 
 
-def held_out(data: Binned, forests: Sequence[Growth], marks: Sequence[Sequence[int]], part: int, small_bytes: int = SMALL_BYTES, local_rows: int = 1_000_000) -> DataFrame:
-    """no, y and `means`, an array: the mean over the first m trees of every forest and mark, for the rows of one part.
+def held_out(data: Binned, forests: Sequence[Growth], marks: Sequence[Sequence[int]], parts: Sequence[int], small_bytes: int = SMALL_BYTES, local_rows: int = 1_000_000) -> DataFrame:
+    """no, y, part and `means`, an array: the mean over the first m trees of every forest and mark, for the rows of some parts.
 
     Forests of a small table are scored where they grow, and their trees are not kept.
     """
     by = dict(enumerate(marks))
-    own = data.table.where(F.col("part") == part).select("no", "y", "bins")
+    own = data.table.where(F.col("part").isin(list(parts))).select("no", "y", "part", "bins")
     if data.rows * (len(data.borders) + 20) > small_bytes:
         trees = grow_forests(data, forests, local_rows, small_bytes)
         return with_forests(own, F.col("bins"), trees, data.borders, by, "means").drop("bins")
@@ -550,13 +577,13 @@ def held_out(data: Binned, forests: Sequence[Growth], marks: Sequence[Sequence[i
     first = np.cumsum([0, *[len(m) for m in marks]])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        no, y, parts, bins = sent.value
-        asked = np.flatnonzero(parts == part)
+        no, y, part, bins = sent.value
+        asked = np.flatnonzero(np.isin(part, parts))
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for u in batch.column("id").to_pylist():
                 f, t = units[u]
-                w, place = _weights(forests[f], no, parts, t), int(np.searchsorted(marks[f], t, "right"))
+                w, place = _weights(forests[f], no, part, t), int(np.searchsorted(marks[f], t, "right"))
                 if w.any() and place < len(marks[f]):
                     made = grow(bins, w, y, forests[f], widths, _rng(forests[f], t))
                     value = made["value"][walk(made, bins[asked])]
@@ -572,7 +599,7 @@ def held_out(data: Binned, forests: Sequence[Growth], marks: Sequence[Sequence[i
         for i, m in enumerate(counts):
             upto = [F.coalesce(F.try_element_at("s", F.lit(int(first[f]) + j)), F.lit(0.0)) for j in range(i + 1)]
             means.append(sum(upto[1:], upto[0]) / m)
-    return own.select("no", "y").join(sums, "no").select("no", "y", F.array(*means).alias("means"))
+    return own.drop("bins").join(sums, "no").select("no", "y", "part", F.array(*means).alias("means"))
 
 
 def importances(trees: DataFrame, width: int) -> dict[int, np.ndarray]:
@@ -604,7 +631,7 @@ def tree_sizes(trees: DataFrame) -> DataFrame:
         for batch in batches:
             found = []
             for r in batch.to_pylist():
-                left = np.frombuffer(r["left"], "<i4")
+                left = lefts(np.frombuffer(r["feature"], _KINDS["feature"]))
                 level, depths = np.array([0]), np.zeros(len(left), "i4")
                 depth = 0
                 while len(level):
@@ -615,7 +642,7 @@ def tree_sizes(trees: DataFrame) -> DataFrame:
                 found += [(r["forest"], r["tree"], r["node"], -2, len(left))]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in zip(*found)], names=["forest", "tree", "node", "at", "n"])
 
-    found = trees.select("forest", "tree", "node", "left").mapInArrow(measure, "forest int, tree int, node int, at int, n int")
+    found = trees.select("forest", "tree", "node", "feature").mapInArrow(measure, "forest int, tree int, node int, at int, n int")
     own = found.where("node >= 0 AND at = -1").select("forest", "tree", "node", "n")
     tops = found.where("node < 0 AND at >= 0").select("forest", "tree", F.col("at").alias("node"), F.col("n").alias("above"))
     deep = own.join(tops, ["forest", "tree", "node"], "full").groupBy("forest", "tree").agg(F.max(F.coalesce("n", F.lit(0)) + F.coalesce("above", F.lit(0))).alias("depth"))

@@ -63,14 +63,16 @@ def ridge_single(spark, sf):
 
 
 _PERMUTED = """
-WITH o AS (SELECT o_orderkey AS id, o_orderpriority AS p, o_orderstatus AS s, o_totalprice AS y FROM orders),
+WITH RECURSIVE o AS (SELECT o_orderkey AS id, o_orderpriority AS p, o_orderstatus AS s, o_totalprice AS y FROM orders),
 m AS (SELECT p, avg(y) AS pred FROM o WHERE id % 5 <> 0 GROUP BY 1),
-f AS (SELECT o.*, m.pred FROM o JOIN m USING (p) WHERE id % 5 = 0),
-runs AS (SELECT range AS r FROM range(3)),
-a AS (SELECT f.*, r, row_number() OVER (PARTITION BY r ORDER BY id) AS place FROM f, runs),
-b AS (SELECT p AS swapped, r, row_number() OVER (PARTITION BY r ORDER BY (id * (2654435761 + 7919 * r)) % 1000003, id)
-        AS place FROM f, runs),
-e AS (SELECT a.r, sqrt(avg((y - m.pred) ** 2)) AS e FROM a JOIN b USING (r, place) JOIN m ON m.p = b.swapped GROUP BY 1)
+f AS (SELECT o.*, m.pred, row_number() OVER (ORDER BY id) - 1 AS place FROM o JOIN m USING (p) WHERE id % 5 = 0),
+z AS (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS base FROM f),
+walk(place, r, l, q, i) AS (
+  SELECT place, r, place // base, place % base, 0 FROM f, z, (SELECT range AS r FROM range(3))
+  UNION ALL SELECT place, r, q, (l + ((q + 1) * 2654435761 + (42 * 1009 + r) * (i % 4 + 1) * 40503) % 4294967291 % base) % base, i + 1
+  FROM walk, z WHERE i = 0 OR i % 4 <> 0 OR l * base + q >= n),
+moved AS (SELECT place, r, l * base + q AS target FROM walk, z WHERE i > 0 AND i % 4 = 0 AND l * base + q < n),
+e AS (SELECT r, sqrt(avg((t.y - m.pred) ** 2)) AS e FROM moved JOIN f AS s USING (place) JOIN f AS t ON t.place = target JOIN m ON m.p = s.p GROUP BY 1)
 SELECT 'o_orderpriority' AS feature,
        round(avg(e) - (SELECT sqrt(avg((y - pred) ** 2)) FROM f), 4) AS importance_mean,
        round(stddev_pop(e), 4) AS importance_std FROM e
@@ -91,7 +93,6 @@ def permutation_importance(spark, sf):
         "o_totalprice",
         "o_orderkey",
         repeats=3,
-        order=lambda k, f, r: F.pmod(k * (F.lit(2654435761) + 7919 * r), F.lit(1000003)),
     )
     return found.select(
         "feature",
@@ -248,15 +249,9 @@ def forest_permutation(spark, sf):
 
 @query()
 def cap_sensitivity_of_fit(spark, sf):
-    """Rows and test errors of a forest under three target caps."""
-
-    def fit(rows):
-        models = {"forest": M.recipe(FEATURES, M.forest("target"))}
-        metrics, _, _ = M.compare_models(rows.where("not held"), rows.where("held"), models, "target")
-        return metrics
-
+    """Rows and test errors of a forest under three target caps, as masks over one set of bins."""
     caps = {"P95": 0.95, "P99": 0.99, "NoUpperCap": None}
-    return M.cap_sensitivity(_wide(spark, sf), "target", caps, fit)
+    return M.capped_forests(_wide(spark, sf), FEATURES, "target", F.col("held"), caps)
 
 
 def _engineered(spark, sf):
@@ -274,24 +269,21 @@ def _stored(spark, sf):
     return rows, sets
 
 
-def _evaluation(rows, sets, name, split):
-    return R.run_split(
-        rows, name, sets[name], "target", split, year="year", entity=D.BUILDING_ID, key="id",
-        category=D.MODEL_TYPE,
-    )
-
-
 def _evaluations(spark, sf, names, split):
     rows, sets = _stored(spark, sf)
-    return [_evaluation(rows, sets, name, split) for name in names]
+    return _evaluated(rows, {name: sets[name] for name in names}, split)
+
+
+def _evaluated(rows, sets, split):
+    return R.run_scenarios(rows, sets, "target", split, year="year", entity=D.BUILDING_ID, key="id", category=D.MODEL_TYPE)
 
 
 @query()
 def scenario_metrics(spark, sf):
     """All feature scenarios under the year holdout and two under the group holdout, all candidates, ranked."""
     rows, sets = _stored(spark, sf)
-    found = [_evaluation(rows, sets, n, "year") for n in sets]
-    found += [_evaluation(rows, sets, n, "group") for n in ("forecasting_strict", "estimation_full")]
+    found = _evaluated(rows, sets, "year")
+    found += _evaluated(rows, {n: sets[n] for n in ("forecasting_strict", "estimation_full")}, "group")
     return R.all_metrics(found).orderBy("split", "scenario", "rmse")
 
 

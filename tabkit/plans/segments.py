@@ -15,6 +15,7 @@ from tabkit.functions.numbers import ratio
 from tabkit.operators.clean import positive_rows
 from tabkit.operators.cluster import best_kmeans, cluster_profile, name_clusters
 from tabkit.operators.stages import PopulationScaler, Winsorizer
+from tabkit.session import written
 
 FEATURES = ["energy_wins", "log_water_intensity"]
 
@@ -60,7 +61,7 @@ def feature_stages() -> list:
 def segment(rows: DataFrame, k: int = 3, seed: int = 42, starts: int = 20) -> tuple[PipelineModel, DataFrame, DataFrame]:
     """Fitted pipeline (features and clusters), the labelled rows, and the named centres in original units."""
     prepared = Pipeline(stages=feature_stages()).fit(rows)
-    ready = prepared.transform(rows).persist()
+    ready = written(prepared.transform(rows), "segment-rows")
     model = best_kmeans(ready, k, seed, starts)
     labelled = model.transform(ready)
     scaler = prepared.stages[2]
