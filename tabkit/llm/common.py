@@ -27,15 +27,16 @@ def uniform(seed: int, *keys: Column) -> Column:
 
 
 def stratified(rows: DataFrame, by: str, key: str, size: int, seed: int = 17) -> DataFrame:
-    """About `size` rows of each value of `by` at most, chosen by a hash of `key`; null values go.
+    """About `size` keys of each value of `by` at most, chosen by a hash of `key`; null values go.
 
-    A sample to fit models on: equal keys are taken or left together, so callers pass distinct keys. The values'
-    counts are broadcast.
+    A sample to fit models on: equal keys are taken or left together, and the rates count each key of a value once, so
+    copies do not thin out the sample. The values' rates are broadcast up to 100,000 values, which are counted.
     """
     rows = rows.where(F.col(by).isNotNull())
-    rates = rows.groupBy(by).agg((F.lit(float(size)) / F.count("*")).alias("__rate"))
-    rated = rows.join(F.broadcast(written(rates, "rates")), by)
-    return rated.where(uniform(seed, F.col(key)) < F.col("__rate")).select(*rows.columns)
+    rates = rows.select(by, key).distinct().groupBy(by).agg((F.lit(float(size)) / F.count("*")).alias("__rate"))
+    rates = written(rates, "rates")
+    rates = F.broadcast(rates) if rates.count() <= 100_000 else rates
+    return rows.join(rates, by).where(uniform(seed, F.col(key)) < F.col("__rate")).select(*rows.columns)
 
 
 def labelled(

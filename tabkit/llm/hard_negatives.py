@@ -29,19 +29,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabkit.llm.embed_dedup import hadamard
-from tabkit.llm.topk import matrix, usable
+from tabkit.llm.topk import as_integers, matrix, usable
 from tabkit.session import scratch_path, written
 
 CODED = "no long, id long, label string, v array<long>, codes binary, along array<double>, rest double"
 FOUND = "anchor long, positive long, no long, id long, score long"
 
 
-def scaled(vector: Column, scale: float) -> Column:
-    """Components times `scale`, rounded down; null where one is beyond 2^53."""
-    made = F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double"))
-    return F.when(~F.exists(made, lambda x: F.abs(x) > F.lit(2.0**53)), F.transform(made, lambda x: x.cast("long")))
-
-
 def rotate(x: np.ndarray, level: int) -> np.ndarray:
     """Rows turned by the level's rotation; their length is a power of two."""
     n = x.shape[1]
@@ -258,7 +252,7 @@ def hard_negatives(
     """
     label = F.col(label) if isinstance(label, str) else label
     good = usable(F.col(vector)) & label.isNotNull() & F.col(id_).isNotNull()
-    values = F.coalesce(scaled(F.col(vector), scale), F.raise_error(F.lit("a component exceeds 2^53")).cast("array<long>"))
+    values = as_integers(F.col(vector), scale)
     rows = vectors.where(good).select(F.col(id_).cast("long").alias("id"), label.cast("string").alias("label"), values.alias("v"), is_anchor.alias("q"))
     numbered = written(rows.withColumn("no", F.monotonically_increasing_id()), "numbered")
     table = written(coded(numbered.select("no", "id", "label", "v"), levels), "codes")

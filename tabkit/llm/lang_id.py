@@ -31,10 +31,15 @@ from tabkit.session import written
 
 BUCKETS = 1 << 14
 UNKNOWN = "und"
-_letter = re.compile(r"[^\W\d_]").search
+_maybe = re.compile(r"[^\W\d_]").finditer  # also superscripts, fractions and circled digits
 _MIX = np.array([2654435761, 2246822519, 3266489917], "u4")
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of the Unicode classes L occurs."""
+    return any(m.group().isalpha() for m in _maybe(text))
+
+
 def gram_counts(text: str, block: int = 1 << 20) -> np.ndarray:
     """How often each hashed 1-, 2- and 3-gram of the lower-case text occurs."""
     counts = np.zeros(BUCKETS, "f4")
@@ -171,7 +176,7 @@ def identify(docs: DataFrame, model: LangModel, keep: list[str], text: str = "te
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
                 texts = [t or "" for t in part.column("text_").to_pylist()]
-                known = np.array([bool(_letter(t)) for t in texts]) & bool(model.langs)
+                known = np.array([has_letter(t) for t in texts]) & bool(model.langs)
                 pred, share, second = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
                 at = np.flatnonzero(known)
                 if len(at):

@@ -11,8 +11,9 @@ one another. Tasks return at most k rows per query, merged by one window per que
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part, neither do rows
 without an id; only vectors of equal length are compared; an empty vector scores 0; equal scores rank by id; rows
-with the query's id are no candidates, other repeated ids stay separate rows. Products that could exceed 2^53
-are summed in 64-bit integers, and must fit them.
+with the query's id are no candidates, other repeated ids stay separate rows; query rows with one id have a list each;
+an empty table gives no rows; other columns are ignored. Products that could exceed 2^53 are summed in 64-bit integers;
+vectors whose products could leave those stop the query with an error that says so.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabkit.session import written
+from tabkit.session import scratch_path, written
 
-FOUND = "query_id long, vec_id long, score long"
+FOUND = "query long, query_id long, vec_id long, score long"
 
 
 def usable(vector: Column) -> Column:
@@ -36,7 +37,10 @@ def usable(vector: Column) -> Column:
 
 
 def as_integers(vector: Column, scale: float) -> Column:
-    return F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long"))
+    """Components times `scale`, rounded down; one beyond 2^53 stops the query."""
+    made = F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double"))
+    fit = F.when(~F.exists(made, lambda x: F.abs(x) > F.lit(2.0**53)), F.transform(made, lambda x: x.cast("long")))
+    return F.coalesce(fit, F.when(vector.isNotNull(), F.raise_error(F.lit("a component exceeds 2^53")).cast("array<long>")))
 
 
 def matrix(batch: pa.RecordBatch, column: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -67,7 +71,10 @@ class _Best:
     def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
         """Look through candidates: rows x dimensions."""
         n = rows.shape[1]
-        exact = float(self.top) * float(np.abs(rows).max(initial=0)) * max(n, 1) < 2**53
+        largest = float(self.top) * float(np.abs(rows).max(initial=0)) * max(n, 1)
+        if largest >= 2**63:
+            raise ValueError("products of these vectors exceed 64-bit integers")
+        exact = largest < 2**53
         kind = "f8" if exact else "i8"
         columns, asked = np.ascontiguousarray(rows.T.astype(kind)), self.vectors.astype(kind)
         edges = list(range(0, n, self.step)) or [0]
@@ -130,8 +137,8 @@ def top_k(
         part = sum((F.col("id") > F.lit(c)).cast("int") for c in cuts) + 1
     seeds = _by_length((r["id"], r["v"]) for r in rows.select("id", "v").limit(seed_rows).collect())
 
-    found = None
-    for b in range(1, max(blocks, 1) + 1):
+    path = scratch_path(spark, "top-rows")
+    for b in range(1, max(blocks, 1) + 1):  # the best rows for each block are written before the next block is read
         ready = {}
         for size, (ids, values) in _by_length((r["id"], r["v"]) for r in asked.where(part == b).collect()).items():
             best = _Best(ids, values, k, dims)
@@ -140,7 +147,7 @@ def top_k(
             ready[size] = (ids, values, best.floor)
         sent = spark.sparkContext.broadcast(ready)
 
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], sent=sent, b=b) -> Iterator[pa.RecordBatch]:
             best = {size: _Best(i, v, k, dims, f.copy()) for size, (i, v, f) in sent.value.items()}
             for batch in batches:
                 ids = batch.column("id").to_numpy()
@@ -148,14 +155,16 @@ def top_k(
                     if m.shape[1] in best:
                         for i in range(0, len(at), 8192):
                             best[m.shape[1]].add(ids[at[i : i + 8192]], m[i : i + 8192])
-            for x in best.values():
+            for length, x in best.items():
                 size = [len(f) for f in x.found]
                 if sum(size):
-                    columns = np.repeat(x.ids, size), np.concatenate(x.found), np.concatenate(x.scores)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
-
-        one = rows.select("id", "v").mapInArrow(search, FOUND)
-        found = one if found is None else found.unionByName(one)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                    # queries are numbered by block, length and place, so that repeated ids stay apart
+                    number = (b << 44) + (length << 20) + np.arange(len(x.ids))
+                    columns = np.repeat(number, size), np.repeat(x.ids, size), np.concatenate(x.found), np.concatenate(x.scores)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query", "query_id", "vec_id", "score"])
+
+        rows.select("id", "v").mapInArrow(search, FOUND).write.mode("append").parquet(path)
+    found = spark.read.parquet(path)
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return found.select("query_id", "rank", "vec_id", "score")

@@ -26,8 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabkit.llm.hard_negatives import scaled
-from tabkit.llm.topk import matrix, usable
+from tabkit.llm.topk import as_integers, matrix, usable
 from tabkit.session import written
 
 
@@ -171,7 +170,7 @@ def deviations(x: np.ndarray, n: int, total: list[int]) -> list[int]:
 
 def whiten(vectors: DataFrame, id_: str = "vec_id", vector: str = "embedding", scale: float = 256.0, components: int = 4) -> DataFrame:
     """id, component, n, deviation, whitened, explained, identity_error for each usable row and component."""
-    values = F.coalesce(scaled(F.col(vector), scale), F.raise_error(F.lit("a component exceeds 2^53")).cast("array<long>"))
+    values = as_integers(F.col(vector), scale)
     rows = written(vectors.where(usable(F.col(vector))).select(F.col(id_).cast("long").alias("id"), values.alias("x")), "integers")
     distinct = written(rows.select("x").distinct(), "distinct-vectors")
     fit = sums(distinct)
