@@ -8,12 +8,13 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabkit.functions.numbers import rmse
 from tabkit.operators import trees as T
+from tabkit.operators.boosting import BoostedRegressor
 from tabkit.operators.evaluate import model_metrics
 from tabkit.operators.quantiles import quantiles
 from tabkit.operators.split import hash_slot
@@ -139,9 +140,9 @@ def forest(label: str, seed: int = 42, **settings) -> T.ForestRegressor:
     return T.ForestRegressor(labelCol=label, seed=seed, **{**chosen, **settings})
 
 
-def boosted(label: str, seed: int = 42, **settings) -> GBTRegressor:
-    chosen = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
-    return GBTRegressor(labelCol=label, seed=seed, **{**chosen, **settings})
+def boosted(label: str, seed: int = 42, **settings) -> BoostedRegressor:
+    chosen = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "l2": 1.0}
+    return BoostedRegressor(labelCol=label, seed=seed, **{**chosen, **settings})
 
 
 def recipe(features: Features, model: Estimator, scaled: bool = False) -> Pipeline:
@@ -318,6 +319,37 @@ def drawn_settings(space: Mapping[str, Sequence], draws: int, seed: int) -> list
     return picked
 
 
+def fold_errors(
+    train: DataFrame, features: Features, label: str, key: str, settings: Sequence[Mapping], folds: int = 3, seed: int = 42
+) -> list[float]:
+    """RMSE of each forest setting, averaged over folds of hashed keys.
+
+    Fills, categories and bins are fitted once per fold, on the other folds; all settings grow side by side from them.
+    """
+    part = hash_slot(key, folds, seed + 2).cast("int")
+    errors = [0.0] * len(settings)
+    for fold in range(folds):
+        data = binned_rows(train, features, label, (part == fold).cast("int"), part != fold)
+        scored = scored_settings(data, settings, label, seed, [0], [1])
+        row = scored.agg(*[rmse("y", f"p{i}").alias(f"e{i}") for i in range(len(settings))]).first()
+        errors = [a + b / folds for a, b in zip(errors, row)]
+    return errors
+
+
+def random_searches(
+    train: DataFrame, features: Features, label: str, key: str, spaces: Mapping[str, tuple[Mapping[str, Sequence], int]], folds: int = 3, seed: int = 42
+) -> tuple[DataFrame, dict[str, dict]]:
+    """Random draws from several spaces (name -> space, number of draws) over shared folds: their errors, and each space's best."""
+    picked = [(name, i, s) for name, (space, draws) in spaces.items() for i, s in enumerate(drawn_settings(space, draws, seed))]
+    errors = fold_errors(train, features, label, key, [s for *_, s in picked], folds, seed)
+    rows = [(name, i, str(sorted(s.items())), e) for (name, i, s), e in zip(picked, errors)]
+    table = train.sparkSession.createDataFrame(rows, "space string, draw int, setting string, cv_rmse double")
+    best = {}
+    for (name, _, s), e in sorted(zip(picked, errors), key=lambda x: x[1]):
+        best.setdefault(name, s)
+    return table, best
+
+
 def random_search(
     train: DataFrame,
     features: Features,
@@ -328,24 +360,10 @@ def random_search(
     folds: int = 3,
     seed: int = 42,
 ) -> tuple[DataFrame, dict, PipelineModel]:
-    """Random draws from a space, scored by RMSE over folds of hashed keys; the best is refitted.
-
-    Fills and categories are fitted once per fold, on the other folds; all draws grow side by side from that fold's bins.
-    """
-    picked = drawn_settings(space, draws, seed)
-    part = hash_slot(key, folds, seed + 2).cast("int")
-    found = [[] for _ in picked]
-    for fold in range(folds):
-        data = binned_rows(train, features, label, (part == fold).cast("int"), part != fold)
-        scored = scored_settings(data, picked, label, seed, [0], [1])
-        row = scored.agg(*[rmse("y", f"p{i}").alias(f"e{i}") for i in range(len(picked))]).first()
-        for i, error in enumerate(row):
-            found[i].append(error)
-    rows = [(i, str(sorted(s.items())), sum(found[i]) / folds) for i, s in enumerate(picked)]
-    table = train.sparkSession.createDataFrame(rows, "draw int, setting string, cv_rmse double")
-    best = picked[min(range(len(rows)), key=lambda i: rows[i][2])]
-    final = fit_shared(train, {"best": recipe(features, forest(label, seed, **best))})
-    return table, best, final["best"]
+    """Random draws from a space, scored by RMSE over folds of hashed keys; the best is refitted."""
+    table, best = random_searches(train, features, label, key, {"": (space, draws)}, folds, seed)
+    final = fit_shared(train, {"best": recipe(features, forest(label, seed, **best[""]))})
+    return table.drop("space"), best[""], final["best"]
 
 
 def capped_forests(
