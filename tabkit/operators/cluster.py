@@ -148,12 +148,13 @@ def k_sweep(
     ks: Sequence[int] = range(2, 11),
     seeds: Sequence[int] = SEEDS,
     starts: int = 20,
+    tolerance: float = 1e-4,
 ) -> DataFrame:
     """Mean inertia, silhouette (of squared distances, over all rows) and pairwise stability for each number of clusters."""
     spark = df.sparkSession
     table = lloyd.points(df, F.array(*[F.col(f"`{c}`") for c in columns]), key)
     names = lloyd.named_sets(ks, seeds, starts)
-    sets, costs = lloyd.many_kmeans(table, {n: k for n, (k, _) in names.items()}, seed=len(names))
+    sets, costs = lloyd.many_kmeans(table, {n: k for n, (k, _) in names.items()}, len(names), tolerance=tolerance)
     best = lloyd.best_starts(names, costs)
     chosen = {n: sets[n] for n in best.values()}
     order = {n: i for i, n in enumerate(sorted(chosen))}

@@ -202,3 +202,24 @@ def kmeans_sweep(spark, sf):
     rows = _embedded(spark, sf).select("vec_id", *columns)
     found = K.k_sweep(rows, columns, "vec_id")
     return found.select("k", *[rounded(c).alias(c) for c in found.columns if c != "k"])
+
+
+_GROUP = "CASE l_linenumber % 3 WHEN 0 THEN 0 WHEN 1 THEN 100 ELSE 10000 END"
+
+
+@query(f"""WITH r AS (SELECT {_GROUP} + l_tax AS a, l_discount AS b, l_linenumber % 3 AS g FROM lineitem),
+l AS (SELECT 2 AS k, a, b, CASE WHEN g = 2 THEN 1 ELSE 0 END AS c FROM r UNION ALL SELECT 3, a, b, g FROM r),
+i AS (SELECT row_number() OVER () AS no, * FROM l),
+m AS (SELECT k, c, count(*) AS n, avg(a) AS ma, avg(b) AS mb, count(*) * (var_pop(a) + var_pop(b)) AS sse FROM l GROUP BY 1, 2),
+t AS (SELECT i.k, i.no, i.c = m.c AS own, m.n, m.n * ((a - ma) ** 2 + (b - mb) ** 2) + sse AS total FROM i JOIN m ON i.k = m.k),
+s AS (SELECT k, no, max(total / (n - 1)) FILTER (WHERE own) AS inside, min(total / n) FILTER (WHERE NOT own) AS outside FROM t GROUP BY 1, 2)
+SELECT CAST(s.k AS INTEGER) AS k, round((SELECT sum(sse) FROM m WHERE m.k = s.k), 3) AS inertia_mean,
+  round(avg((outside - inside) / greatest(outside, inside)), 6) AS silhouette_mean, 1.0::DOUBLE AS stability_mean_ari FROM s GROUP BY s.k""")
+def planted_sweep(spark, sf):
+    """Three planted groups: for two and three clusters the best of 20 starts is known, and all seeds agree."""
+    lines = table(spark, sf, "lineitem")
+    group = F.pmod("l_linenumber", F.lit(3))
+    level = F.when(group == 0, F.lit(0)).when(group == 1, F.lit(100)).otherwise(F.lit(10000))
+    rows = lines.select((level + F.col("l_tax")).alias("a"), F.col("l_discount").alias("b"), F.col("l_orderkey").alias("id"))
+    found = K.k_sweep(rows, ["a", "b"], "id", ks=(2, 3), seeds=K.SEEDS[:3], tolerance=1e-16)
+    return found.withColumns({"inertia_mean": rounded("inertia_mean", 3), "silhouette_mean": rounded("silhouette_mean", 6)})

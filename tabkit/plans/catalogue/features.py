@@ -73,7 +73,7 @@ SELECT type, count(*) AS n, count(DISTINCT id) AS entities, count(area) AS with_
 FROM e GROUP BY 1
 """)
 def engineered_features(spark, sf):
-    frame, _, _ = D.engineer(disclosed(spark, sf), LAYOUT)
+    frame, _ = D.engineer(disclosed(spark, sf), LAYOUT)
     return frame.groupBy(F.col(D.MODEL_TYPE).alias("type")).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_distinct(D.BUILDING_ID).alias("entities"),
@@ -93,7 +93,7 @@ SELECT CAST(year AS INTEGER) AS year, count(*) AS n, count(DISTINCT id) AS entit
 FROM d WHERE area IS NOT NULL AND target IS NOT NULL GROUP BY 1
 """)
 def modelling_rows(spark, sf):
-    frame, _, _ = D.engineer(D.clean_anomalies(disclosed(spark, sf), LAYOUT), LAYOUT)
+    frame, _ = D.engineer(D.clean_anomalies(disclosed(spark, sf), LAYOUT), LAYOUT)
     return D.modelling_rows(frame, LAYOUT).groupBy("year").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_distinct(D.BUILDING_ID).alias("entities"),
@@ -111,9 +111,9 @@ UNION ALL SELECT 'fuel_derived_only', 9, 0, CAST(9 * n AS BIGINT) FROM c
 """)
 def feature_scenarios(spark, sf):
     """Columns of each feature set and how many of their numeric cells are filled."""
-    frame, numeric, categorical = D.engineer(disclosed(spark, sf), LAYOUT)
-    sets = D.scenarios(numeric, categorical)
-    filled = frame.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in numeric])
+    frame, kinds = D.engineer(disclosed(spark, sf), LAYOUT)
+    sets = D.scenarios(kinds)
+    filled = frame.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c, kind in kinds.items() if kind != D.CATEGORY])
     rows = [
         F.struct(
             F.lit(name).alias("scenario"),

@@ -246,6 +246,22 @@ def tuned_comparison(spark, sf):
     return _measured(M.with_tuned(metrics, best, test, "y"))
 
 
+_SETTINGS = "UNION ALL ".join(f"SELECT '{name}' AS model, mae, rmse, r2 FROM e WHERE kind = 'tree' " for name in M.FOREST_SETTINGS)
+
+
+@query(f"{_LEVELS} {_SETTINGS}")
+def settings_on_levels(spark, sf):
+    """All seven forest settings from five forests, without resampling: on seven levels each must find the levels' means."""
+    train, test = _levels(spark, sf)
+    rows = train.withColumn("part", F.lit(0)).unionByName(test.withColumn("part", F.lit(1)))
+    data = M.binned_rows(rows, LEVELS, "y", F.col("part"), F.col("part") == 0)
+    settings = {name: {**s, "bootstrap": False} for name, s in M.FOREST_SETTINGS.items()}
+    scored = M.scored_settings(data, list(settings.values()), "y", 42, [0], [1])
+    scored = scored.select("y", *[F.greatest(F.col(f"p{i}"), F.lit(0.0)).alias(f"pred_{name}") for i, name in enumerate(settings)])
+    found = M.settled_metrics(scored, "y", list(settings), with_range=False)
+    return found.select("model", *[rounded(c, 6).alias(c) for c in ("mae", "rmse", "r2")])
+
+
 @query()
 def feature_effects(spark, sf):
     """Coefficients of the linear model and importances of the forest, by readable feature name."""
@@ -278,9 +294,9 @@ def cap_sensitivity_of_fit(spark, sf):
 
 def _engineered(spark, sf):
     raw = disclosed(spark, sf)
-    frame, numeric, categorical = D.engineer(D.clean_anomalies(raw, LAYOUT), LAYOUT)
+    frame, kinds = D.engineer(D.clean_anomalies(raw, LAYOUT), LAYOUT)
     key = F.xxhash64(*[F.col(f"`{c}`") for c in raw.columns if c in frame.columns])
-    return D.modelling_rows(frame, LAYOUT).withColumn("id", key), D.scenarios(numeric, categorical)
+    return D.modelling_rows(frame, LAYOUT).withColumn("id", key), D.scenarios(kinds)
 
 
 def _stored(spark, sf):
@@ -342,13 +358,21 @@ def scenario_tracks(spark, sf):
     return R.track_summary(R.all_metrics(found), {"forecasting_strict": "Forecasting", "estimation_full": "Estimation"})
 
 
-@query()
+@query(f"""WITH {DISCLOSED},
+m AS (SELECT year, target AS y, coalesce(f1 / area, 0) AS a, coalesce(f2 / area, 0) AS b, coalesce(f3 / area, 0) AS c FROM d WHERE area IS NOT NULL),
+s AS (SELECT var_pop(a) AS aa, var_pop(b) AS bb, var_pop(c) AS cc, covar_pop(a, b) AS ab, covar_pop(a, c) AS ac, covar_pop(b, c) AS bc,
+        covar_pop(a, y) AS ay, covar_pop(b, y) AS by_, covar_pop(c, y) AS cy FROM m WHERE year < (SELECT max(year) FROM m)),
+x AS (SELECT *, aa * (bb * cc - bc ** 2) - ab * (ab * cc - ac * bc) + ac * (ab * bc - ac * bb) AS det FROM s),
+f AS (SELECT 'quantity_intensity' AS feature, (ay * (bb * cc - bc ** 2) - ab * (by_ * cc - bc * cy) + ac * (by_ * bc - bb * cy)) / det AS v FROM x
+  UNION ALL SELECT 'discount_intensity', (aa * (by_ * cc - bc * cy) - ay * (ab * cc - bc * ac) + ac * (ab * cy - by_ * ac)) / det FROM x
+  UNION ALL SELECT 'tax_intensity', (aa * (bb * cy - by_ * bc) - ab * (ab * cy - by_ * ac) + ay * (ab * bc - bb * ac)) / det FROM x)
+SELECT feature, round(v, 3) AS coefficient, round(abs(v), 3) AS abs_coefficient FROM f""")
 def near_reconstruction(spark, sf):
-    """Coefficients of fuel intensities alone, largest first."""
+    """Coefficients of fuel intensities alone, largest first, from one table of products."""
     rows, sets = _engineered(spark, sf)
     intensities = [c for c in sets["fuel_derived_only"].numeric if c.endswith("_intensity")]
     latest = rows.agg(F.max("year")).first()[0]
     _, coefficients = R.near_reconstruction(
         rows.where(F.col("year") < latest), rows.where(F.col("year") == latest), intensities, "target"
     )
-    return coefficients
+    return coefficients.withColumns({c: rounded(c, 3) for c in ("coefficient", "abs_coefficient")})

@@ -14,7 +14,8 @@ SOME = (
     "best_per_split crosstab_share describe_numeric column_profile duplicate_rows box_stats histogram deciles "
     "size_bins_of_ties numeric_coercion_lenient domain_rules cap_sensitivity engineered_features group_median_fill "
     "rare_groups one_hot entity_holdout scope_filter ridge_single permutation_importance adjusted_rand assign_clusters "
-    "save_load_score stream_score metadata_sidecar"
+    "save_load_score stream_score metadata_sidecar boosted_stump full_boosting settings_on_levels full_forest near_reconstruction "
+    "score_typed_row planted_sweep feature_scenarios"
 ).split()
 
 

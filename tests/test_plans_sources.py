@@ -60,8 +60,8 @@ def engineered(spark, cleaned):
         tables.read_csv(spark, cleaned, multiline=True), [D.EMISSIONS], D.Layout().texts, D.Layout().numbers
     )
     assert set(absent) == {"NYC Borough, Block and Lot (BBL)"} and columns
-    frame, numeric, categorical = D.engineer(D.clean_anomalies(df))
-    return D.modelling_rows(frame).persist(), numeric, categorical
+    frame, kinds = D.engineer(D.clean_anomalies(df))
+    return D.modelling_rows(frame).persist(), kinds
 
 
 def test_csv_keeps_quotes_and_line_breaks(spark, raw_csv):
@@ -88,8 +88,8 @@ def test_shared_cleaning_writes_a_table(spark, raw_csv):
 
 
 def test_engineering(engineered):
-    rows, numeric, categorical = engineered
-    sets = D.scenarios(numeric, categorical)
+    rows, kinds = engineered
+    sets = D.scenarios(kinds)
     sizes = {k: (len(f.numeric), len(f.categorical)) for k, f in sets.items()}
     assert sizes == {
         "estimation_full": (42, 1), "estimation_without_intensities": (30, 1),
@@ -105,8 +105,8 @@ def test_engineering(engineered):
 
 
 def test_scenario_runs_and_artefact(spark, engineered):
-    rows, numeric, categorical = engineered
-    sets = D.scenarios(numeric, categorical)
+    rows, kinds = engineered
+    sets = D.scenarios(kinds)
     rows = rows.withColumn("id", F.xxhash64(D.BUILDING_ID, D.YEAR))
     small = {"numTrees": 5, "maxDepth": 5}
     full = R.run_split(rows, "estimation_full", sets["estimation_full"], D.EMISSIONS, "year", year=D.YEAR, holdout=2024, category=D.MODEL_TYPE, forest_settings=small)
@@ -142,8 +142,8 @@ def test_scenario_runs_and_artefact(spark, engineered):
 
 
 def test_near_reconstruction(engineered):
-    rows, numeric, _ = engineered
-    fuels = [c for c in numeric if c.endswith("_intensity")][:2]
+    rows, kinds = engineered
+    fuels = [c for c, kind in kinds.items() if kind == "intensity"][:2]
     types = rows.where(F.col(D.MODEL_TYPE) == "Office")
     metrics, coefficients = R.near_reconstruction(types.where(F.col(D.YEAR) < 2024), types.where(F.col(D.YEAR) == 2024), fuels, D.EMISSIONS)
     assert metrics.first()["r2"] > 0.99

@@ -75,7 +75,7 @@ def test_large_tables_grow_the_same_trees(spark, rows):
         assert sizes == found[0][1] and np.allclose(shares, found[0][2], atol=0.02)
     assert max(d for _, _, d, _ in found[0][1]) > 6 and max(d for f, _, d, _ in found[0][1] if f == 2) == 2
     for small_bytes in (1 << 30, 0):
-        held = T.held_out(data, forests, [marks[f] for f in range(3)], 0, small_bytes, local_rows=100).orderBy("no").collect()
+        held = T.held_out(data, forests, [marks[f] for f in range(3)], [0], small_bytes, local_rows=100).orderBy("no").collect()
         part = [r["part"] == 0 for r in data.table.orderBy("no").collect()]
         assert np.isclose(np.array([r["means"] for r in held]), found[0][0][part]).mean() > 0.9
 
