@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -53,49 +53,62 @@ def inertia(df: DataFrame, columns: Sequence[str], label: str = "cluster") -> Da
 
 
 def silhouette(
-    df: DataFrame, features: str, label: str, key: str, sample_size: int = 2000, seed: int = 42, order: Column | None = None
+    df: DataFrame, features: str, label: str, key: str, sample_size: int | None = 2000, seed: int = 42, order: Column | None = None, block: int = 1000
 ) -> DataFrame:
-    """Mean Euclidean silhouette of a sample of at most `sample_size` rows, as the measure is defined.
+    """Mean Euclidean silhouette of a sample of at most `sample_size` rows (None: all rows).
 
-    `order`, an expression of the key under the name k, gives the sample (default: a seeded hash). For all rows
-    of a large table use `squared_silhouette`.
+    `order`, an expression of the key under the name k, gives the sample (default: a seeded hash). For all rows of a
+    large table `squared_silhouette` needs no distances between rows.
 
-    The sample is the only table sent to the tasks; each task compares its own rows with it as one
-    matrix product, so no row pairs are produced. `features` is an array column.
+    The sample is dealt into blocks of about `block` rows that meet pairwise: a task adds up the distances of one
+    block's rows to another's, per cluster, so what is shuffled is sample x blocks rows and no pairs. `features` is an array column.
     """
-    spark = df.sparkSession
     chosen = df.select(F.col(key).alias("k"), F.col(features).cast("array<double>").alias("x"), F.col(label).alias("c"))
-    rows = sample_rows(chosen, sample_size, "k", seed, order).collect()
-    points = np.array([r["x"] for r in rows], dtype=float)
-    names, labels = np.unique([r["c"] for r in rows], return_inverse=True)
-    shared = spark.sparkContext.broadcast((points, labels, len(names)))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        other, own_label, k = shared.value
-        sizes = np.bincount(own_label, minlength=k)
-        member = np.eye(k)[own_label]
-        for batch in batches:
-            at = batch["i"].to_numpy()
-            mine = other[at]
-            # Differences, not the expanded square: a row's distance to itself must be exactly 0.
-            gap = np.empty((len(mine), len(other)))
-            for j, point in enumerate(mine):
-                gap[j] = np.sqrt(((other - point) ** 2).sum(axis=1))
-            total = gap @ member
-            own = own_label[at]
-            here = np.arange(len(at))
-            inside = total[here, own] / np.maximum(sizes[own] - 1, 1)
-            means = total / sizes
-            means[here, own] = np.inf
-            outside = means.min(axis=1)
-            larger = np.maximum(inside, outside)
-            value = np.where((sizes[own] > 1) & (larger > 0), (outside - inside) / np.where(larger > 0, larger, 1), 0.0)
-            yield pd.DataFrame({"s": value})
-
-    if len(names) < 2:
+    if sample_size is not None:
+        chosen = sample_rows(chosen, sample_size, "k", seed, order)
+    rows = written(chosen.select("x", "c").withColumn("no", F.monotonically_increasing_id()), "silhouette-rows")
+    sizes = rows.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    found = sizes.agg(F.count(F.lit(1)), F.sum("n")).first()
+    if found[0] < 2:
         raise ValueError("the sample has fewer than two clusters")
-    scored = spark.range(len(rows)).select(F.col("id").alias("i")).mapInPandas(score, "s double")
-    return scored.agg(F.avg("s").alias("silhouette"), F.count("s").alias("n_sampled"))
+    blocks = -(-found[1] // block)
+    dealt = rows.withColumn("b", F.pmod(F.xxhash64("no"), F.lit(blocks))).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    mine = dealt.select((F.col("b") * blocks + F.col("o")).alias("g"), F.lit(True).alias("asks"), "no", "c", "x")
+    others = dealt.select((F.col("o") * blocks + F.col("b")).alias("g"), F.lit(False).alias("asks"), "no", "c", "x")
+    kind = df.schema[label].dataType.simpleString()
+
+    def add(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy()
+        x = np.array(table.column("x").to_pylist(), dtype=float)
+        here, there = np.flatnonzero(asks), np.flatnonzero(~asks)
+        names = table.column("c").take(pa.array(there)).combine_chunks().dictionary_encode()
+        if len(here) and len(there):
+            member = np.eye(len(names.dictionary))[names.indices.to_numpy()]
+            # Differences, not the expanded square: a row's distance to itself must be exactly 0.
+            gaps = (np.sqrt(((x[here[i : i + 16], None] - x[there]) ** 2).sum(2)) for i in range(0, len(here), 16))
+            sums = np.concatenate([g @ member for g in gaps])
+        else:
+            sums = np.empty((0, len(names.dictionary)))
+        each = np.repeat(np.arange(len(sums)), sums.shape[1])
+        columns = {
+            "no": table.column("no").take(pa.array(here[each])),
+            "c": table.column("c").take(pa.array(here[each])),
+            "other": names.dictionary.take(pa.array(np.tile(np.arange(sums.shape[1]), len(sums)))),
+            "s": pa.array(sums.ravel()),
+        }
+        return pa.table(columns)
+
+    sums = mine.unionByName(others).groupBy("g").applyInArrow(add, f"no long, c {kind}, other {kind}, s double")
+    sums = sums.groupBy("no", "c", "other").agg(F.sum("s").alias("s")).join(sizes.withColumnRenamed("c", "other"), "other")
+    own = F.col("c") == F.col("other")
+    rated = sums.groupBy("no").agg(
+        F.max(F.when(own, F.col("n"))).alias("size"),
+        F.max(F.when(own, F.col("s") / F.greatest(F.col("n") - 1, F.lit(1)))).alias("inside"),
+        F.min(F.when(~own, F.col("s") / F.col("n"))).alias("outside"),
+    )
+    larger = F.greatest("inside", "outside")
+    value = F.when((F.col("size") > 1) & (larger > 0), (F.col("outside") - F.col("inside")) / larger).otherwise(0.0)
+    return rated.agg(F.avg(value).alias("silhouette"), F.count(F.lit(1)).alias("n_sampled"))
 
 
 def squared_silhouette(df: DataFrame, features: str = "features", label: str = "cluster") -> DataFrame:

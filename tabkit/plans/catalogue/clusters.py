@@ -10,6 +10,8 @@ from tabkit.operators.evaluate import crosstab
 from tabkit.operators.stages import PopulationScaler, Winsorizer
 from tabkit.plans import segments as S
 from tabkit.plans.registry import query, rounded, table
+from tabkit.session import scratch_path
+from tabkit.sources import artefacts
 
 
 def _embedded(spark, sf):
@@ -223,3 +225,23 @@ def planted_sweep(spark, sf):
     rows = lines.select((level + F.col("l_tax")).alias("a"), F.col("l_discount").alias("b"), F.col("l_orderkey").alias("id"))
     found = K.k_sweep(rows, ["a", "b"], "id", ks=(2, 3), seeds=K.SEEDS[:3], tolerance=1e-16)
     return found.withColumns({"inertia_mean": rounded("inertia_mean", 3), "silhouette_mean": rounded("silhouette_mean", 6)})
+
+
+@query("""WITH p AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'High Energy - Moderate Water' WHEN 1 THEN 'Moderate Energy - Higher Water'
+  ELSE 'Low Energy - Low Water' END AS name, CASE WHEN p_size <> 1 THEN 1 END AS water FROM part)
+SELECT CASE WHEN water IS NOT NULL THEN name END AS cluster_name, count(*) AS n, CAST(sum(p_partkey) AS BIGINT) AS keys, 3 AS final_k FROM p GROUP BY 1""")
+def cluster_bundle(spark, sf):
+    """Segments of three planted groups are saved with their bounds and names, read again, and given to all rows."""
+    group = F.pmod("p_partkey", F.lit(3))
+    by_group = lambda *v: F.when(group == 0, F.lit(v[0])).when(group == 1, F.lit(v[1])).otherwise(F.lit(v[2]))
+    rows = table(spark, sf, "part").select(
+        "p_partkey", "p_type", F.lit(2024).alias("y"), F.lit(100.0).alias("a"), F.lit(1950.0).alias("b"),
+        (by_group(300.0, 120.0, 40.0) + F.col("p_size") / 10).alias("e"),
+        F.when(F.col("p_size") != 1, by_group(200.0, 900.0, 100.0) + F.col("p_size") / 50).alias("w"),
+    )
+    columns = S.Columns("y", "e", "w", "a", "p_type", "b")
+    model, _, centres = S.segment(S.prepare(rows, columns, 2024), k=3)
+    path = artefacts.save_model(spark, model, scratch_path(spark, "segments"), S.artefact(model, centres, 3))
+    loaded, about = artefacts.load_model(spark, path)
+    found = S.assign(rows, loaded, about["cluster_names"], columns)
+    return found.groupBy("cluster_name").agg(F.count(F.lit(1)).alias("n"), F.sum("p_partkey").alias("keys"), F.lit(about["final_k"]).cast("int").alias("final_k"))

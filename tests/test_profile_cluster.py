@@ -85,6 +85,8 @@ def test_silhouette_against_brute_force(blobs):
     df, points, labels = blobs
     row = K.silhouette(df, "x", "c", "id").first()
     assert row["silhouette"] == pytest.approx(brute_silhouette(points, labels)) and row["n_sampled"] == 76
+    blocked = K.silhouette(df, "x", "c", "id", sample_size=None, block=10).first()
+    assert blocked["silhouette"] == pytest.approx(brute_silhouette(points, labels)) and blocked["n_sampled"] == 76
     assert K.silhouette(df, "x", "c", "id", sample_size=40).first()["n_sampled"] == 40
 
 
