@@ -2,8 +2,10 @@
 
 One job per level: each task sums gradients and second derivatives per (node, feature, bin) over its rows, Spark adds the
 tasks' sums, and the driver picks the cuts; of two children only the left one is summed. What reaches the driver is
-nodes x bins numbers, whatever the number of rows. A row's prediction is stored every `rounds_per_store` rounds; in
-between, tasks add the few trees since then. A lost executor costs its tasks of one level.
+nodes x bins numbers, whatever the number of rows. The rows are kept as blocks of arrays, on disk where memory is short: these
+jobs are per-partition loops over the same arrays, so they are run on the blocks themselves and not planned anew each
+time. Predictions are checkpointed every `rounds_per_store` rounds; in between, tasks add the few trees since then. A
+lost executor costs its blocks and its tasks of one level.
 
 Without sampling of rows, the rounds depend on the rows only through count and summed label of each distinct row of bins.
 Where these are few (proven by counting), one aggregate gives them all and the rounds are run on them without
@@ -13,12 +15,13 @@ further jobs; the result is the same.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import keyword_only
+from pyspark import RDD, StorageLevel, keyword_only
 from pyspark.ml import Estimator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tabkit.operators import trees as T
 from tabkit.operators.stages import _TableModel
-from tabkit.session import written
+from tabkit.session import shared_dir, written
 
 
 @dataclass(frozen=True)
@@ -89,46 +92,49 @@ def best_cuts(sums: np.ndarray, offsets: np.ndarray, p: Boosting) -> tuple[np.nd
     return gain, column, cut, g, h, *left
 
 
-def _summed(table: DataFrame, p: Boosting, round_: int, trees: list[dict], tree: dict | None, chosen: np.ndarray, offsets: np.ndarray, nodes: dict[int, int], tasks: int) -> np.ndarray:
-    """Sums over the rows drawn in this round for some nodes of the tree so far (node -> place)."""
+def _blocks(data: T.Binned, start: float) -> RDD:
+    """The rows as blocks of arrays (no, y, prediction, bins as columns x rows), one or a few in each partition."""
+    spark = data.table.sparkSession
+    cores, width = spark.sparkContext.defaultParallelism, len(data.borders)
+    fit = max(1, min(cores, -(-data.rows // 10_000)))  # tasks of a few rows only cost time
+    small = data.rows <= 10_000 * cores
+    rows = data.table.select("no", "y", "part", "bins")
+    rows = rows.repartition(fit, "no") if small else rows
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            no, y, pred, bins = _arrays(batch, trees)
-            mine = np.flatnonzero(chances(no, p.seed, round_) < p.rows) if p.rows < 1 else np.arange(len(no))
-            bins, g = bins[mine], (pred - y)[mine]
-            place = np.full(1 if tree is None else len(tree["feature"]), -1)
-            place[list(nodes)] = list(nodes.values())
-            at = place[np.zeros(len(bins), int) if tree is None else T.walk(tree, bins)]
-            some = np.flatnonzero(at >= 0)
-            sums = _sums(np.ascontiguousarray(bins[some].T), chosen, offsets, at[some], g[some], len(nodes))
-            held = sums if held is None else held + sums
-        if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary())], names=["sums"])
+            if batch.num_rows:
+                no, y, _, bins = T.as_arrays(batch, width)
+                block = pickle.dumps((no, y, np.full(len(y), start), np.ascontiguousarray(bins.T)))
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary())], names=["block"])
 
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            for x in batch.column("sums").to_pylist():
-                held = np.frombuffer(x, "f8") if held is None else held + np.frombuffer(x, "f8")
-        if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary())], names=["sums"])
+    # each of a round's six sums is a job over the same arrays: kept blocks spare it planning and conversion
+    return rows.mapInArrow(pack, "block binary").rdd.map(lambda r: pickle.loads(bytes(r["block"])))
 
-    found = table.mapInArrow(add, "sums binary")
-    if tasks > 64:  # the driver gets a few sums, not one per task
-        found = found.repartition(math.isqrt(tasks)).mapInArrow(total, "sums binary")
-    shape = (2, len(nodes), int(offsets[-1]))
-    return sum((np.frombuffer(r["sums"], "f8").reshape(shape) for r in found.collect()), np.zeros(shape))
 
+def _summed(blocks: RDD, p: Boosting, round_: int, trees: list[dict], tree: dict | None, chosen: np.ndarray, offsets: np.ndarray, nodes: dict[int, int]) -> np.ndarray:
+    """Sums over the rows drawn in this round for some nodes of the tree so far (node -> place)."""
+
+    def add(held: Iterator[tuple]) -> Iterator[np.ndarray]:
+        sums = None
+        for no, y, pred, bins in held:
+            rows = np.flatnonzero(chances(no, p.seed, round_) < p.rows) if p.rows < 1 else np.arange(len(no))
+            mine = bins[:, rows]
+            for made in trees:
+                pred = pred + made["value"][T.walk(made, bins.T)]
+            place = np.full(1 if tree is None else len(tree["feature"]), -1)
+            place[list(nodes)] = list(nodes.values())
+            at = place[np.zeros(len(rows), int) if tree is None else T.walk(tree, mine.T)]
+            some = np.flatnonzero(at >= 0)
+            part = _sums(mine[:, some], chosen, offsets, at[some], (pred - y)[rows][some], len(nodes))
+            sums = part if sums is None else sums + part
+        if sums is not None:
+            yield sums
 
-def _arrays(batch: pa.RecordBatch, trees: list[dict]) -> tuple[np.ndarray, ...]:
-    held = batch.column("bins").to_pylist()
-    bins = np.frombuffer(b"".join(held), "u1").reshape(len(held), -1)
-    pred = batch.column("pred").to_numpy(zero_copy_only=False)
-    for tree in trees:
-        pred = pred + tree["value"][T.walk(tree, bins)]
-    return batch.column("no").to_numpy(), batch.column("y").to_numpy(), pred, bins
+    parts = blocks.mapPartitions(add)
+    if blocks.getNumPartitions() > 64:  # the driver gets a few sums, not one per task
+        return parts.treeReduce(np.add, depth=2)
+    return sum(parts.collect(), np.zeros((2, len(nodes), int(offsets[-1]))))
 
 
 def one_tree(p: Boosting, round_: int, widths: np.ndarray, summed: Callable[..., np.ndarray]) -> dict:
@@ -200,36 +206,32 @@ def boost(data: T.Binned, p: Boosting, start: float, rounds_per_store: int = 25,
 
 def _over_rows(data: T.Binned, p: Boosting, start: float, widths: np.ndarray, rounds_per_store: int) -> list[dict]:
     """All trees by a job for each level of each round."""
-    spark = data.table.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    tasks = data.table.select(F.spark_partition_id().alias("p")).distinct().count()
-    fit = max(1, min(cores, -(-data.rows // 10_000)))  # tasks of a few rows only cost time
-    dealt = data.table.repartition(fit, "no") if data.rows <= 10_000 * cores or tasks < cores else data.table
-    table = written(dealt.select("no", "y", "bins", F.lit(start).alias("pred")), "boosting")
+    shared_dir(data.table.sparkSession)
+    blocks = _blocks(data, start).persist(StorageLevel.MEMORY_AND_DISK)
     made: list[dict] = []
     recent: list[dict] = []
     for round_ in range(p.rounds):
-        now = table
 
-        def summed(tree, chosen, offsets, nodes, now=now, round_=round_) -> np.ndarray:
-            return _summed(now, p, round_, recent, tree, chosen, offsets, nodes, max(tasks, fit))
+        def summed(tree, chosen, offsets, nodes, now=blocks, round_=round_) -> np.ndarray:
+            return _summed(now, p, round_, recent, tree, chosen, offsets, nodes)
 
         recent.append(one_tree(p, round_, widths, summed))
         made.append(recent[-1])
         if len(recent) == rounds_per_store and round_ + 1 < p.rounds:
-            table = written(_stored(table, recent), "boosting")
-            recent = []
+            before, blocks, recent = blocks, _moved(blocks, recent), []
+            blocks.checkpoint()  # a lost executor reads these predictions again, not the rounds before
+            blocks.count()
+            before.unpersist()
+    blocks.unpersist()
     return made
 
 
-def _stored(table: DataFrame, trees: list[dict]) -> DataFrame:
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                columns = [batch.column("no"), batch.column("y"), batch.column("bins"), pa.array(_arrays(batch, trees)[2])]
-                yield pa.RecordBatch.from_arrays(columns, names=["no", "y", "bins", "pred"])
+def _moved(blocks: RDD, trees: list[dict]) -> RDD:
+    def move(block: tuple) -> tuple:
+        no, y, pred, bins = block
+        return no, y, pred + sum(t["value"][T.walk(t, bins.T)] for t in trees), bins
 
-    return table.mapInArrow(add, "no long, y double, bins binary, pred double")
+    return blocks.map(move).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 class _Boosted(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed):

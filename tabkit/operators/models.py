@@ -8,7 +8,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,6 +145,12 @@ def boosted(label: str, seed: int = 42, **settings) -> BoostedRegressor:
     return BoostedRegressor(labelCol=label, seed=seed, **{**chosen, **settings})
 
 
+def boosted_unpenalised(label: str, seed: int = 42, **settings) -> GBTRegressor:
+    """Spark's own boosting: no L2 term, but less time per round where rows are sampled."""
+    chosen = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
+    return GBTRegressor(labelCol=label, seed=seed, **{**chosen, **settings})
+
+
 def recipe(features: Features, model: Estimator, scaled: bool = False) -> Pipeline:
     return Pipeline(stages=[*preprocessing(features, scaled), model])
 

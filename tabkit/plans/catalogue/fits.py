@@ -142,8 +142,9 @@ def model_comparison(spark, sf):
 
 @query()
 def boosted_trees(spark, sf):
+    """300 rounds on sampled rows and columns, by Spark's own boosting."""
     train, test = _parts(spark, sf)
-    models = {"boosted": M.recipe(FEATURES, M.boosted("target"))}
+    models = {"boosted": M.recipe(FEATURES, M.boosted_unpenalised("target"))}
     metrics, _, _ = M.compare_models(train, test, models, "target")
     return metrics
 

@@ -76,8 +76,10 @@ def test_boosting_is_asked_for_at_full_size(spark, sf, monkeypatch):
         return real(data, replace(p, rounds=2), start, **rest)
 
     monkeypatch.setattr(B, "boost", few)
-    assert entry.queries()["boosted_trees"](spark, sf).count() == 1
-    assert seen == [B.Boosting(300, 6, 0.05, 1.0, 1.0, 0.8, 0.8, 42)]
+    assert entry.queries()["full_boosting"](spark, sf).count() == 1
+    assert seen == [B.Boosting(300, 6, 0.05, 1.0, 1.0, 1.0, 1.0, 42)]
+    plain = M.boosted_unpenalised("y")
+    assert (plain.getMaxIter(), plain.getMaxDepth(), plain.getStepSize(), plain.getSubsamplingRate()) == (300, 6, 0.05, 0.8)
 
 
 @pytest.mark.parametrize("name, sets", [("kmeans_sweep", 900), ("segmentation", 20), ("segments_by_vintage", 20)])
