@@ -304,6 +304,7 @@ def validation_search(
     data = binned_rows(train, features, label, held.cast("int"), ~held)
     scored = scored_settings(data, list(settings.values()), label, seed, [0], [1])
     scored = scored.select(F.col("y").alias(label), *[F.col(f"p{i}").alias(f"pred_{name}") for i, name in enumerate(settings)])
+    scored = written(scored, "scored-settings")  # trees grow once
     metrics = settled_metrics(scored, label, list(settings), with_range=False)
     best = metrics.first()["model"]
     final = fit_shared(train, {best: recipe(features, forest(label, seed, **settings[best]))})

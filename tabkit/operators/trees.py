@@ -592,7 +592,8 @@ def held_out(data: Binned, forests: Sequence[Growth], marks: Sequence[Sequence[i
         for at, value in held.items():
             yield pa.RecordBatch.from_arrays([pa.array(no[asked]), pa.array(np.full(len(asked), at, "i4")), pa.array(value)], names=["no", "at", "s"])
 
-    sums = _dealt(spark, len(units)).mapInArrow(make, "no long, at int, s double").groupBy("no", "at").agg(F.sum("s").alias("s"))
+    # stored: whoever reads the scores more than once must not grow the trees again
+    sums = written(_dealt(spark, len(units)).mapInArrow(make, "no long, at int, s double").groupBy("no", "at").agg(F.sum("s").alias("s")), "sums")
     sums = sums.groupBy("no").agg(F.map_from_entries(F.collect_list(F.struct("at", "s"))).alias("s"))
     means = []
     for f, counts in by.items():
