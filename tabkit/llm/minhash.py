@@ -14,14 +14,18 @@ components are cut into blocks; a task multiplies the blocks' shingle matrices,
 different components, and returns only the links that join components, so no pair that a band proposes is left
 out and no list of pairs is made.
 
-Words are runs of letters, digits and non-ASCII characters of the lower-case text (cut after a megabyte). Texts of one
-to four words are one shingle. Defined results: null texts, texts without words, and rows with a null id are alone; rows with
+Words are runs of letters, marks and digits of the lower-case text, by Unicode class (cut after a megabyte). In scripts
+that put no spaces between words (Han, Kana, Thai, Lao, Khmer, Burmese and others, found by the characters' names)
+each character is a word, and so is each pictogram. Everything else separates: spaces, punctuation, controls and other
+signs. Texts of one to four words are one shingle. Defined results: null texts, texts without words, and rows with a null id are alone; rows with
 equal ids and equal texts are one document, different texts of an id are documents of their own, each in its own
 group; n_shingles 0 for texts without words; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +49,27 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 BLOCK = 1 << 20
-_IN_WORD = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
+# First words of the Unicode names of letters and marks of scripts without spaces between words.
+UNSPACED = (
+    "CJK", "IDEOGRAPHIC", "HIRAGANA", "KATAKANA", "HALFWIDTH KATAKANA", "HENTAIGANA", "BOPOMOFO", "VERTICAL IDEOGRAPHIC",
+    "THAI", "LAO", "KHMER", "MYANMAR", "TAI", "NEW TAI", "JAVANESE", "BALINESE", "YI", "TANGUT", "NUSHU", "KHITAN",
+)
+_APART, _INSIDE, _SINGLE = range(3)
+
+
+@functools.cache
+def kinds() -> np.ndarray:
+    """What each code point is to words: apart from them, inside one, or one of its own."""
+    found = np.zeros(0x110000, "u1")
+    for code in [*range(0x323B0), *range(0xE0100, 0xE01F0)]:
+        sign = chr(code)
+        group = unicodedata.category(sign)
+        if group[0] in "LMN":
+            found[code] = _SINGLE if unicodedata.name(sign, "").startswith(UNSPACED) else _INSIDE
+        elif group == "So" and code > 255:
+            found[code] = _SINGLE
+    found[0xE000:0xF900] = found[0xF0000:] = _INSIDE  # private use
+    return found
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -61,15 +85,27 @@ def word_hashes(texts: list[str]) -> list[np.ndarray]:
     joined, found = [t.lower().encode("utf-8", "surrogatepass") for t in texts], []
     offsets = np.cumsum([0, *(len(t) + 1 for t in joined)])
     data = np.frombuffer(b"\n".join(joined) + b"\n", "u1")
-    places, at = [], 0
+    places, at, kind = [], 0, kinds()
     while at < len(data):
         block = data[at : at + BLOCK]
-        inside = _IN_WORD[block]
-        if at + len(block) < len(data) and inside[-1] and not inside.all():
-            block = block[: len(inside) - int(np.argmin(inside[::-1]))]  # ends with a separator
-            inside = inside[: len(block)]
-        edges = np.flatnonzero(np.diff(np.r_[False, inside, False]))
-        start, stop = edges[::2], edges[1::2]
+        more = at + len(block) < len(data)
+        if block.max() < 128:
+            start_of, inside = np.arange(len(block) + 1), kind[block]
+        else:
+            if more:  # ends with a whole character
+                block = block[: len(block) - 1 - int(np.argmax((block[:-5:-1] & 0xC0) != 0x80))]
+            signs = block.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass")
+            start_of = np.r_[np.flatnonzero((block & 0xC0) != 0x80), len(block)]
+            inside = kind[np.frombuffer(signs, "<u4")]
+        if more and not (inside == _INSIDE).all():  # ends between words
+            inside = inside[: len(inside) - int(np.argmax(inside[::-1] != _INSIDE))]
+            start_of = start_of[: len(inside) + 1]
+            block = block[: start_of[-1]]
+        # a word lies between two characters where one of them is apart, or of its own
+        joins = (inside[:-1] == _INSIDE) & (inside[1:] == _INSIDE)
+        word = inside != _APART
+        start = start_of[np.flatnonzero(word & np.r_[True, ~joins])]
+        stop = start_of[np.flatnonzero(word & np.r_[~joins, True]) + 1]
         sums = np.r_[np.uint64(0), np.cumsum((block.astype("u8") + np.uint64(1)) * _UP[: len(block)], dtype="u8")]
         found.append(mixed((sums[stop] - sums[start]) * _DOWN[start] + (stop - start).astype("u8")))
         places.append(start + at)
