@@ -4,7 +4,7 @@ Each source gets a target of words: the sources in code-point order (null last)
 turn, share `share` times all words, and stop at `most` times their own words; what is over is shared out
 again by weight. A source gives all its documents once per complete epoch of its target. The rest of the target
 comes from the documents with the smallest keys -ln(u) / weight (Efraimidis and Spirakis), u a hash of the
-document's id, summed until the target is reached.
+document's id and text, summed until the target is reached.
 
 No source is sorted: keys are cut into slices of about `slice_rows` rows, the sizes of slices are summed, and only
 the slice in which a source's target ends is sorted, so that a source with a third of all rows is no hot
@@ -13,8 +13,9 @@ spot. Sources are numbered over ranges, and targets found by aggregates, so they
 Weights from about 0.1 to 1 make even slices; any positive ones give right results.
 
 Defined results: a null text has size 0 and is never taken; a null source is a source; weights that are null or not
-positive count as 1e-9; rows with equal id share a key and are ordered by their size, then arbitrarily, being alike;
-a source without words has target 0; an empty table gives no rows.
+positive count as 1e-9; rows with a null id or with one id have keys of their own if their texts differ; only rows
+alike in id and text share a key, and any of them may be taken, with the same result; very long texts count like others;
+a source without words has target 0; an empty table gives no rows; other columns are ignored, or carried along (`keep`).
 """
 
 from __future__ import annotations
@@ -97,11 +98,11 @@ def mix(
     """
     quality = F.greatest(F.lit(1e-9), F.coalesce(weight if weight is not None else prose_weight(F.col(text)), F.lit(0.0)))
     kept = [F.struct(*keep).alias("kept_")] if keep else []
+    u = (uniform(seed, F.col(id_), F.md5(F.col(text).cast("binary"))) + 2.0**-50) / (1 + 2.0**-49)
     rows = docs.select(
-        F.col(id_).alias("id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), quality.alias("w"), *kept
+        F.col(id_).alias("id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), quality.alias("w"), u.alias("u"), *kept
     )
-    u = (uniform(seed, F.col("id")) + 2.0**-50) / (1 + 2.0**-49)
-    rows = rows.withColumn("key", -F.log(u) / F.col("w"))
+    rows = rows.withColumn("key", -F.log(F.col("u")) / F.col("w")).drop("u")
     rows = rows.drop("w") if keep else written(rows.drop("w"), "mix")  # texts are not written, but read again
     slices = max(1, -(-docs.count() // slice_rows))
     # the share of keys below this one if each of `rates` were the weight of as many rows; it rises with the key

@@ -132,7 +132,7 @@ def op4_topk(spark, sf):
 
 @query("""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
   coalesce(greatest(0.2, 1 - 5.0 * (length(text) - length(translate(text, '#%*$|&!=<>{}', ''))) / nullif(length(text), 0)), 0.2) AS w,
-  CAST('0x' || substr(md5('1|' || coalesce(CAST(doc_id AS VARCHAR), '~')), 1, 12) AS BIGINT) / 281474976710656.0 AS u FROM documents),
+  CAST('0x' || substr(md5('1|' || coalesce(CAST(doc_id AS VARCHAR), '~') || '|' || coalesce(md5(text), '~')), 1, 12) AS BIGINT) / 281474976710656.0 AS u FROM documents),
 k AS (SELECT *, -ln((u + 8.8817841970012523e-16) / (1 + 1.7763568394002505e-15)) / w AS key FROM d),
 s AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY 1),
 w AS (SELECT *, 2.0 * source_size AS lim, CASE place % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END AS weight,
