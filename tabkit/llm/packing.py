@@ -114,7 +114,8 @@ def pieces(docs: DataFrame, path: str, id_: str, text: str, capacity: int, end_i
                 )
 
     rows = docs.select(F.col(id_).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
-    return written(rows.mapInArrow(tokenize, PIECES), "pieces")
+    # numbers of rows, stored so that they stay when a task runs again
+    return written(rows.mapInArrow(tokenize, PIECES).withColumn("row", F.monotonically_increasing_id()), "pieces")
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,5 +175,5 @@ def pack(
         rows = rows.append_column("sequence_id", pa.array(bins)).append_column("offset", pa.array(offsets))
         yield from rows.to_batches(max_chunksize=50_000)
 
-    dealt = rows.repartition(groups, F.xxhash64("id", "piece", "start", "ids_crc32", "length"))
+    dealt = rows.repartition(groups, F.xxhash64("row")).drop("row")  # repeated rows go to all groups
     return dealt.mapInArrow(place, schema).withColumnRenamed("id", id_)

@@ -1,9 +1,11 @@
 """Copies, repeated ids and signs that look like letters."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
-from tabkit.llm import lang_id, topk
+from tabkit.llm import lang_id, mixing, packing, queries, topk
 
 VEC = "vec_id long, embedding array<double>, query long"
 
@@ -41,3 +43,28 @@ def test_huge_components_are_refused(spark):
         table = spark.createDataFrame([(100, [value, 1.0], 0), (1, [value, 1.0], 0)], VEC)
         with pytest.raises(Exception, match=word):
             topk.top_k(table, F.col("vec_id") == 100).collect()
+
+
+def test_rows_without_an_id_have_keys_of_their_own(spark):
+    """A third of the rows have no id and a third one id: by their texts they spread over slices, and reruns agree."""
+    rows = [(i if i % 3 == 0 else None if i % 3 == 1 else 7, f"w{i} w", "a") for i in range(600)]
+    data = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(data, [1.0], share=0.5, slice_rows=20, keep=["text"]).collect()
+    taken = Counter(None if r["doc_id"] is None else r["doc_id"] == 7 for r in got if r["taken"])
+    assert sum(r["taken"] for r in got) == 600
+    assert all(70 < taken[k] < 130 for k in (None, True, False))
+    again = mixing.mix(data.repartition(7), [1.0], share=0.5, slice_rows=50, keep=["text"]).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, again))
+    alike = spark.createDataFrame([(None, "w w", "a")] * 100, data.schema)
+    same = mixing.mix(alike, [1.0], share=0.5, slice_rows=20).collect()
+    assert sorted(r["taken"] for r in same) == [0] * 50 + [2] * 50
+
+
+def test_repeated_rows_are_packed_in_all_groups(spark):
+    rows = [(None, "one two three")] * 300 + [(5, "one two three")] * 300
+    data = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack(data, queries.vocabulary(), group_rows=100).collect()
+    groups = Counter(r["sequence_id"] >> 40 for r in got)
+    assert len(got) == 600 and len(groups) == 6 and max(groups.values()) < 150
+    places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in got)
+    assert all(a[1] + a[2] == b[1] if a[0] == b[0] else b[1] == 0 for a, b in zip(places, places[1:]))
