@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tabkit.functions.numbers import rmse
 from tabkit.operators import trees as T
 from tabkit.operators.boosting import BoostedRegressor
+from tabkit.operators.coding import CategoryCoder
 from tabkit.operators.evaluate import model_metrics
 from tabkit.operators.quantiles import quantiles
 from tabkit.operators.split import hash_slot
@@ -93,7 +94,6 @@ def _encoding(features: Features) -> tuple[list, list[str]]:
     if not categorical:
         return [], []
     named = [f"__cat{i}" for i in range(len(categorical))]
-    indexed = [f"__idx{i}" for i in range(len(categorical))]
     coded = [f"__hot{i}" for i in range(len(categorical))]
     stages: list = []
     source = categorical
@@ -103,10 +103,7 @@ def _encoding(features: Features) -> tuple[list, list[str]]:
     if features.missing_category != "mode" or features.min_category_count:
         least = features.min_category_count or 1
         stages.append(RareGrouper(inputCols=source, outputCols=named, minCount=least))
-    stages += [
-        StringIndexer(inputCols=named, outputCols=indexed, handleInvalid="keep", stringOrderType="alphabetAsc"),
-        OneHotEncoder(inputCols=indexed, outputCols=coded, dropLast=True),
-    ]
+    stages.append(CategoryCoder(inputCols=named, outputCols=coded))
     return stages, coded
 
 

@@ -1,11 +1,11 @@
 """Engineered features, filling, grouping, encoding and scaling."""
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import OneHotEncoder, StringIndexer
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from tabkit.functions.names import slug_column, stable_id
+from tabkit.operators.coding import CategoryCoder
 from tabkit.operators.ranks import with_row_id
 from tabkit.operators.stages import GroupMedianFill, MedianFill, ModeFill, PopulationScaler, RareGrouper
 from tabkit.plans import disclosure as D
@@ -246,18 +246,11 @@ def one_hot(spark, sf):
     """Encoder fitted without PROMO; unseen (PROMO) and missing (SMALL) become all zeros."""
     parts = table(spark, sf, "part").select("p_partkey", F.nullif("p_type", F.lit("SMALL")).alias("p_type"))
     seen = parts.where((F.col("p_partkey") % 5 != 0) & (F.col("p_type") != "PROMO"))
-    encoder = Pipeline(
-        stages=[
-            StringIndexer(inputCol="p_type", outputCol="i", handleInvalid="keep", stringOrderType="alphabetAsc"),
-            OneHotEncoder(inputCol="i", outputCol="hot", dropLast=True),
-        ]
-    ).fit(seen)
-    names = F.array(*[F.lit(c) for c in encoder.stages[0].labelsArray[0]])
-    coded = encoder.transform(parts.where(F.col("p_type").isNotNull()))
-    total = coded.agg(Summarizer.sum(F.col("hot")).alias("s")).first()["s"]
-    rows = parts.agg(F.count(F.lit(1)).alias("rows_encoded"))
-    pairs = F.arrays_zip(names.alias("category"), F.array(*[F.lit(float(v)) for v in total]).alias("ones"))
-    return rows.select(F.inline(pairs), "rows_encoded").toDF("category", "ones", "rows_encoded")
+    encoder = CategoryCoder(inputCols=["p_type"], outputCols=["hot"]).fit(seen)
+    total = encoder.transform(parts).agg(Summarizer.sum(F.col("hot")).alias("s"))
+    slots = total.select(F.posexplode(vector_to_array("s")).alias("place", "ones"))
+    labels = encoder.table.select(F.col("v").alias("category"), "place")
+    return labels.join(slots, "place").select("category", "ones", F.lit(parts.count()).cast("long").alias("rows_encoded"))
 
 
 @query("""
