@@ -610,7 +610,7 @@ def importances(trees: DataFrame, width: int) -> dict[int, np.ndarray]:
         for batch in batches:
             for r in batch.to_pylist():
                 feature, gain = np.frombuffer(r["feature"], "<i2"), np.frombuffer(r["gain"], _KINDS["gain"]).astype("f8")
-                sums = np.bincount(feature[feature >= 0], gain[feature >= 0], width)
+                sums = np.bincount(feature[feature >= 0], gain[feature >= 0], width).astype("f8")  # whole numbers if there is no split
                 some = np.flatnonzero(sums)
                 columns = [np.full(len(some), r["forest"], "i4"), np.full(len(some), r["tree"], "i4"), some.astype("i4"), sums[some]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["forest", "tree", "f", "gain"])

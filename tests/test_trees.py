@@ -100,3 +100,17 @@ def test_tables_that_teach_nothing(spark, rows):
     flat = rows.withColumn("y", F.lit(3.0))
     model = T.ForestRegressor(labelCol="y", numTrees=2).fit(flat.limit(1))
     assert {r["prediction"] for r in model.transform(flat).collect()} == {3.0} and {r["nodes"] for r in model.sizes().collect()} == {1}
+
+
+def test_importances_of_pieces_without_a_split(spark):
+    """A piece that is one leaf beside pieces with splits, in one task: what large tables make below their tops."""
+    leaf = {"feature": np.array([-1]), "cut": np.array([0]), "value": np.array([1.0]), "gain": np.array([0.0])}
+    split = {"feature": np.array([1, -1, -1]), "cut": np.array([3, 0, 0]), "value": np.array([1.0, 0.0, 2.0]), "gain": np.array([5.0, 0.0, 0.0])}
+    pieces = [T._piece(0, 0, -1, split), T._piece(0, 0, 1, leaf), T._piece(0, 0, 2, split)]
+    for order in (pieces, pieces[::-1]):
+        trees = spark.createDataFrame(T._pieces(order).to_pandas(), T.PIECES).coalesce(1)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+        try:
+            assert T.importances(trees, 3)[0].tolist() == [0, 1, 0]
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
