@@ -114,3 +114,29 @@ def test_importances_of_pieces_without_a_split(spark):
             assert T.importances(trees, 3)[0].tolist() == [0, 1, 0]
         finally:
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_repeated_rows_of_bins_grow_the_same_trees(spark, monkeypatch):
+    """Sums per distinct row of bins give the trees, held-out means and scores that all rows give."""
+    monkeypatch.setattr(T, "CELL_ROWS", 2)
+    rng = np.random.default_rng(9)
+    x = np.stack([rng.integers(0, k, 4000) for k in (5, 4, 3)], 1).astype(float)
+    x[:1500] = x[0]  # a cell of many rows
+    y = 1000 + 3 * x[:, 0] * x[:, 1] - x[:, 2] ** 2 + rng.normal(size=4000)
+    frame = pd.DataFrame({"x": list(map(list, x)), "y": y, "role": np.where(rng.random(4000) < 0.02, np.nan, rng.integers(0, 3, 4000))})
+    rows = spark.createDataFrame(frame).repartition(3).withColumn("features", array_to_vector(F.col("x")))
+    data = T.binned(rows, "y", part=F.expr("nullif(role, 'NaN'::double)"))
+    forests = [T.Growth(trees=4), T.Growth(trees=3, leaf=7, parts=(1,)), T.Growth(trees=2, seed=3, subset="sqrt", parts=(0, 2)), T.Growth(trees=2, bootstrap=False, columns=(0, 2))]
+    marks = [[2, 4], [3], [2], [2]]
+    assert len(T.cells_of(data).n) < 300 and T.cells_of(data, 1000) is None
+    by, found = dict(enumerate(marks)), []
+    for small_bytes in (1 << 30, 0):
+        trees = T.grow_forests(data, forests, small_bytes=small_bytes)
+        scored = [T.with_forests(data.table, F.col("bins"), trees, data.borders, by, "m", most).orderBy("no").collect() for most in (1 << 30, 0)]
+        held = T.held_out(data, forests, marks, [0, 1], small_bytes).orderBy("no").collect()
+        sizes = sorted(tuple(r) for r in T.tree_sizes(trees).collect())
+        found.append((sizes, *[np.array([r[c] for r in some]) for some, c in ((scored[0], "m"), (scored[1], "m"), (held, "means"))], [tuple(r)[:3] for r in held]))
+    assert found[0][0] == found[1][0] and found[0][4] == found[1][4] and len(found[0][4]) > 2000
+    for some in (1, 2, 3):
+        assert np.allclose(found[0][some], found[1][some])
+    assert np.allclose(found[0][1], found[0][2])
