@@ -689,8 +689,12 @@ def _scorer(sent, borders: list[np.ndarray], marks: Mapping[int, Sequence[int]])
                     bins = np.frombuffer(b"".join(part.to_pylist()), "u1").reshape(-1, len(borders))
                 else:
                     bins = cut_up(matrix_of(part, len(borders)), borders)
+                at = slice(None)
+                if len(bins):  # equal rows of bins are walked once
+                    _, rows, again = np.unique(np.ascontiguousarray(bins).view(f"V{bins.shape[1]}").ravel(), return_index=True, return_inverse=True)
+                    bins, at = (bins[rows], again) if 2 * len(rows) < len(bins) else (bins, at)
                 sums = _sums(sent.value, bins, marks)
-                found.append(np.hstack([sums.get(f, np.zeros((len(bins), len(marks[f])))) / np.array(marks[f]) for f in sorted(marks)]))
+                found.append(np.hstack([sums.get(f, np.zeros((len(bins), len(marks[f])))) / np.array(marks[f]) for f in sorted(marks)])[at])
             values = np.concatenate(found) if found else np.empty((0, size))
             yield pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), size).cast(pa.list_(pa.float64()))
 
