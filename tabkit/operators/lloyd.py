@@ -3,7 +3,7 @@
 A set is one start: a number of clusters and a seed. Starts are drawn by k-means++: in each scan every set draws one more
 centre, by a race of exponential clocks that run at the squared distance to the centres so far, so a draw needs no
 second look. Then rounds: each task multiplies its rows with all open sets' centres, and returns count, sum and cost per
-set and cluster; Spark adds these up per set. A set whose centres hardly move is closed and leaves the following scans.
+set and cluster; Spark adds these up per set. Equal rows of a batch are measured once. A set whose centres hardly move is closed and leaves the following scans.
 Inertia, labels and silhouettes of the best starts come from one more scan each.
 """
 
@@ -40,6 +40,15 @@ def _matrices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[pa
             yield part, part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """The distinct rows and which of them each row is, if many rows of a batch are equal; else the rows and None."""
+    key = np.ascontiguousarray(x).view(f"V{8 * x.shape[1]}").ravel() if x.size else np.empty(0)
+    if len(key) < 64 or 2 * len(np.unique(key[:1024])) > len(key[:1024]):
+        return x, None
+    _, first, of = np.unique(key, return_index=True, return_inverse=True)
+    return x[first], of.ravel()
+
+
 def _stacks(sets: Sets) -> list[tuple[list[int], np.ndarray]]:
     """Sets of equal size together: their names and centres (sets x clusters x columns)."""
     by: dict[int, list[int]] = {}
@@ -80,10 +89,16 @@ def draw_starts(table: DataFrame, wanted: Mapping[int, int], seed: int) -> Sets:
             best: dict[int, tuple[float, np.ndarray]] = {}
             for part, x in _matrices(batches, _rows_for(held) if held else 4096):
                 no = part.column("no").to_numpy()
+                x, of = _distinct(x)
+                if of is not None:  # equal rows run at one speed: the first of them is the one with the largest chance
+                    order = np.argsort(of, kind="stable")
+                    no, starts = no[order], np.searchsorted(of[order], np.arange(len(x)))
                 near = {n: d for group, c in _stacks(held) for n, d in zip(group, distances(x, c).min(2).T)} if held else {}
                 for n in names:
                     rate = near.get(n, np.ones(len(x)))
-                    clock = np.divide(-np.log(_chances(no, n, step, seed)), rate, out=np.full(len(x), np.inf), where=rate > 0)
+                    chance = _chances(no, n, step, seed)
+                    chance = chance if of is None else np.maximum.reduceat(chance, starts)
+                    clock = np.divide(-np.log(chance), rate, out=np.full(len(x), np.inf), where=rate > 0)
                     at = int(clock.argmin())
                     if n not in best or clock[at] < best[n][0]:
                         best[n] = (float(clock[at]), x[at].copy())
@@ -107,7 +122,9 @@ def assign_round(table: DataFrame, sets: Sets) -> dict[int, np.ndarray]:
         sets, held = sent.value, {}
         stacks = _stacks(sets)
         for _, x in _matrices(batches, _rows_for(sets)):
-            wide = np.hstack([np.ones((len(x), 1)), np.zeros((len(x), 1)), x])
+            x, of = _distinct(x)
+            times = np.ones(len(x)) if of is None else np.bincount(of, minlength=len(x)).astype(float)
+            wide = np.hstack([np.ones((len(x), 1)), np.zeros((len(x), 1)), x]) * times[:, None]
             for names, centres in stacks:
                 found = distances(x, centres)
                 label = found.argmin(2)
@@ -117,7 +134,7 @@ def assign_round(table: DataFrame, sets: Sets) -> dict[int, np.ndarray]:
                 member[np.arange(len(x))[:, None], np.arange(len(names)) * k + label] = 1
                 sums = (member.T @ wide).reshape(len(names), k, -1)
                 for i, n in enumerate(names):
-                    sums[i, :, 1] = np.bincount(label[:, i], cost[:, i], k)
+                    sums[i, :, 1] = np.bincount(label[:, i], cost[:, i] * times, k)
                     held[n] = held[n] + sums[i] if n in held else sums[i]
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["name", "sums"])
@@ -174,8 +191,10 @@ def with_labels(table: DataFrame, sets: Sets, *keep: str) -> DataFrame:
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, x in _matrices(batches, _rows_for(sent.value)):
             found = np.empty((len(x), len(order)), "i4")
+            x, of = _distinct(x)
             for names, centres in _stacks(sent.value):
-                found[:, [order[n] for n in names]] = distances(x, centres).argmin(2)
+                label = distances(x, centres).argmin(2)
+                found[:, [order[n] for n in names]] = label if of is None else label[of]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(found), pa.list_(pa.int32()))], names=[*part.schema.names, "labels"])
 
     rows = table.select(*keep, "x")
@@ -195,6 +214,8 @@ def squared_silhouettes(table: DataFrame, sets: Sets) -> dict[int, float]:
         sets, about = sent.value
         held = {n: 0.0 for n in sets}
         for _, x in _matrices(batches, _rows_for(sets)):
+            x, of = _distinct(x)
+            times = np.ones(len(x)) if of is None else np.bincount(of, minlength=len(x))
             square = (x**2).sum(1)
             here = np.arange(len(x))
             for n, centres in sets.items():
@@ -211,7 +232,7 @@ def squared_silhouettes(table: DataFrame, sets: Sets) -> dict[int, float]:
                 outside = other.min(1)
                 larger = np.maximum(inside, outside)
                 fit = (count[label] > 1) & (larger > 0) & np.isfinite(outside)
-                held[n] += float(np.divide(outside - inside, larger, out=np.zeros(len(x)), where=fit).sum())
+                held[n] += float((np.divide(outside - inside, larger, out=np.zeros(len(x)), where=fit) * times).sum())
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(list(held.values()), pa.float64())], names=["name", "s"])
 
     found = table.select("x").mapInArrow(score, "name int, s double").groupBy("name").agg(F.sum("s").alias("s")).collect()

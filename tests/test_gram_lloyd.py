@@ -131,3 +131,24 @@ def test_bijection_reaches_every_number_once(spark, n):
         assert sorted(r["to"] for r in to) == list(range(n))
     if n > 100:
         assert abs(np.corrcoef([r["to"] for r in to], np.arange(n))[0, 1]) < 0.15
+
+
+def test_equal_rows_of_a_batch_are_measured_once(spark, monkeypatch):
+    """Draws, sums, labels and silhouettes are those of all rows, however often rows repeat."""
+    rng = np.random.default_rng(4)
+    few = np.round(rng.normal(size=(30, 2)), 1)
+    rows = [(int(i), [float(v) for v in few[i % 7 if i % 2 else rng.integers(30)]]) for i in range(3000)]
+    table = L.points(spark.createDataFrame(rows, "id long, x array<double>").coalesce(2), F.col("x"), "id")
+    wanted, found, asked = {0: 2, 1: 3, 2: 3}, [], []
+    real = L._distinct
+    assert len(real(np.array([r[1] for r in rows]))[0]) <= 30 and real(rng.normal(size=(3000, 2)))[1] is None
+    for distinct in (lambda x: (x, None), real):
+        monkeypatch.setattr(L, "_distinct", distinct)
+        starts = L.draw_starts(table, wanted, 42)
+        sums = L.assign_round(table, starts)
+        labels = [r["labels"] for r in L.with_labels(table, starts, "id").orderBy("id").collect()]
+        found.append((starts, sums, labels, L.squared_silhouettes(table, starts)))
+    for n in wanted:
+        assert (found[0][0][n] == found[1][0][n]).all() and np.allclose(found[0][1][n], found[1][1][n])
+        assert np.isclose(found[0][3][n], found[1][3][n])
+    assert found[0][2] == found[1][2]
