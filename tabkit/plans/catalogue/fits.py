@@ -372,6 +372,7 @@ def near_reconstruction(spark, sf):
     """Coefficients of fuel intensities alone, largest first, from one table of products."""
     rows, sets = _engineered(spark, sf)
     intensities = [c for c in sets["fuel_derived_only"].numeric if c.endswith("_intensity")]
+    rows = written(rows.select("year", "target", *intensities), "intensities")  # the tables are joined once for all that follows
     latest = rows.agg(F.max("year")).first()[0]
     _, coefficients = R.near_reconstruction(
         rows.where(F.col("year") < latest), rows.where(F.col("year") == latest), intensities, "target"
