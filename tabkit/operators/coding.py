@@ -70,11 +70,14 @@ class CategoryCoderModel(_TableModel, _Columns):
         for c, o, size in zip(self.getInputCols(), self._outputs(), self.getOrDefault("sizes")):
             names = [n for n in df.columns if n != o]
             own = self.table.where(F.col("c") == c).select(F.col("v").alias("__key"), F.col("place").alias("__place"), "__n")
+            if self.small:  # a vector per label, not per row
+                own = own.withColumn("__vector", unit_vector(F.col("__place"), size))
             joined = self._look_up(df.withColumn("__key", F.col(f"`{c}`").cast("string")), "__key", own)
             about: dict = {"num_attrs": size}
             labels = self.slot_names(c)
             if labels:
                 about["attrs"] = {"binary": [{"idx": i, "name": v} if v else {"idx": i} for i, v in enumerate(labels)]}
-            coded = unit_vector(F.col("__place"), size).alias(o, metadata={"ml_attr": about})
+            coded = F.coalesce("__vector", unit_vector(F.lit(None), size)) if self.small else unit_vector(F.col("__place"), size)
+            coded = coded.alias(o, metadata={"ml_attr": about})
             df = joined.select(*[F.col(f"`{n}`") for n in names], coded)
         return df

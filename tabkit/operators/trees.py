@@ -42,8 +42,8 @@ CELL_ROWS = 4  # so many rows of equal bins, on average, are worth a sum
 CELLS = 40_000  # (row, column) pairs that are looked at together
 PIECES = "forest int, tree int, node int, feature binary, cut binary, value binary, gain binary"
 _KINDS = {"feature": "<i2", "cut": "u1", "value": "<f8", "gain": "<f4"}
-#: chances of at most 0, 1, 2, ... draws of a row
-_DRAWN = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
+#: chances of at most 0, 1, 2, ... draws of a row, times 2^53
+_DRAWN = np.ceil(np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)]) * 2.0**53).astype("u8")
 
 
 @dataclass(frozen=True)
@@ -140,7 +140,11 @@ def drawn(no: np.ndarray, seed: int, tree: int) -> np.ndarray:
     for turn in (30, 27):
         x = (x ^ (x >> np.uint64(turn))) * np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(31)
-    return np.searchsorted(_DRAWN, (x >> np.uint64(11)) * 2.0**-53, "right").astype("f8")
+    x >>= np.uint64(11)  # a chance, times 2^53
+    times = np.zeros(len(x), "u1")
+    for bound in _DRAWN[: np.searchsorted(_DRAWN, x.max(initial=0), "right")]:
+        times += x >= bound
+    return times.astype("f8")
 
 
 def _best_cuts(key: np.ndarray, w: np.ndarray, s: np.ndarray, nodes: int, width: int, leaf: float) -> tuple[np.ndarray, np.ndarray]:
@@ -150,6 +154,12 @@ def _best_cuts(key: np.ndarray, w: np.ndarray, s: np.ndarray, nodes: int, width:
     """
     if not len(key):
         return np.full(nodes, -np.inf), np.zeros(nodes, int)
+    if width == 2 and nodes * width <= 4 * len(key):  # one cut
+        (left, rest), (ls, rest_s) = np.bincount(key, w, 2 * nodes).reshape(nodes, 2).T, np.bincount(key, s, 2 * nodes).reshape(nodes, 2).T
+        right, rs = (left + rest) - left, (ls + rest_s) - ls
+        fit = (left >= leaf) & (right >= leaf)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(fit, ls * ls / left + rs * rs / right, -np.inf), np.zeros(nodes, int)
     if nodes * width <= 4 * len(key):
         weight = np.bincount(key, w, nodes * width).reshape(nodes, width).cumsum(1)
         sums = np.bincount(key, s, nodes * width).reshape(nodes, width).cumsum(1)
@@ -217,14 +227,18 @@ def grow_sums(bins: np.ndarray, w: np.ndarray, s: np.ndarray, q: np.ndarray, mid
                 near, bl, wl, sl = node, bins, w, s
             else:
                 live = np.flatnonzero(open_[node])
-                near, bl, wl, sl = node[live], bins[:, live], w[live], s[live]
+                near, bl, wl, sl = node[live], bins.take(live, 1), w[live], s[live]
             each = max(1, CELLS // max(len(near), 1))
+            scaled: tuple = (0, None)  # near * width of the last width
             for i in range(0, len(columns), each):
                 some = columns[i : i + each]
                 n, width = len(some), int(widths[some].max())
-                key = (near * (n * width) + (np.arange(n) * width)[:, None]) + bl[some]
-                weights, values = np.tile(wl, n), np.tile(sl, n)
-                key = key.ravel()
+                if n == 1:
+                    scaled = scaled if scaled[0] == width else (width, near * width)
+                    key, weights, values = scaled[1] + bl[some[0]], wl, sl
+                else:
+                    key = ((near * (n * width) + (np.arange(n) * width)[:, None]) + bl[some]).ravel()
+                    weights, values = np.tile(wl, n), np.tile(sl, n)
                 if chosen is not None:
                     cell = np.flatnonzero(chosen[near, i : i + each].T.ravel())
                     key, weights, values = key[cell], weights[cell], values[cell]
@@ -246,7 +260,7 @@ def grow_sums(bins: np.ndarray, w: np.ndarray, s: np.ndarray, q: np.ndarray, mid
             return made | {"left": lefts(made["feature"])}
         rows = np.flatnonzero(split[node])
         if len(rows) < len(node):
-            node, bins, w, s, q = node[rows], bins[:, rows], w[rows], s[rows], q[rows]
+            node, bins, w, s, q = node[rows], bins.take(rows, 1), w[rows], s[rows], q[rows]
         right = bins[feature[node], np.arange(len(node))] > cut[node]
         node = 2 * place[node] + right
         nodes = 2 * int(split.sum())
@@ -420,7 +434,10 @@ def _from_cells(data: Binned, cells: Cells, forests: Sequence[Growth], make, sch
                         if held is not None:
                             yield of_draw[draws[now]], *held
                         now, held = r["draw"], np.zeros((3, size))
-                    held[:, np.frombuffer(r["at"], "<i4")] += np.stack([np.frombuffer(r[k], "<f8") for k in "wsq"])
+                    at = np.frombuffer(r["at"], "<i4")
+                    place = slice(at[0], at[-1] + 1) if at[-1] - at[0] + 1 == len(at) else at  # increasing, mostly without gaps
+                    for own, k in zip(held, "wsq"):
+                        own[place] += np.frombuffer(r[k], "<f8")
             if held is not None:
                 yield of_draw[draws[now]], *held
 
