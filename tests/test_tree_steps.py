@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from tabkit.operators import trees as T
 from tabkit.operators.coding import CategoryCoder
@@ -36,3 +37,47 @@ def test_vectors_are_made_once_per_label(spark, capsys):
     out.explain()
     above = capsys.readouterr().out.partition("BroadcastHashJoin")[0]
     assert "__place" not in above  # rows take a vector; it is not written out from a number again
+
+
+def _one_hot_rows():
+    rng = np.random.default_rng(3)
+    n, kinds = 30_000, 12
+    kind = rng.choice(kinds, n, p=np.append(np.full(kinds - 1, 0.02), 1 - 0.02 * (kinds - 1)))
+    wide = rng.integers(0, [40, 7, 90], (n, 3))
+    flags = rng.integers(0, 2, (n, 2))
+    bins = np.hstack([flags, wide, np.eye(kinds, dtype=int)[kind], np.zeros((n, 1), int)]).astype("u1")
+    y = wide[:, 0] + 5.0 * (kind == 3) + 20.0 * flags[:, 0] * (kind == 5) + rng.integers(0, 3, n)  # ties between columns are many
+    return bins, y, np.array([2, 2, 40, 7, 90, *[2] * kinds, 1])
+
+
+@pytest.mark.parametrize("columns, depth", [(None, 30), (None, 3), (tuple(range(3, 17)), 30)])
+def test_one_hot_columns_are_added_up_together(monkeypatch, columns, depth):
+    bins, y, widths = _one_hot_rows()
+    w = 1.0 + np.arange(len(y)) % 3
+    g, seen, real = T.Growth(columns=columns, depth=depth), [], T._best_cuts
+    monkeypatch.setattr(T, "_best_cuts", lambda key, *rest: seen.append(len(key)) or real(key, *rest))
+    found = T.grow(bins, w, y, g, widths, T._rng(g, 0))
+    together, seen[:] = sum(n for n in seen if n > 20_000), []
+    monkeypatch.setattr(T, "_bundles", lambda *_: [])
+    plain = T.grow(bins, w, y, g, widths, T._rng(g, 0))
+    assert all(found[k].tobytes() == plain[k].tobytes() for k in plain)
+    assert len(plain["feature"]) > 10 and together < 0.6 * sum(n for n in seen if n > 20_000)
+
+
+def test_overlapping_columns_are_no_bundle():
+    bins, _, widths = _one_hot_rows()
+    (members, code), *more = T._bundles(np.ascontiguousarray(bins[:, 5:].T), np.arange(13), widths[5:])
+    assert not more and members.tolist() == list(range(12)) and (bins[:, 5:17].argmax(1) + 1 == code).all()
+    assert T._bundles(np.ascontiguousarray(bins[:, :2].T), np.arange(2), widths[:2]) == []
+
+
+def test_masks_merge_cells():
+    bins, y, widths = _one_hot_rows()
+    bins, of = np.unique(bins, axis=0, return_inverse=True)
+    n, s, q = (np.bincount(of.ravel(), v) for v in (np.ones(len(y)), y - 9.0, (y - 9.0) ** 2))
+    cells = T.Cells(bins, np.where(np.arange(len(bins)) % 5 == 0, np.nan, 0.0), n, s, q, 9.0, None)
+    g = T.Growth(columns=tuple(range(5, 17)), parts=(0,))
+    masked = T._masked(cells, [g, T.Growth(), T.Growth(columns=tuple(range(17)))])
+    assert list(masked) == [g.columns] and len(masked[g.columns][1]) == 2 * 12 and np.isnan(masked[g.columns][1]).sum() == 12
+    merged, plain = (T._tree_of_cells((cells.bins, cells.part, 9.0, m), g, widths, 0, 0, n, s, q) for m in (masked, {}))
+    assert np.allclose(merged["value"][T.walk(merged, bins)], plain["value"][T.walk(plain, bins)])
