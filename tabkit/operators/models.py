@@ -331,9 +331,11 @@ def fold_errors(
     Fills, categories and bins are fitted once per fold, on the other folds; all settings grow side by side from them.
     """
     part = hash_slot(key, folds, seed + 2).cast("int")
+    kept = train.select(*[F.col(f"`{c}`") for c in features.columns], F.col(f"`{label}`"), part.alias("__fold"))
+    kept, part = written(kept, "rows-to-fold"), F.col("__fold")  # what `train` is made of is read once
     errors = [0.0] * len(settings)
     for fold in range(folds):
-        data = binned_rows(train, features, label, (part == fold).cast("int"), part != fold)
+        data = binned_rows(kept, features, label, (part == fold).cast("int"), part != fold)
         scored = scored_settings(data, settings, label, seed, [0], [1])
         row = scored.agg(*[rmse("y", f"p{i}").alias(f"e{i}") for i in range(len(settings))]).first()
         errors = [a + b / folds for a, b in zip(errors, row)]

@@ -9,7 +9,7 @@ Growth has two phases. While a node holds more than `local_rows` rows, it is spl
 (tree, node, feature, bin), Spark sums the bins and picks the best cut, and rows find their node by walking the small
 top of the tree, so nothing is rewritten between levels. When all nodes are small, each row is sent once per tree to
 its node, and one task grows everything below it. A table that is small as a whole (proven by its count) is sent
-to the tasks instead, a few trees each. A large table whose rows of bins repeat is added up per distinct row of bins and draw
+to the tasks instead, a few trees each. A table of many rows whose rows of bins repeat is added up per distinct row of bins and draw
 first: such rows end in the same node, so trees grow from those sums as they do from rows. Trees stay in Spark as a table of pieces; scoring takes them in groups of
 bounded size.
 """
@@ -38,6 +38,7 @@ from tabkit.session import written
 BINS = 255
 SMALL_BYTES = 64 << 20  # a binned table up to this size is sent to every task
 GROUP_BYTES = 256 << 20  # trees that are sent to the tasks at a time
+FEW_ROWS = 200_000  # tables up to this size are not looked through for equal rows
 CELL_ROWS = 4  # so many rows of equal bins, on average, are worth a sum
 CELLS = 40_000  # (row, column) pairs that are looked at together
 BLOCK = 16_000  # (node, bin) pairs that are scored together
@@ -411,11 +412,12 @@ def _rng(g: Growth, tree: int, node: int = 0) -> np.random.Generator:
 
 def grow_forests(data: Binned, forests: Sequence[Growth], local_rows: int = 1_000_000, small_bytes: int = SMALL_BYTES) -> DataFrame:
     """The pieces of all forests, stored. A small table goes to every task; a large one is split from histograms first."""
-    if data.rows * (len(data.borders) + 20) <= small_bytes:
-        return written(_from_small(data, forests), "trees")
-    cells = cells_of(data)
+    small = data.rows * (len(data.borders) + 20) <= small_bytes
+    cells = None if small and data.rows <= FEW_ROWS else cells_of(data)
     if cells is not None:
         return written(_from_cells(data, cells, forests, _grown_pieces(forests, cells, data), PIECES), "trees")
+    if small:
+        return written(_from_small(data, forests), "trees")
     return written(_from_large(data, forests, local_rows), "trees")
 
 
@@ -911,11 +913,12 @@ def held_out(data: Binned, forests: Sequence[Growth], marks: Sequence[Sequence[i
     by = dict(enumerate(marks))
     own = data.table.where(F.col("part").isin(list(parts))).select("no", "y", "part", "bins")
     first = np.cumsum([0, *[len(m) for m in marks]])
-    if data.rows * (len(data.borders) + 20) > small_bytes:
-        cells = cells_of(data)
-        if cells is None:
-            trees = written(_from_large(data, forests, local_rows), "trees")
-            return with_forests(own, F.col("bins"), trees, data.borders, by, "means").drop("bins")
+    small = data.rows * (len(data.borders) + 20) <= small_bytes
+    cells = None if small and data.rows <= FEW_ROWS else cells_of(data)
+    if cells is None and not small:
+        trees = written(_from_large(data, forests, local_rows), "trees")
+        return with_forests(own, F.col("bins"), trees, data.borders, by, "means").drop("bins")
+    if cells is not None:
         make = _scored_cells(forests, marks, first, list(parts), cells, data)
         sums = written(_from_cells(data, cells, forests, make, "cell int, at int, s double").groupBy("cell", "at").agg(F.sum("s").alias("s")), "sums")
         means = _means(sums, "cell", by, first).join(F.broadcast(cells.keys), "cell").drop("cell")

@@ -4,7 +4,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
 
+from tabkit.operators import models as M
 from tabkit.operators import trees as T
 from tabkit.operators.coding import CategoryCoder
 
@@ -81,3 +84,28 @@ def test_masks_merge_cells():
     assert list(masked) == [g.columns] and len(masked[g.columns][1]) == 2 * 12 and np.isnan(masked[g.columns][1]).sum() == 12
     merged, plain = (T._tree_of_cells((cells.bins, cells.part, 9.0, m), g, widths, 0, 0, n, s, q) for m in (masked, {}))
     assert np.allclose(merged["value"][T.walk(merged, bins)], plain["value"][T.walk(plain, bins)])
+
+
+def test_small_tables_of_repeated_rows_grow_from_cells(spark, monkeypatch):
+    rows = spark.range(4000, numPartitions=3).selectExpr("array(cast(id % 7 as double), cast(id % 2 as double)) AS x", "cast(id % 7 + id % 5 as double) AS y", "cast(id % 11 = 0 as int) AS part")
+    rows = rows.withColumn("features", array_to_vector("x"))
+    data = T.binned(rows, "y", "features", F.col("part"))
+    forests = [T.Growth(trees=6, parts=(0,)), T.Growth(trees=3, bootstrap=False, parts=(0,))]
+
+    def scores():
+        found = T.held_out(data, forests, [[4, 6], [3]], [1]).orderBy("no").collect()
+        return np.array([r["means"] for r in found]), T.tree_sizes(T.grow_forests(data, forests)).orderBy("forest", "tree").collect()
+
+    small, sizes = scores()
+    monkeypatch.setattr(T, "FEW_ROWS", 1000)
+    monkeypatch.setattr(T, "as_arrays", lambda *_: pytest.fail("all rows are sent to the tasks"))
+    cells, sizes_of_cells = scores()
+    assert len(small) == 364 and np.allclose(small, cells) and [(r["depth"], r["nodes"]) for r in sizes] == [(r["depth"], r["nodes"]) for r in sizes_of_cells]
+
+
+def test_folds_read_stored_rows(spark, monkeypatch):
+    read, real = [], M.binned_rows
+    monkeypatch.setattr(M, "binned_rows", lambda rows, *rest: read.append(rows.inputFiles()) or real(rows, *rest))
+    rows = spark.range(300).selectExpr("id", "cast(id % 7 as double) AS x", "cast(id % 7 as double) AS y")
+    errors = M.fold_errors(rows, M.Features(["x"]), "y", "id", [{"numTrees": 2, "bootstrap": False}])
+    assert len(read) == 3 and all(files and files == read[0] for files in read) and "rows-to-fold" in read[0][0] and errors[0] < 1e-9
