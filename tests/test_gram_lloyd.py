@@ -152,3 +152,37 @@ def test_equal_rows_of_a_batch_are_measured_once(spark, monkeypatch):
         assert (found[0][0][n] == found[1][0][n]).all() and np.allclose(found[0][1][n], found[1][1][n])
         assert np.isclose(found[0][3][n], found[1][3][n])
     assert found[0][2] == found[1][2]
+
+
+def test_rounds_find_the_same_centres_in_single_precision():
+    """Also where centres are equal, nearly equal or equally far, and for rows that single precision can't hold."""
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(700, 6))
+    grid = np.round(rows * 2)
+    for x in (rows, grid, rows + 3000, grid * 1e25, rows * 1e-25, np.zeros((70, 6))):
+        for k in (1, 2, 5):
+            centres = x[rng.integers(0, len(x), (9, k))]
+            centres[1, -1] = centres[1, 0]
+            centres[2, -1] = centres[2, 0] * (1 + 1e-12)
+            centres[3] = (x[:k] + x[k : 2 * k]) / 2
+            found, apart = L._nearest(x, centres, L._singles(centres)).T, L.distances(x, centres)
+            own = np.take_along_axis(apart, found[..., None].astype(int), 2)[..., 0]
+            assert (own - apart.min(2) <= 1e-13 * ((x**2).sum(1).max() + (centres**2).sum(2).max())).all()
+            assert k == 1 or not (found[:, 1] == k - 1).any()
+            if x is rows:
+                assert (found == apart.argmin(2))[:, 4:].all()
+
+
+def test_rounds_use_all_cores_and_sum_as_costs_do(spark):
+    """Rows of one task were scanned by one task in each round, whatever the number of cores."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 4))
+    table = L.points(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, x array<double>").coalesce(1), F.col("x"), "id")
+    rows = L.dealt(table)
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and sum(sizes) == 3000 and max(sizes) < 500
+    sets = {i: x[i * 4 : i * 4 + 2 + i % 3] for i in range(7)}
+    moves, sums = L.move_round(rows, sets), L.assign_round(table, sets)
+    for n in sets:
+        assert (moves[n][:, 0] == sums[n][:, 0]).all() and np.allclose(moves[n][:, 1:], sums[n][:, 2:], rtol=1e-12, atol=1e-12)
+    rows.unpersist()
