@@ -109,3 +109,20 @@ def test_folds_read_stored_rows(spark, monkeypatch):
     rows = spark.range(300).selectExpr("id", "cast(id % 7 as double) AS x", "cast(id % 7 as double) AS y")
     errors = M.fold_errors(rows, M.Features(["x"]), "y", "id", [{"numTrees": 2, "bootstrap": False}])
     assert len(read) == 3 and all(files and files == read[0] for files in read) and "rows-to-fold" in read[0][0] and errors[0] < 1e-9
+
+
+def test_cells_are_looked_up_without_a_table_on_the_driver(spark, monkeypatch):
+    """Rows find their cells, and scores their rows, in sent arrays: no table of cells is made on the driver and broadcast by Spark."""
+    monkeypatch.setattr(T, "FEW_ROWS", 1000)
+    rows = spark.range(4000, numPartitions=3).selectExpr("array(cast(id % 7 as double), cast(id % 2 as double)) AS x", "cast(id % 7 as double) AS y", "nullif(cast(id % 3 as int), 2) AS part")
+    data = T.binned(rows.withColumn("features", array_to_vector("x")), "y", "features", F.col("part"))
+    cells = T.cells_of(data)
+    found = T._in_cells(data.table, cells)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    own = {r["no"]: (r["part"], r["bins"]) for r in data.table.collect()}
+    at = {r["no"]: r["cell"] for r in found.collect()}
+    assert len(at) == 4000 and len(cells.n) == 7 * 2 * 3 and all((cells.bins[c].tobytes(), None if np.isnan(cells.part[c]) else cells.part[c]) == own[no][::-1] for no, c in at.items())
+    trees = T.grow_forests(data, [T.Growth(trees=4, bootstrap=False)])
+    scored = T.with_forests(rows, F.col("x"), trees, data.borders, {0: [1, 4]}, "m", most=0)
+    assert "Join" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    assert all(np.allclose(r["m"], r["y"]) for r in scored.collect())
