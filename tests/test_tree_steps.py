@@ -126,3 +126,16 @@ def test_cells_are_looked_up_without_a_table_on_the_driver(spark, monkeypatch):
     scored = T.with_forests(rows, F.col("x"), trees, data.borders, {0: [1, 4]}, "m", most=0)
     assert "Join" not in scored._jdf.queryExecution().optimizedPlan().toString()
     assert all(np.allclose(r["m"], r["y"]) for r in scored.collect())
+
+
+def test_borders_of_flags_come_from_their_ends(spark, monkeypatch):
+    """One-hot columns are not sketched, and the sketches of the others come from a task per core; borders are as before."""
+    rng = np.random.default_rng(4)
+    x = np.stack([rng.integers(0, 2, 900), np.zeros(900), rng.normal(size=900).round(2), rng.integers(0, 3, 900), np.ones(900)], 1)
+    rows = spark.createDataFrame([(r,) for r in x.tolist()], "x array<double>").repartition(40)
+    real, sketched = F.percentile_approx, []
+    monkeypatch.setattr(T.F, "percentile_approx", lambda c, *rest: sketched.append(c) or real(c, *rest))
+    found = T.borders_of(rows, F.col("x"), 5)
+    assert len(sketched) == 2 and [b.tolist() for b in found if len(b) < 3] == [[0.5], [], [0.5, 1.5], []]
+    values = [np.unique([x[:, 2].min(), x[:, 2].max(), *rows.agg(real(F.col("x")[2], [i / 253 for i in range(1, 253)], 10_000)).first()[0]])]
+    assert (found[2] == (values[0][1:] + values[0][:-1]) / 2).all()
